@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.llm.exact_dedup import exact_dedup, normalised
+from logweave.llm.html_extract import extract
 from logweave.llm.media import media_columns
 from logweave.llm.packing import pack
 from logweave.llm.simhash import simhash_dedup
@@ -65,6 +66,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_read(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op8_packing": op8_packing,
+        "op9_html": op9_html,
         "op10_media": op10_media,
     }
 

@@ -94,3 +94,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """``df`` dealt out by a hash of ``keys`` over the session's shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit hash up to which a ``share`` of all hashes lies."""
+    return min(int(min(1.0, share) * 2**64) - 2**63, 2**63 - 1)

@@ -14,6 +14,7 @@ from logweave.llm.langid import language_id
 from logweave.llm.media import media_columns
 from logweave.llm.packing import pack
 from logweave.llm.simhash import simhash_dedup
+from logweave.llm.substring_dedup import substring_dedup
 from logweave.llm.warc import archive
 
 
@@ -74,6 +75,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.fit(docs, labels, ["low_quality", "toxic"])).drop("text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_langid": op5_langid,
         "op6_toxicity": op6_toxicity,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_packing": op8_packing,
         "op9_html": op9_html,
         "op10_media": op10_media,

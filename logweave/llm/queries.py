@@ -13,6 +13,7 @@ from logweave.llm.html_extract import extract
 from logweave.llm.langid import language_id
 from logweave.llm.media import media_columns
 from logweave.llm.packing import pack
+from logweave.llm.sentencepiece import encoded_documents
 from logweave.llm.simhash import simhash_dedup
 from logweave.llm.substring_dedup import substring_dedup
 from logweave.llm.warc import archive
@@ -39,6 +40,10 @@ FROM g
 """
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_documents(_read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.encode(normalised("text"), "UTF-8"), 256))
@@ -91,9 +96,16 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_langid": op5_langid,
@@ -102,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_html": op9_html,
         "op10_media": op10_media,
+        "pipeline": pipeline,
     }
 
 

@@ -38,6 +38,7 @@ MARKS = frozenset(
     "overlay newsletter subscribe subscription signup login sidebar sidebars rail menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar "
     "comment comments disqus respond reply replies discussion share sharing social related recommended recommendations widget widgets toolbar pagination pager skip paywall".split()
 )
+COMMENTS = frozenset("comment comments disqus respond replies discussion".split())
 #: A subtree goes if it stands in so many different surroundings on a host, and on that share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 4, 0.3
 #: Elements that hold content itself; as parts of a copied article they are never taken for a template.
@@ -158,7 +159,10 @@ class Page:
         return {m[1].lower(): html.unescape(next((x for x in m.groups()[1:] if x is not None), "")) for m in ATTR.finditer(self.attrs[i])} if self.attrs[i] else {}
 
     def unwanted(self, i: int, article: bool, heading: bool) -> bool:
-        """Whether the element is a menu, header, footer, sidebar, notice, advert, form, comments or not text at all."""
+        """Whether the element is a menu, header, footer, sidebar, notice, advert, form, comments or not text at all.
+
+        ``article``: it is around an article element, and within none; ``heading``: it holds a first heading.
+        """
         tag = self.tags[i]
         if tag in ("html", "body", "#page", "article", "main"):
             own = self.attributes(i)
@@ -169,16 +173,17 @@ class Page:
         if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
             return not article
         if tag == "header" or own.get("role", "").lower() in ROLES or MARKS & _words(own):
-            return not (article or heading)
+            return not (heading or article and not COMMENTS & _words(own))
         return False
 
     def text(self, templates: frozenset[int] = frozenset(), digests: list[int] | None = None) -> str:
         """The blocks of the main text, joined by line breaks."""
         article, heading = self.holders()
         n = len(self.tags)
-        gone = [False] * n
+        gone, inside = [False] * n, [False] * n
         for i in range(1, n):
-            gone[i] = gone[self.parents[i]] or self.unwanted(i, article[i], heading[i]) or bool(templates) and self.tags[i] not in CONTENT and not article[i] and digests[i] in templates
+            inside[i] = inside[self.parents[i]] or self.tags[self.parents[i]] == "article"
+            gone[i] = gone[self.parents[i]] or self.unwanted(i, article[i] and not inside[i], heading[i]) or bool(templates) and self.tags[i] not in CONTENT and not article[i] and digests[i] in templates
         roots = self._roots("article", gone) or self._roots("main", gone) or [0]
         blocks: list[str] = []
         own: list[str] = []

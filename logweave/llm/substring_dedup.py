@@ -164,7 +164,7 @@ def substring_dedup(
     rows = df.select(key.alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     made = rows.mapInPandas(lambda batches: _paragraphs(batches, least, width, shape), "id string, mark long, place int, digest binary, paragraph string, keys array<long>")
     made, made_path = table(made)
-    order = F.struct((F.col("id") == "").alias("none"), F.col("id").cast(kind).alias("who"), "mark", "place")
+    order = F.struct((F.col("id") == "").alias("none"), F.when(F.col("id") != "", F.col("id")).cast(kind).alias("who"), "mark", "place")
     places = made.select("digest", "id", "mark", "place", order.alias("order"))
     distinct = made.select("digest", "paragraph", "keys").dropDuplicates(["digest"])
     distinct, distinct_path = table(distinct)

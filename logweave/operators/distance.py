@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.functions import text
 from logweave.functions.patterns import PatternSet
@@ -13,12 +14,12 @@ from logweave.functions.patterns import PatternSet
 INFINITY = 100_000.0
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else text.lcs_length(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _lcs_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else text.lcs_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 

@@ -77,6 +77,12 @@ def result_json(clusters: DataFrame) -> str:
     return json.dumps([r["cluster_id"] for r in clusters.orderBy("line_id").select("cluster_id").toLocalIterator()])
 
 
+def clusters_json(clusters: DataFrame) -> DataFrame:
+    """``(json)``: ``result_json`` as a row."""
+    rows = clusters.agg(F.array_sort(F.collect_list(F.struct("line_id", "cluster_id"))).alias("rows"))
+    return rows.select(F.to_json(F.transform("rows", lambda r: r["cluster_id"])).alias("json"))
+
+
 def write_clusters(clusters: DataFrame, path: str, kind: str = "parquet") -> None:
     """Clusters as a table of any size."""
     clusters.write.format(kind).save(path)

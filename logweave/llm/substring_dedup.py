@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -44,15 +45,21 @@ def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(total)
 
 
+@functools.lru_cache(maxsize=4)
+def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.random.default_rng(20).integers(1, 2**63, (2, n, 1), dtype=np.uint64)
+    return a | np.uint64(1), b
+
+
 def signature(shingles: np.ndarray, n: int, rows: int) -> list[int]:
     """A 64-bit key for each of ``n`` bands of ``rows`` minimum hashes."""
-    draw = np.random.default_rng(20)
-    a, b = draw.integers(1, 2**63, (2, n * rows), dtype=np.uint64)
-    least = np.empty(n * rows, np.uint64)
-    for i in range(n * rows):
-        mixed = (shingles ^ b[i]) * (a[i] | np.uint64(1))
-        least[i] = (mixed ^ (mixed >> np.uint64(29))).min()
-    return [xxhash.xxh64_intdigest(least[i * rows : (i + 1) * rows].tobytes(), i) - 2**63 for i in range(n)]
+    a, b = _hashes(n * rows)
+    least = np.full(n * rows, ~np.uint64(0))
+    for at in range(0, len(shingles), 1024):
+        mixed = (shingles[at : at + 1024] ^ b) * a
+        mixed ^= mixed >> np.uint64(29)
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return [xxhash.xxh64_intdigest(x, i) - 2**63 for i, x in enumerate(least.reshape(n, rows))]
 
 
 def _words(paragraph: str) -> list[bytes]:

@@ -49,7 +49,7 @@ a AS (SELECT line_id, j, k, name FROM p WHERE name <> 'any' OR (line_id, j) NOT
 
 LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE text IS NOT NULL)"""
 STRIP = r"regexp_replace({}, '^[ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+$', '', 'g')"
-RESULTS = """runs AS (SELECT event_type AS algo, 'log' || (user_id % 10) AS log, user_id AS run, round(max(value) / 1000, 4) AS value, CAST(count(*) AS DOUBLE) AS time FROM events GROUP BY ALL),
+RESULTS = """runs AS (SELECT event_type AS algo, 'log' || (user_id % 10) AS log, user_id AS run, max(value) AS value, CAST(count(*) AS DOUBLE) AS time FROM events GROUP BY ALL),
 best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY algo, log ORDER BY value DESC, run) = 1)"""
 JUDGED = """j AS (SELECT event_id, concat_ws('/', event_type, CASE WHEN value < 20 THEN CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) END) AS truth,
   CASE WHEN value < 40 THEN concat_ws('/', CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR), CASE WHEN event_type = 'view' THEN 'v' END) END AS found FROM events)"""

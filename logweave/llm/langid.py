@@ -114,7 +114,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
         kept = len(made) - int(len(made) * CALIBRATION)
         weights = train([m[0] for m in made[:kept]], [m[1] for m in made[:kept]], BUCKETS, len(languages), l1=0.02)
         rest = made[kept:]
-        t = temperature(np.array([scores(weights, m[0]) for m in rest]).reshape(len(rest), -1), np.array([m[1] for m in rest], int))
+        t = temperature(np.array([scores(weights, m[0]) for m in rest]).reshape(len(rest), len(languages)), np.array([m[1] for m in rest], int))
         yield pd.DataFrame({"weights": [weights.tobytes()], "t": [t]})
 
     order = F.xxhash64("text")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,39 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     return out
 
 
+class Sieve:
+    """Tells rows whose key is surely not among given keys, so that they need not move to a join.
+
+    Keys are hashed to the bits of a bitmap of fixed size (8 MB), which is built by partial
+    aggregation and goes to the tasks. Some rows without a partner pass; the join drops them.
+    """
+
+    BITS = 1 << 26
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        self.spark = keys.sparkSession
+        bit = self._bit(*columns) + 1
+        parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        full = np.zeros(self.BITS >> 3, np.uint8)
+        for r in parts.collect():
+            own = np.frombuffer(r["bits"], np.uint8)
+            full[(r["part"] - 1) * 4096 : (r["part"] - 1) * 4096 + len(own)] = own
+        self.bitmap = self.spark.sparkContext.broadcast(full)
+
+    def _bit(self, *columns: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.BITS))
+
+    def passes(self, *columns: str) -> Column:
+        bitmap = self.bitmap
+
+        @F.pandas_udf("boolean")
+        def look(bit: pd.Series) -> pd.Series:
+            at = bit.to_numpy()
+            return pd.Series((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+        return look(self._bit(*columns))
+
+
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """``df`` dealt out by a hash of ``keys`` over the session's shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import connected_components, cut, drop, if_small, rebalanced, spread, table
+from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, spread, table
 from logweave.llm.simhash import merge
 
 #: Words of a shingle, similarity of a repeat, and words that a paragraph has at least.
@@ -24,14 +24,12 @@ RECALL = 0.999
 BUCKET = 512
 
 
-def bands(similar: float = SIMILAR, recall: float = RECALL, most: int = 96) -> tuple[int, int]:
-    """(bands, rows a band): the most rows with which a pair of similarity ``similar`` meets with probability ``recall`` within ``most`` hashes."""
-    best = (1, 1)
-    for rows in range(1, 12):
-        n = math.ceil(math.log(1 - recall) / math.log(1 - similar**rows)) if similar < 1 else 1
-        if n * rows <= most:
-            best = (n, rows)
-    return best
+def bands(similar: float = SIMILAR, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
+    """(bands, rows a band): the fewest bands of ``rows`` hashes in which a pair of similarity ``similar`` meets with probability ``recall``.
+
+    What meets is verified, so bands of few rows cost some comparisons and no precision, and fewer keys move.
+    """
+    return (math.ceil(math.log(1 - recall) / math.log(1 - similar**rows)) if similar < 1 else 1), rows
 
 
 def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
@@ -125,8 +123,8 @@ def _similar(batches: Iterator[pd.DataFrame], width: int, similar: float) -> Ite
     yield from close()
 
 
-def similar_paragraphs(found: DataFrame, width: int = WIDTH, similar: float = SIMILAR, most: int = BUCKET) -> DataFrame:
-    """``(node, root)`` over the digests of ``found(digest, paragraph, keys)``, each digest once.
+def similar_paragraphs(found: DataFrame, texts: DataFrame, width: int = WIDTH, similar: float = SIMILAR, most: int = BUCKET) -> DataFrame:
+    """``(node, root)`` over the digests of ``found(digest, keys)``, each digest once; ``texts(digest, paragraph)`` has each once at least.
 
     Buckets of band keys with more than one paragraph are told by a scan of the sorted
     keys; buckets with the same members count once; the paragraphs of what is left are
@@ -141,7 +139,8 @@ def similar_paragraphs(found: DataFrame, width: int = WIDTH, similar: float = SI
     units = met.join(buckets, "key").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("parts")).cast("int"))
     units = units.select("key", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     units = units.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "digest", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    units = units.join(found.select("digest", "paragraph"), "digest")
+    own = texts.where(Sieve(units.select("digest"), "digest").passes("digest")).dropDuplicates(["digest"])
+    units = units.join(own, "digest")
     units = spread(units, "unit").sortWithinPartitions("unit", "digest")
     pairs = cut(units.mapInPandas(lambda batches: _similar(batches, width, similar), "src binary, dst binary").distinct())
     drop(spark, met_path)
@@ -173,9 +172,8 @@ def substring_dedup(
     made, made_path = table(made)
     order = F.struct((F.col("id") == "").alias("none"), F.when(F.col("id") != "", F.col("id")).cast(kind).alias("who"), "mark", "place")
     places = made.select("digest", "id", "mark", "place", order.alias("order"))
-    distinct = made.select("digest", "paragraph", "keys").dropDuplicates(["digest"])
-    distinct, distinct_path = table(distinct)
-    roots = similar_paragraphs(distinct, width, similar, most)
+    distinct, distinct_path = table(made.select("digest", "keys").dropDuplicates(["digest"]))
+    roots = similar_paragraphs(distinct, made.select("digest", "paragraph"), width, similar, most)
     drop(spark, distinct_path)
     counted = places.groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n")).join(if_small(roots), F.col("digest") == F.col("node"), "left")
     counted, counted_path = table(counted.select("digest", F.coalesce("root", "digest").alias("root"), "first", "n"))
@@ -185,11 +183,13 @@ def substring_dedup(
     repeated = if_small(cut(rebalanced(repeated)))
     gone = places.join(repeated, "digest").where(F.col("order") != F.col("stays"))
     gone = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("place")).alias("removed"), F.array_sort(F.collect_set(F.col("stays.who"))).alias("kept_in"))
-    gone = if_small(cut(rebalanced(gone)), 20_000)
+    gone = cut(rebalanced(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "removed", "kept_in")))
     drop(spark, made_path)
     drop(spark, counted_path)
-    full = df.select(*[df[c] for c in names], key.alias("__id"), F.xxhash64(text_col).alias("__mark"))
-    full = full.join(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "removed", "kept_in"), ["__id", "__mark"], "left")
+    # most documents have nothing to remove, and do not move
+    full = df.select(*[df[c] for c in names], key.alias("__id"), F.xxhash64(text_col).alias("__mark")).withColumn("__met", Sieve(gone, "__id", "__mark").passes("__id", "__mark"))
+    rest = full.where(~F.col("__met")).withColumns({c: F.lit(None).cast(gone.schema[c].dataType) for c in ("removed", "kept_in")})
+    full = full.where("__met").join(gone, ["__id", "__mark"], "left").select(*rest.columns).unionByName(rest)
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col("removed"), i))
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     id_type = kind.simpleString()

@@ -19,7 +19,8 @@ LEAST_SCORE = 0.5
 #: SimHash of the near-dedup stage: five words, and fingerprints of 256 bits, since at 0.8 of
 #: common shingles 64 bits do not tell near copies from chance. Documents that share 0.8 of their
 #: shingles differ in 39 of the bits on average, with a deviation of 6; nearly all are within 48.
-WIDTH, SEEDS, RADIUS = 5, (42, 43, 44, 45), 48
+#: So do many that share less, so texts within the radius are compared by their shingles.
+WIDTH, SEEDS, RADIUS, SIMILAR = 5, (42, 43, 44, 45), 48, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; documents without an id stay."""
-    found = simhash_dedup(docs, width=WIDTH, seeds=SEEDS, radius=RADIUS, exact=False)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest id; documents without an id stay."""
+    found = simhash_dedup(docs, width=WIDTH, seeds=SEEDS, radius=RADIUS, exact=False, similar=SIMILAR)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import connected_components, cut, drop, rebalanced, spread, table
+from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanced, spread, table
 
 #: Most distinct fingerprints in a tree; a shard with more is dealt out as pairs of such parts.
 TREE = 1024
@@ -21,6 +21,8 @@ TREE = 1024
 LEAF = 96
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
+#: Most texts of a candidate component that are compared as one unit.
+UNIT = 512
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -47,17 +49,17 @@ def fingerprint(text: str | None, width: int = 4, seeds: tuple[int, ...] = (42,)
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int, seeds: tuple[int, ...]) -> DataFrame:
-    """``(id_col, fp)``, a row for each of ``df``."""
+    """``(id_col, __mark, fp)``, a row for each of ``df``; ``__mark`` is the text's hash."""
     kind = df.schema[id_col].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "fp": [fingerprint(t, width, seeds) for t in b["__text"]]})
+            yield pd.DataFrame({id_col: b[id_col], "__mark": b["__mark"], "fp": [fingerprint(t, width, seeds) for t in b["__text"]]})
 
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = df.select(F.col(id_col), F.xxhash64(text_col).alias("__mark"), F.col(text_col).alias("__text"))
     if isinstance(kind, T.IntegralType):  # pandas would turn a null id into a float
         rows = rows.withColumn(id_col, F.col(id_col).cast("string"))
-    out = rows.mapInPandas(run, T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("fp", T.BinaryType())]))
+    out = rows.mapInPandas(run, T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("__mark", T.LongType()), T.StructField("fp", T.BinaryType())]))
     return out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
@@ -211,8 +213,75 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]], most: int = TR
     return out
 
 
+def _similar_texts(batches: Iterator[pd.DataFrame], radius: int, width: int, similar: float) -> Iterator[pd.DataFrame]:
+    """Of each unit a spanning forest of the pairs that lie within the radius and are similar; pairs that are connected already aren't compared."""
+    unit, marks, fps, sides, sets = None, [], [], [], []
+
+    def close() -> Iterator[pd.DataFrame]:
+        if len(marks) < 2:
+            return
+        points = np.frombuffer(b"".join(fps), dtype=">u8").reshape(len(fps), -1).astype(np.uint64)
+        sizes, side, parent = np.array([len(x) for x in sets]), np.array(sides), np.arange(len(marks))
+        src, dst, two = [], [], 1 in sides
+        for i in range(1, len(marks)):
+            least, most = np.minimum(sizes[:i], sizes[i]), np.maximum(sizes[:i], sizes[i])
+            fits = (_distances(points[i : i + 1], points[:i])[0] <= radius) & (least >= similar * most)
+            if two:
+                fits &= side[:i] != side[i]
+            for j in np.flatnonzero(fits).tolist():
+                if parent[i] != parent[j] and (both := len(sets[i] & sets[j])) >= similar * (sizes[i] + sizes[j] - both):
+                    merge(parent, np.array([i]), np.array([j]))
+                    src.append(marks[i])
+                    dst.append(marks[j])
+        if src:
+            yield pd.DataFrame({"src": src, "dst": dst})
+
+    for b in batches:
+        for key, mark, fp, side, text in zip(b["unit"].tolist(), b["mark"].tolist(), b["fp"], b["side"].tolist(), b["text"]):
+            if key != unit:
+                yield from close()
+                unit, marks, fps, sides, sets = key, [], [], [], []
+            marks.append(mark)
+            fps.append(bytes(fp))
+            sides.append(side)
+            sets.append(set(shingles(text, width)))
+    yield from close()
+
+
+def similar_texts(texts: DataFrame, df: DataFrame, text_col: str, radius: int, width: int, similar: float, most: int = UNIT) -> DataFrame:
+    """``(node, root)`` over the marks of ``texts(mark, fp, group)``, each mark once; the texts themselves come from ``df``.
+
+    Texts of a group are linked if their fingerprints lie within the radius and the Jaccard
+    similarity of their distinct shingles is at least ``similar``. A group of more than
+    ``most`` texts is compared as pairs of parts; texts alone in their group do not move.
+    """
+    spark = df.sparkSession
+    sizes = texts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    sizes, sizes_path = table(sizes.select("group", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    met, met_path = table(texts.join(sizes, "group"))
+    units = met.withColumn("own", F.pmod(F.xxhash64("mark", F.lit(2)), F.col("parts")).cast("int"))
+    units = units.select("group", "mark", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    units = units.select(
+        F.concat_ws("/", F.hex("group"), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "mark", "fp", (F.col("own") > F.col("other")).cast("int").alias("side")
+    )
+    own = df.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    own = own.where(Sieve(met, "mark").passes("mark")).dropDuplicates(["mark"])
+    units = spread(units.join(own, "mark"), "unit").sortWithinPartitions("unit", "mark")
+    pairs = cut(units.mapInPandas(lambda batches: _similar_texts(batches, radius, width, similar), "src long, dst long").distinct())
+    drop(spark, sizes_path)
+    drop(spark, met_path)
+    return connected_components(pairs)
+
+
 def simhash_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seeds: tuple[int, ...] = (42,), radius: int = 4, exact: bool = True
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 4,
+    seeds: tuple[int, ...] = (42,),
+    radius: int = 4,
+    exact: bool = True,
+    similar: float | None = None,
 ) -> DataFrame:
     """``(id_col, fp, component_id)``, a row for each of ``df``.
 
@@ -222,6 +291,10 @@ def simhash_dedup(
     with a null id take part; their component id is null only if no row of the component has
     an id. Repeated rows and ids are rows like any other. An empty table gives an empty result.
 
+    ``similar``: links of fingerprints are candidates only; two texts link if besides the
+    Jaccard similarity of their distinct shingles is at least this, also where their
+    fingerprints are equal.
+
     ``exact``: shards by radius + 1 blocks of bits lose no link. Otherwise shards by sampled
     bits find a pair well within the radius with the probability of ``sampled_tables``; for
     radii too wide for blocks. Trees are built over distinct fingerprints, in the tasks
@@ -233,10 +306,20 @@ def simhash_dedup(
     bits = 64 * len(seeds)
     tables = exact_tables(bits, radius) if exact else sampled_tables(bits, radius, nodes.count())
     roots = connected_components(links(nodes, radius, tables)).select(F.col("node").alias("fp"), "root")
-    named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    if similar is None:
+        named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        key = "fp"
+    else:
+        texts, texts_path = table(rows.groupBy("__mark", "fp").agg(F.min(id_col).alias("least")))
+        grouped = texts.join(roots, "fp", "left").select(F.col("__mark").alias("mark"), "fp", F.coalesce("root", "fp").alias("group"))
+        found = similar_texts(grouped, df, text_col, radius, width, similar).select(F.col("node").alias("__mark"), "root")
+        named = texts.join(found, "__mark", "left").select("__mark", "least", F.coalesce("root", "__mark").alias("root"))
+        key = "__mark"
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rebalanced(named.join(least, "root").select("fp", "component_id")))
+    named = cut(rebalanced(named.join(least, "root").select(key, "component_id")))
     drop(df.sparkSession, nodes_path)
-    out = cut(rows.join(named, "fp").select(id_col, "fp", "component_id"))
+    out = cut(rows.join(named, key).select(id_col, "fp", "component_id"))
+    if similar is not None:
+        drop(df.sparkSession, texts_path)
     drop(df.sparkSession, path)
     return out

@@ -140,6 +140,47 @@ def test_wide_simhash_catches_near_copies():
     assert caught >= 57 and far == 60
 
 
+def jaccard(a, b, width=5):
+    x, y = (set(simhash.shingles(t, width)) for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def test_near_stage_verifies_similarity(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    once = p.exact(spark, docs, sf)
+    texts = {r["doc_id"]: r["text"] for r in once.collect()}
+    kept = {r["doc_id"] for r in p.near(spark, once, sf).collect()}
+    similar = {(i, j) for i, j in itertools.combinations(sorted(texts), 2) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert similar and set(texts) - kept == {j for _, j in similar}
+
+
+@pytest.mark.parametrize("most", [2, 512])
+def test_similar_texts_in_parts(spark, most):
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(100)]
+    texts = []
+    for _ in range(25):
+        own = list(words)
+        for k in draw.sample(range(100), draw.randrange(6)):
+            own[k] = f"x{draw.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts = list(dict.fromkeys([*texts, "a b c d e f", "A b  c d e f", "q r s t u v w", None]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # one fingerprint and group for all: only the shingles can tell them apart
+    marks = df.select(F.xxhash64("text").alias("mark"), F.lit(bytes(8)).alias("fp"), F.lit(b"g").alias("group"))
+    roots = {r["node"]: r["root"] for r in simhash.similar_texts(marks, df, "text", 4, 5, 0.8, most).collect()}
+    ids = [r["m"] for r in df.orderBy("doc_id").select(F.xxhash64("text").alias("m")).collect()]
+    want = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(texts[i], texts[j]) >= 0.8:
+            a, b = want[i], want[j]
+            want = [min(a, b) if w in (a, b) else w for w in want]
+    got = [roots.get(m, m) for m in ids]
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in itertools.combinations(range(len(texts)), 2))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201), (201, 200), (300, 299), (299, 298), (298, 500), (500, 41000)]
     found = {r["node"]: r["root"] for r in shared.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}

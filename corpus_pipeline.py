@@ -18,9 +18,9 @@ from logweave.llm.substring_dedup import substring_dedup
 LEAST_SCORE = 0.5
 #: SimHash of the near-dedup stage: five words, and fingerprints of 256 bits, since at 0.8 of
 #: common shingles 64 bits do not tell near copies from chance. Documents that share 0.8 of their
-#: shingles differ in 39 of the bits on average, with a deviation of 6; nearly all are within 48.
-#: So do many that share less, so texts within the radius are compared by their shingles.
-WIDTH, SEEDS, RADIUS, SIMILAR = 5, (42, 43, 44, 45), 48, 0.8
+#: shingles differ in 39 of the bits on average, with a deviation of 6; 56 is three deviations more.
+#: Many that share less are within it too, so texts within the radius are compared by their shingles.
+WIDTH, SEEDS, RADIUS, SIMILAR = 5, (42, 43, 44, 45), 56, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

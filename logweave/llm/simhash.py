@@ -69,14 +69,13 @@ def exact_tables(bits: int, radius: int) -> list[list[int]]:
     return [list(range(a, b)) for a, b in zip(edges, edges[1:])]
 
 
-def sampled_tables(bits: int, radius: int, n: int, recall: float = 0.97, seed: int = 7) -> list[list[int]]:
-    """Random bit positions, enough tables that a pair with ``0.8 * radius`` differing bits agrees in one with probability ``recall``.
+def sampled_tables(bits: int, radius: int, recall: float = 0.99, k: int = 11, seed: int = 7) -> list[list[int]]:
+    """Random positions of ``k`` bits, enough tables that a pair with ``radius`` differing bits agrees in one with probability ``recall``.
 
-    The bits of a table grow with the logarithm of ``n``, the number of fingerprints, so
-    that shards stay small; the tables grow in number to make up for it.
+    Pairs with fewer differing bits agree with a higher one. Nothing depends on the number
+    of fingerprints: ``links`` splits shards that grow large.
     """
-    k = max(14, math.ceil(math.log2(max(n, 2))) - 3)
-    agree = (1 - 0.8 * radius / bits) ** k
+    agree = math.comb(bits - radius, k) / math.comb(bits, k)
     draw = random.Random(seed)
     return [sorted(draw.sample(range(bits), k)) for _ in range(math.ceil(math.log(1 - recall) / math.log(1 - agree)))]
 
@@ -296,7 +295,7 @@ def simhash_dedup(
     fingerprints are equal.
 
     ``exact``: shards by radius + 1 blocks of bits lose no link. Otherwise shards by sampled
-    bits find a pair well within the radius with the probability of ``sampled_tables``; for
+    bits find a pair at the radius with the probability of ``sampled_tables``; for
     radii too wide for blocks. Trees are built over distinct fingerprints, in the tasks
     that hold a shard: trees of all shards have no size bound, so they are dealt by a
     shuffle and not broadcast.
@@ -304,7 +303,7 @@ def simhash_dedup(
     rows, path = table(fingerprints(df, id_col, text_col, width, seeds))
     nodes, nodes_path = table(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     bits = 64 * len(seeds)
-    tables = exact_tables(bits, radius) if exact else sampled_tables(bits, radius, nodes.count())
+    tables = exact_tables(bits, radius) if exact else sampled_tables(bits, radius)
     roots = connected_components(links(nodes, radius, tables)).select(F.col("node").alias("fp"), "root")
     if similar is None:
         named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

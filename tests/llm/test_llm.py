@@ -181,6 +181,16 @@ def test_similar_texts_in_parts(spark, most):
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i, j in itertools.combinations(range(len(texts)), 2))
 
 
+def test_sampled_tables_recall_at_the_radius():
+    draw = np.random.default_rng(4)
+    for bits, radius in ((256, 48), (256, 56)):
+        tables = np.array(simhash.sampled_tables(bits, radius))
+        differs = np.zeros((3000, bits), bool)
+        for row in differs:
+            row[draw.choice(bits, radius, replace=False)] = True
+        assert (~differs[:, tables].any(axis=2)).any(axis=1).mean() >= 0.98
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201), (201, 200), (300, 299), (299, 298), (298, 500), (500, 41000)]
     found = {r["node"]: r["root"] for r in shared.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}

@@ -1,17 +1,20 @@
-"""Substring dedup: repeated passages found by paragraph MinHash banding, verified by exact Jaccard, clustered by components."""
+"""Substring dedup: repeated paragraphs found by MinHash banding, verified by exact Jaccard, clustered by components; then runs of words that repeat anywhere."""
 
 from __future__ import annotations
 
 import functools
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, spread, table
 from logweave.llm.simhash import merge
@@ -22,6 +25,8 @@ WIDTH, SIMILAR, LEAST = 5, 0.8, 50
 RECALL = 0.999
 #: Most paragraphs of a bucket that are compared as one unit.
 BUCKET = 512
+#: Words between blanks, as ``bytes.split`` has them.
+WORD = re.compile("[^ \\t\\n\\r\\x0b\\x0c]+")
 
 
 def bands(similar: float = SIMILAR, recall: float = RECALL, rows: int = 3) -> tuple[int, int]:
@@ -148,20 +153,156 @@ def similar_paragraphs(found: DataFrame, texts: DataFrame, width: int = WIDTH, s
     return connected_components(pairs)
 
 
+class Marks(Sieve):
+    """A sieve of hashes, larger since there is one for every few words of repeated text."""
+
+    BITS = 1 << 28
+
+    def _bit(self, *columns: str) -> Column:
+        return F.pmod(F.col(columns[0]), F.lit(self.BITS))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each pair of hashes in order; another function for each ``k``."""
+    a_odd, b_odd = _hashes(2 * 64)[0][2 * k : 2 * k + 2, 0]
+    out = (a ^ (a >> np.uint64(31))) * a_odd + (b ^ (b >> np.uint64(29))) * b_odd
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0x9E3779B97F4A7C15)
+
+
+def runs(h: np.ndarray, n: int, k: int = 0) -> np.ndarray:
+    """A hash of each run of ``n`` of the hashes, by doubling; none if there are fewer."""
+    total = max(0, len(h) - n + 1)
+    out, size, power, length = h[:0], 0, h, 1
+    while total and size < n:
+        if n & length:
+            part = power[size : size + total]
+            out = _mixed(out, part, k) if size else part
+            size += length
+        if 2 * length <= n:
+            power = _mixed(power[:-length], power[length:], k)
+        length *= 2
+    return out
+
+
+def _sliding(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """The least or greatest of each ``n`` values in a row."""
+    length = 1
+    while 2 * length <= n:
+        values = best(values[:-length], values[length:])
+        length *= 2
+    return best(values[: len(values) - (n - length)], values[n - length :]) if n > length else values
+
+
+def _word_hashes(text: str | None) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in _words(text or "")], np.uint64)
+
+
+def marks(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mark of each run of ``least`` words, the least hash of the shorter runs in it; and the shorter runs' hashes that are marks, once for each place.
+
+    A mark depends on the run's words alone, so wherever the run stands it has the same.
+    """
+    short = runs(h, max(1, least // 2))
+    span = least - max(1, least // 2) + 1
+    if len(short) < span:
+        return short[:0], short[:0]
+    lowest = _sliding(short, span, np.minimum)
+    edge = np.zeros(span - 1, np.uint64)
+    return lowest, short[short == _sliding(np.concatenate([edge, lowest, edge]), span, np.maximum)]
+
+
+def _marks_of(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        found = [marks(_word_hashes(text), least)[1] for text in b["text"] if len(text or "") >= 2 * least - 1]
+        hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        yield pd.DataFrame({"hash": hashes.view(np.int64), "n": n})
+
+
+def _runs_of(batches: Iterator[pd.DataFrame], least: int, shared: Broadcast) -> Iterator[pd.DataFrame]:
+    """The runs of ``least`` words whose mark is shared: two hashes of its words, and its start."""
+    full = shared.value
+    for b in batches:
+        out, rows = [], 0
+        for key, mark, text in zip(b["id"], b["mark"].tolist(), b["text"]):
+            if len(text or "") < 2 * least - 1:
+                continue
+            h = _word_hashes(text)
+            bit = (marks(h, least)[0] & np.uint64(Marks.BITS - 1)).astype(np.int64)
+            at = np.flatnonzero(full[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+            if len(at):
+                out.append((key, mark, at.astype(np.int32), *(runs(h, least, k)[at].view(np.int64) for k in (1, 2))))
+                rows += len(at)
+            if rows >= 100_000:
+                yield _as_rows(out)
+                out, rows = [], 0
+        if out:
+            yield _as_rows(out)
+
+
+def _as_rows(found: list[tuple]) -> pd.DataFrame:
+    ids, of, at, one, two = zip(*found)
+    n = [len(x) for x in at]
+    return pd.DataFrame(
+        {"id": np.repeat(np.array(ids, object), n), "mark": np.repeat(np.array(of, np.int64), n), "at": np.concatenate(at), "one": np.concatenate(one), "two": np.concatenate(two)}
+    )
+
+
+def without_runs(text: str, removed: list[int], starts: list[int], least: int) -> tuple[str, list[int]]:
+    """``text`` without the words of the runs of ``least`` words at ``starts``; ``removed`` with the places of the lines they stand in.
+
+    ``removed`` has the places of lines that are not in ``text`` any more. A line that loses
+    all its words goes; where blanks stand on both sides of what goes, those after it go too.
+    """
+    spans = [m.span() for m in WORD.finditer(text)]
+    change = np.zeros(len(spans) + 1, np.int64)
+    np.add.at(change, np.array(starts), 1)
+    np.add.at(change, np.array(starts) + least, -1)
+    lost = np.cumsum(change)[:-1] > 0
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    before = set(removed)
+    places = [x for x in range(len(breaks) + 1 + len(before)) if x not in before]
+    touched = {places[i] for i in np.searchsorted(breaks, [spans[i][0] for i in np.flatnonzero(lost).tolist()]).tolist()}
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], lost, [0]]))).reshape(-1, 2).tolist()
+    ends = [(spans[a][0], spans[b - 1][1]) for a, b in edges]
+    out = text[: ends[0][0]]
+    for (_, start), stop in zip(ends, [*(a for a, _ in ends[1:]), len(text)]):
+        rest = text[start:stop].lstrip(" \t")
+        opens = not out.rpartition("\n")[2].strip(" \t")
+        closes = not rest or rest.startswith(("\n", "\r\n"))
+        if closes:
+            out = out.rstrip(" \t")
+        if opens and closes and rest:
+            rest = rest.partition("\n")[2]
+        elif opens and closes:
+            out = out.removesuffix("\n")
+        elif not opens and not closes and out[-1] not in " \t":
+            rest = text[start:stop]
+        out += rest
+    return out, sorted(before | touched)
+
+
 def substring_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, width: int = WIDTH, similar: float = SIMILAR, most: int = BUCKET
 ) -> DataFrame:
-    """``df`` with repeated paragraphs taken out of the text, and ``removed`` and ``kept_in``.
+    """``df`` with repeated passages taken out of the text, and ``removed`` and ``kept_in``.
 
     Paragraphs are the lines of a text; those of ``least`` words and more are compared by
     the Jaccard similarity of their shingles of ``width`` words (between blanks, A-Z
     lower-cased). Similar ones are linked, and of each component of links the occurrence
     with the smallest (id, place) stays, a null id last; every other one is removed from its
-    text. ``removed`` lists the removed places (from 0), ``kept_in`` the ids of the documents in which
-    they stay, both empty where nothing was removed; such texts are unchanged, null ones
-    too. Rows with the same id and text count as one document and are treated alike. Shorter
-    lines always stay. An empty table gives an empty result; columns named as a new column
+    text. From what is left, runs of ``least`` words and more that have an earlier occurrence
+    (in the order of id and place in the text; in the same document one that does not overlap) are
+    removed word by word, wherever they stand: inside a line, or across lines. ``removed``
+    lists the places (from 0) of the lines that lost words, ``kept_in`` the ids of the
+    documents in which they stay, both empty where nothing was removed; such texts are
+    unchanged, null ones too. Rows with the same id and text count as one document and are
+    treated alike. An empty table gives an empty result; columns named as a new column
     are replaced.
+
+    A run is found by its mark (``marks``), of which a text has one in some 13 words: marks
+    that occur more than once go to all tasks as a bitmap, and only runs with such a mark are
+    compared, by 128 bits of hashes over their words.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType
     names = [c for c in df.columns if c not in ("removed", "kept_in")]
@@ -193,8 +334,45 @@ def substring_dedup(
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col("removed"), i))
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     id_type = kind.simpleString()
-    return full.select(
+    left = full.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in names],
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
         F.coalesce(F.col("kept_in").cast(f"array<{id_type}>"), F.array().cast(f"array<{id_type}>")).alias("kept_in"),
+        "__id",
+        "__mark",
     )
+    return _without_repeated_runs(left, names, text_col, kind, least)
+
+
+def _without_repeated_runs(left: DataFrame, names: list[str], text_col: str, kind: T.DataType, least: int) -> DataFrame:
+    """The second half of ``substring_dedup``: over texts without repeated paragraphs."""
+    spark = left.sparkSession
+    texts = left.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col(text_col).alias("text"))
+    found = texts.select("text").mapInPandas(lambda batches: _marks_of(batches, least), "hash long, n long")
+    shared = Marks(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "hash")
+    bitmap = shared.bitmap
+    at, at_path = table(texts.mapInPandas(lambda batches: _runs_of(batches, least, bitmap), "id string, mark long, at int, one long, two long"))
+    order = F.struct((F.col("id") == "").alias("none"), F.when(F.col("id") != "", F.col("id")).cast(kind).alias("who"), "mark", "at")
+    at = at.withColumn("order", order)
+    first = at.groupBy("one", "two").agg(F.min("order").alias("stays"), F.count("*").alias("n")).where("n > 1").select("one", "two", "stays")
+    first, first_path = table(first)
+    same = F.struct("order.none", "order.who", "order.mark").eqNullSafe(F.struct("stays.none", "stays.who", "stays.mark"))
+    gone = at.join(first, ["one", "two"]).where(~same | (F.col("at") - F.col("stays.at") >= least))
+    gone = gone.groupBy("id", "mark").agg(F.array_sort(F.collect_set("at")).alias("__starts"), F.array_sort(F.collect_set("stays.who")).alias("__kept"))
+    gone = cut(rebalanced(gone.withColumnsRenamed({"id": "__id", "mark": "__mark"})))
+    drop(spark, at_path)
+    drop(spark, first_path)
+
+    @F.pandas_udf("text string, removed array<int>")
+    def cut_out(text: pd.Series, removed: pd.Series, starts: pd.Series) -> pd.DataFrame:
+        rows = [without_runs(t, [int(x) for x in r], [int(x) for x in s], least) for t, r, s in zip(text, removed, starts)]
+        return pd.DataFrame(rows, columns=["text", "removed"])
+
+    full = left.withColumn("__met", Sieve(gone, "__id", "__mark").passes("__id", "__mark"))
+    columns = [*names, "removed", "kept_in"]
+    met = full.where("__met").join(gone, ["__id", "__mark"], "left")
+    clean = met.where(F.col("__starts").isNull()).select(*columns)
+    met = met.where(F.col("__starts").isNotNull()).withColumn("__cut", cut_out(F.col(text_col), F.col("removed"), F.col("__starts")))
+    new = {text_col: F.col("__cut.text"), "removed": F.col("__cut.removed"), "kept_in": F.array_sort(F.array_union("kept_in", "__kept"))}
+    met = met.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
+    return full.where(~F.col("__met")).select(*columns).unionByName(clean).unionByName(met)

@@ -379,6 +379,50 @@ def test_substring_dedup_odd(spark):
     assert 1 - (1 - 0.8**rows) ** n >= 0.999 > 1 - (1 - 0.8**rows) ** (n - 1)
 
 
+def slow_runs(docs, least=50):
+    """By brute force: the words that stay of each text after ``slow_repeats``, and whether any went by runs."""
+    gone = slow_repeats(docs, least)
+    left = {i: "\n".join(x for place, x in enumerate((text or "").split("\n")) if (i, place) not in gone).encode().split() for i, text in docs}
+    first, out = {}, {}
+    for i, words in sorted(left.items()):
+        lost, lower = set(), [w.lower() for w in words]
+        for k in range(len(words) - least + 1):
+            j, at = first.setdefault(tuple(lower[k : k + least]), (i, k))
+            if j != i or k - at >= least:
+                lost |= set(range(k, k + least))
+        out[i] = ([w for k, w in enumerate(words) if k not in lost], bool(lost))
+    return out
+
+
+def test_substring_dedup_runs_whole_table(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    want = slow_runs(docs)
+    rows = queries.op7_substring_dedup(spark, sf).collect()
+    assert {r["doc_id"]: r["text"].encode().split() for r in rows} == {i: words for i, (words, _) in want.items()}
+    by_runs = {i for i, (_, lost) in want.items() if lost}
+    assert by_runs and all(r["removed"] and r["kept_in"] for r in rows if r["doc_id"] in by_runs)
+
+
+def test_substring_dedup_inside_and_across_lines(spark):
+    passage = [f"p{k}" for k in range(54)]
+    fill = [f"f{k}" for k in range(200)]
+    texts = [
+        " ".join(fill[:70] + passage[:40]) + "\n" + " ".join(passage[40:] + fill[70:90]),  # across lines
+        "head\n" + " ".join(fill[100:130] + passage + fill[130:160]) + "\nend",  # inside a line
+        "x  " + " ".join(passage[:10]).upper() + "\n\n" + " ".join(passage[10:]) + "\ty",  # over lines under 50 words, other case
+        " ".join(fill[160:180] + passage[:49]),  # 49 words stay
+        "a\n" + " ".join(passage[:20]) + "\n" + " ".join(passage[20:]) + "\nb",  # whole lines
+        "once " + " ".join(f"r{k}" for k in range(50)) + " then " + " ".join(f"r{k}" for k in range(50)) + " done",  # twice in a text
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in substring_dedup.substring_dedup(df).collect()}
+    assert [rows[i]["text"] for i in (0, 3)] == [texts[0], texts[3]] and rows[0]["removed"] == rows[3]["removed"] == []
+    assert rows[1]["text"] == "head\n" + " ".join(fill[100:160]) + "\nend" and rows[1]["removed"] == [1]
+    assert rows[2]["text"] == "x  y" and rows[2]["removed"] == [0, 2] and rows[2]["kept_in"] == [0]
+    assert rows[4]["text"] == "a\nb" and rows[4]["removed"] == [1, 2]
+    assert rows[5]["text"] == "once " + " ".join(f"r{k}" for k in range(50)) + " then done" and rows[5]["kept_in"] == [5]
+
+
 # packing
 
 

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.patterns import PatternSet, density_vector, language_density
@@ -25,10 +25,13 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks(df))
 
 
+def _ev_line() -> Column:
+    return F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("user="), F.col("user_id")), "event_type", F.format_string("%.2f", "value"), "props")
+
+
 def ev_lines(spark: SparkSession, d: str) -> DataFrame:
     """Every event as a line of a log."""
-    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.concat(F.lit("user="), F.col("user_id")), "event_type", F.format_string("%.2f", "value"), "props")
-    return _spread(_read(spark, d, "events").select(F.col("event_id").alias("line_id"), line.alias("line")))
+    return _spread(_read(spark, d, "events").select(F.col("event_id").alias("line_id"), _ev_line().alias("line")))
 
 
 def short_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +150,7 @@ def automaton_signature_groups(spark, d):
 
 
 def cheapest_path(spark, d):
-    found = automaton.paths(short_lines(spark, d), PatternSet.default())
+    found = automaton.paths(ev_lines(spark, d), PatternSet.default())
     return found.select("line_id", F.round("cost", 9).alias("cost"), "path")
 
 
@@ -278,18 +281,56 @@ def stream_leader(spark, d):
     root = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     schema = _read(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    line = F.concat_ws(" ", "event_type", F.format_string("%.2f", "value"))
-    query = cluster_stream(rows.select(F.col("event_id").alias("line_id"), line.alias("line")), root, f"{root}/progress", threshold=0.05)
+    query = cluster_stream(rows.select(F.col("event_id").alias("line_id"), _ev_line().alias("line")), root, f"{root}/progress", threshold=0.05)
     query.awaitTermination()
     return StreamingClusters(root).clusters(spark)
 
 
+# The queries above whose SQL has the short lines, over whole lines; SQL over all substrings of these takes too long.
+
+
+def match_all_whole(spark, d):
+    return matching.matches(ev_lines(spark, d), PatternSet.default(), "all")
+
+
+def match_reduced_whole(spark, d):
+    return matching.reduced(match_all_whole(spark, d), "largest")
+
+
+def match_greedy_whole(spark, d):
+    return matching.matches(ev_lines(spark, d), PatternSet.default(), "greedy")
+
+
+def match_dict_whole(spark, d):
+    own = ev_lines(spark, d)
+    return matching.as_map(own, matching.matches(own, PatternSet.default())).select("line_id", "name", F.array_join("texts", "|").alias("texts"))
+
+
+def match_string_whole(spark, d):
+    own = ev_lines(spark, d)
+    return matching.as_string(own, matching.matches(own, PatternSet.named(["float", "spaces", "word"])))
+
+
+def automaton_infix_whole(spark, d):
+    return automaton.arcs(ev_lines(spark, d), PatternSet.default())
+
+
+def automaton_filtered_whole(spark, d):
+    return automaton.arcs(ev_lines(spark, d), PatternSet.default(), filtered=["spaces", "hexa"]).drop("infix")
+
+
+def line_self_match_whole(spark, d):
+    own = ev_lines(spark, d)
+    return evaluate.line_indices(own, own)
+
+
 _ALL = (
     lines_scan, lines_strip, lines_dense, lines_head, log_names, template_parts, pattern_collection, mkconf, pattern_accepts, density_runs, density_all, density_order,
     match_all, match_largest, match_reduced, match_greedy, match_delimited, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_counts,
     automaton_signature_groups, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, nearest_representative, cluster_leader, cluster_sizes, cluster_preprocessed,
     template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, best_param, metric_projection, log_order, html_colors,
     values_to_colors, row_html, lines_html, clustered_html, result_json, stream_leader,
+    match_all_whole, match_reduced_whole, match_greedy_whole, match_dict_whole, match_string_whole, automaton_infix_whole, automaton_filtered_whole, line_self_match_whole,
 )
 
 

@@ -164,6 +164,36 @@ def test_query(spark, sf, views, name):
     assert rows == sorted((tuple(plain(v) for v in r) for r in want.fetchall()), key=repr)
 
 
+@pytest.fixture(scope="module")
+def few_events(sf, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("few"))
+    duckdb.connect().execute(f"COPY (SELECT * FROM '{sf}/events.parquet' WHERE event_id < 30) TO '{path}/events.parquet'")
+    return path
+
+
+@pytest.mark.parametrize("name", ["match_all", "match_reduced", "match_greedy", "match_dict", "match_string", "automaton_infix", "automaton_filtered", "line_self_match"])
+def test_whole_lines(spark, few_events, name):
+    from logweave.plans.sql import EV, SHORT
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{few_events}/events.parquet'")
+    want = con.execute(oracle_sql()[name].replace(SHORT, EV).replace(" WHERE line LIKE 'view %'", ""))
+    columns = [c[0] for c in want.description]
+    got = queries()[name + "_whole"](spark, few_events).select(*columns).collect()
+    assert got and sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_whole_lines_without_sql(spark, few_events):
+    from logweave.functions import text
+    from logweave.plans.queries import ev_lines
+
+    lines, default = ev_lines(spark, few_events), PatternSet.default()
+    want = {r["line_id"]: round(text.cheapest_path(text.automaton(r["line"], default), default.densities())[0], 9) for r in lines.collect()}
+    assert {r["line_id"]: r["cost"] for r in queries()["cheapest_path"](spark, few_events).collect()} == want
+    got = {r["line_id"]: r["cluster_id"] for r in queries()["stream_leader"](spark, few_events).collect()}
+    assert got == {r["line_id"]: r["cluster_id"] for r in cluster.cluster(lines, threshold=0.05).collect()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +16,7 @@ from pyspark.sql import types as T
 
 from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, spread, table
 from logweave.llm.simhash import merge
+from logweave.llm.words import INVERSE, LINE_BREAK, Words, in_groups, mixed, powers, sliding
 
 #: Words of a shingle, similarity of a repeat, and words that a paragraph has at least.
 WIDTH, SIMILAR, LEAST = 5, 0.8, 50
@@ -37,49 +36,57 @@ def bands(similar: float = SIMILAR, recall: float = RECALL, rows: int = 3) -> tu
     return (math.ceil(math.log(1 - recall) / math.log(1 - similar**rows)) if similar < 1 else 1), rows
 
 
-def shingle_hashes(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Each distinct shingle of the words once, as a 64-bit hash."""
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    total = np.zeros(max(1, len(h) - width + 1), np.uint64)
-    for k in range(min(width, len(h))):
-        total = (total * np.uint64(0x100000001B3)) ^ h[k : k + len(total)]
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(32)
-    return np.unique(total)
-
-
 @functools.lru_cache(maxsize=4)
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.random.default_rng(20).integers(1, 2**63, (2, n, 1), dtype=np.uint64)
-    return a | np.uint64(1), b
+    a, b = np.random.default_rng(20).integers(1, 2**32, (2, n), dtype=np.uint32)
+    return a | np.uint32(1), b
 
 
-def signature(shingles: np.ndarray, n: int, rows: int) -> list[int]:
-    """A 64-bit key for each of ``n`` bands of ``rows`` minimum hashes."""
+def signatures(w: Words, first: np.ndarray, last: np.ndarray, width: int, n: int, rows: int) -> np.ndarray:
+    """``n`` 64-bit keys of each paragraph ``first[i]:last[i]`` of the words: bands of ``rows`` minimum hashes over its shingles."""
+    shingles = np.append(w.runs(width) >> np.uint64(32), [0]).astype(np.uint32)
+    edges = np.stack([first, last - width + 1], axis=1).ravel()
     a, b = _hashes(n * rows)
-    least = np.full(n * rows, ~np.uint64(0))
-    for at in range(0, len(shingles), 1024):
-        mixed = (shingles[at : at + 1024] ^ b) * a
-        mixed ^= mixed >> np.uint64(29)
-        np.minimum(least, mixed.min(axis=1), out=least)
-    return [xxhash.xxh64_intdigest(x, i) - 2**63 for i, x in enumerate(least.reshape(n, rows))]
+    keys = np.zeros((len(first), n), np.uint64)
+    for k in range(n * rows):
+        own = (shingles ^ b[k]) * a[k]
+        own ^= own >> np.uint32(15)
+        keys[:, k // rows] = mixed(keys[:, k // rows] ^ np.minimum.reduceat(own, edges)[::2], k // rows)
+    return keys.view(np.int64)
 
 
-def _words(paragraph: str) -> list[bytes]:
-    return paragraph.encode("utf-8", "surrogatepass").lower().split()
+def _digests(w: Words, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """128 bits of each paragraph's words."""
+    out = []
+    for seed in (1, 2):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(w.hashes, seed) * powers(len(w.hashes)))])
+        out.append(mixed((sums[last] - sums[first]) * powers(len(w.hashes) + 1, INVERSE)[first] + (last - first).astype(np.uint64), seed))
+    return [x.tobytes() for x in np.stack(out, axis=1)]
 
 
 def _paragraphs(batches: Iterator[pd.DataFrame], least: int, width: int, shape: tuple[int, int]) -> Iterator[pd.DataFrame]:
+    """The lines of at least ``least`` words: where they stand, their digests, texts and band keys."""
     for b in batches:
-        out = []
-        for key, mark, text in zip(b["id"], b["mark"].tolist(), b["text"]):
-            for place, paragraph in enumerate((text or "").split("\n")):
-                if len(paragraph) >= 2 * least - 1 and len(words := _words(paragraph)) >= least:
-                    out.append((key, mark, place, hashlib.md5(b" ".join(words)).digest(), paragraph, signature(shingle_hashes(words, width), *shape)))
-            if len(out) >= 2000:
-                yield pd.DataFrame(out, columns=["id", "mark", "place", "digest", "paragraph", "keys"])
-                out = []
-        yield pd.DataFrame(out, columns=["id", "mark", "place", "digest", "paragraph", "keys"])
+        ids, of = b["id"].to_numpy(), b["mark"].to_numpy()
+        for before, w in in_groups(b["text"]):
+            breaks = np.flatnonzero(np.frombuffer(w.data, np.uint8) == LINE_BREAK)
+            begins = np.append(0, breaks[:-1] + 1)
+            edges = np.searchsorted(w.starts, np.append(begins, len(w.data)))
+            long = np.flatnonzero(np.diff(edges) >= max(1, least))
+            if not len(long):
+                continue
+            first, last = edges[long], edges[long + 1]
+            text = np.searchsorted(w.begins, begins[long], "right") - 1
+            yield pd.DataFrame(
+                {
+                    "id": ids[before + text],
+                    "mark": of[before + text],
+                    "place": (long - np.searchsorted(breaks, w.begins)[text]).astype(np.int32),
+                    "digest": _digests(w, first, last),
+                    "paragraph": [w.data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(begins[long].tolist(), breaks[long].tolist())],
+                    "keys": list(signatures(w, first, last, min(width, max(1, least)), *shape)),
+                }
+            )
 
 
 def _shared_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,6 +105,14 @@ def _shared_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
+def _shingle_sets(paragraphs: pd.Series, width: int) -> Iterator[set[int]]:
+    """The distinct shingles of each paragraph as 64-bit hashes; all its words are one if they are fewer."""
+    for _, w in in_groups(paragraphs):
+        shingles = w.runs(width)
+        for a, b in zip(w.edges[:-1].tolist(), w.edges[1:].tolist()):
+            yield set(shingles[a : b - width + 1].tolist()) if b - a >= width else {int(mixed(w.hashes[a:b]).sum())}
+
+
 def _similar(batches: Iterator[pd.DataFrame], width: int, similar: float) -> Iterator[pd.DataFrame]:
     """Of each unit a spanning forest of the pairs that are similar; pairs that are connected already aren't compared."""
     unit, digests, sets, sides = None, [], [], []
@@ -118,12 +133,12 @@ def _similar(batches: Iterator[pd.DataFrame], width: int, similar: float) -> Ite
             yield pd.DataFrame({"src": src, "dst": dst})
 
     for b in batches:
-        for key, side, digest, paragraph in zip(b["unit"].tolist(), b["side"].tolist(), b["digest"], b["paragraph"]):
+        for key, side, digest, own in zip(b["unit"].tolist(), b["side"].tolist(), b["digest"], _shingle_sets(b["paragraph"], width)):
             if key != unit:
                 yield from close()
                 unit, digests, sets, sides = key, [], [], []
             digests.append(bytes(digest))
-            sets.append(set(shingle_hashes(_words(paragraph), width).tolist()))
+            sets.append(own)
             sides.append(side)
     yield from close()
 
@@ -162,59 +177,25 @@ class Marks(Sieve):
         return F.pmod(F.col(columns[0]), F.lit(self.BITS))
 
 
-def _mixed(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each pair of hashes in order; another function for each ``k``."""
-    a_odd, b_odd = _hashes(2 * 64)[0][2 * k : 2 * k + 2, 0]
-    out = (a ^ (a >> np.uint64(31))) * a_odd + (b ^ (b >> np.uint64(29))) * b_odd
-    out ^= out >> np.uint64(32)
-    return out * np.uint64(0x9E3779B97F4A7C15)
-
-
-def runs(h: np.ndarray, n: int, k: int = 0) -> np.ndarray:
-    """A hash of each run of ``n`` of the hashes, by doubling; none if there are fewer."""
-    total = max(0, len(h) - n + 1)
-    out, size, power, length = h[:0], 0, h, 1
-    while total and size < n:
-        if n & length:
-            part = power[size : size + total]
-            out = _mixed(out, part, k) if size else part
-            size += length
-        if 2 * length <= n:
-            power = _mixed(power[:-length], power[length:], k)
-        length *= 2
-    return out
-
+def marks(w: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The mark of each run of ``least`` words, the least hash of the shorter runs in it (0 for a run across texts); and the hashes that are marks, once for each place.
 
-def _sliding(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
-    """The least or greatest of each ``n`` values in a row."""
-    length = 1
-    while 2 * length <= n:
-        values = best(values[:-length], values[length:])
-        length *= 2
-    return best(values[: len(values) - (n - length)], values[n - length :]) if n > length else values
-
-
-def _word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh64_intdigest(w) for w in _words(text or "")], np.uint64)
-
-
-def marks(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The mark of each run of ``least`` words, the least hash of the shorter runs in it; and the shorter runs' hashes that are marks, once for each place.
-
-    A mark depends on the run's words alone, so wherever the run stands it has the same.
+    A mark is a minimum hash over the shorter runs of a window: one band of one row. It depends
+    on the window's words alone, so equal windows have equal marks wherever they stand.
     """
-    short = runs(h, max(1, least // 2))
-    span = least - max(1, least // 2) + 1
+    size = max(1, least // 2)
+    short, span = w.runs(size), least - size + 1
     if len(short) < span:
         return short[:0], short[:0]
-    lowest = _sliding(short, span, np.minimum)
+    lowest = np.where(w.same_text(least), sliding(short, span, np.minimum), np.uint64(0))
     edge = np.zeros(span - 1, np.uint64)
-    return lowest, short[short == _sliding(np.concatenate([edge, lowest, edge]), span, np.maximum)]
+    reached = sliding(np.concatenate([edge, lowest, edge]), span, np.maximum)
+    return lowest, short[(short == reached) & (reached > 0)]
 
 
 def _marks_of(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
     for b in batches:
-        found = [marks(_word_hashes(text), least)[1] for text in b["text"] if len(text or "") >= 2 * least - 1]
+        found = [marks(w, least)[1] for _, w in in_groups(b["text"])]
         hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
         yield pd.DataFrame({"hash": hashes.view(np.int64), "n": n})
 
@@ -223,29 +204,15 @@ def _runs_of(batches: Iterator[pd.DataFrame], least: int, shared: Broadcast) ->
     """The runs of ``least`` words whose mark is shared: two hashes of its words, and its start."""
     full = shared.value
     for b in batches:
-        out, rows = [], 0
-        for key, mark, text in zip(b["id"], b["mark"].tolist(), b["text"]):
-            if len(text or "") < 2 * least - 1:
-                continue
-            h = _word_hashes(text)
-            bit = (marks(h, least)[0] & np.uint64(Marks.BITS - 1)).astype(np.int64)
-            at = np.flatnonzero(full[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+        ids, of = b["id"].to_numpy(), b["mark"].to_numpy()
+        for before, w in in_groups(b["text"]):
+            lowest = marks(w, least)[0]
+            bit = (lowest & np.uint64(Marks.BITS - 1)).astype(np.int64)
+            at = np.flatnonzero((full[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) & (lowest > 0))
             if len(at):
-                out.append((key, mark, at.astype(np.int32), *(runs(h, least, k)[at].view(np.int64) for k in (1, 2))))
-                rows += len(at)
-            if rows >= 100_000:
-                yield _as_rows(out)
-                out, rows = [], 0
-        if out:
-            yield _as_rows(out)
-
-
-def _as_rows(found: list[tuple]) -> pd.DataFrame:
-    ids, of, at, one, two = zip(*found)
-    n = [len(x) for x in at]
-    return pd.DataFrame(
-        {"id": np.repeat(np.array(ids, object), n), "mark": np.repeat(np.array(of, np.int64), n), "at": np.concatenate(at), "one": np.concatenate(one), "two": np.concatenate(two)}
-    )
+                text = np.searchsorted(w.edges, at, "right") - 1
+                one, two = (w.runs(least, seed)[at].view(np.int64) for seed in (1, 2))
+                yield pd.DataFrame({"id": ids[before + text], "mark": of[before + text], "at": (at - w.edges[text]).astype(np.int32), "one": one, "two": two})
 
 
 def without_runs(text: str, removed: list[int], starts: list[int], least: int) -> tuple[str, list[int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 from collections.abc import Iterator
@@ -18,7 +19,9 @@ from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanc
 #: Most distinct fingerprints in a tree; a shard with more is dealt out as pairs of such parts.
 TREE = 1024
 #: Fingerprints in a leaf of a tree.
-LEAF = 96
+LEAF = 8
+#: Fingerprints that a shard of ``exact_tables`` has on average, at most.
+SHARD = 64
 #: Shingles whose bits are counted at a time.
 BLOCK = 1 << 16
 #: Most texts of a candidate component that are compared as one unit.
@@ -63,10 +66,19 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int, seeds: t
     return out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
-def exact_tables(bits: int, radius: int) -> list[list[int]]:
-    """Bit positions of radius + 1 blocks: fingerprints within the radius agree in one of them at least."""
-    edges = [round(i * bits / (radius + 1)) for i in range(radius + 2)]
-    return [list(range(a, b)) for a, b in zip(edges, edges[1:])]
+def exact_tables(bits: int, radius: int, n: int = 0) -> list[list[int]]:
+    """Bit positions such that fingerprints within the radius agree on those of one table at least.
+
+    Of ``b`` blocks of bits ``radius`` differing bits leave ``b - radius`` alike, so there is
+    a table for each choice of so many blocks. More blocks make more tables of smaller
+    shards; there are as few as leave ``SHARD`` of ``n`` fingerprints in a shard on average.
+    """
+    blocks = radius + 1
+    while blocks < min(bits, 2 * radius + 2) and n >> bits * (blocks - radius) // blocks > SHARD:
+        blocks += 1
+    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    own = [list(range(a, b)) for a, b in zip(edges, edges[1:])]
+    return [sum(chosen, []) for chosen in itertools.combinations(own, blocks - radius)]
 
 
 def sampled_tables(bits: int, radius: int, recall: float = 0.99, k: int = 11, seed: int = 7) -> list[list[int]]:
@@ -95,7 +107,7 @@ class BKTree:
     time, without recursion, so equal or chained inputs can't exhaust the stack.
     """
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
         self.points = points
         self.nodes: list[tuple[int, np.ndarray | None, dict[int, int]]] = []  # pivot, leaf, children
         todo: list[tuple[np.ndarray, int, int]] = [(np.arange(len(points)), -1, 0)]
@@ -103,7 +115,7 @@ class BKTree:
             own, parent, key = todo.pop()
             if parent >= 0:
                 self.nodes[parent][2][key] = len(self.nodes)
-            if len(own) <= LEAF:
+            if len(own) <= leaf:
                 self.nodes.append((-1, own, {}))
                 continue
             at = len(self.nodes)
@@ -150,7 +162,9 @@ def _shard_links(fps: list[bytes], sides: np.ndarray, radius: int) -> tuple[list
     own, parent = np.flatnonzero(sides == 0), np.arange(len(fps))
     other = np.flatnonzero(sides == 1)
     other = other if len(other) else own
-    for q, p in BKTree(points[own]).search(points[other], radius):
+    # beyond an eighth of the bits the triangle inequality rules out no child, so a tree is one leaf there
+    tree = BKTree(points[own], LEAF if radius <= 8 * points.shape[1] else len(own))
+    for q, p in tree.search(points[other], radius):
         merge(parent, other[q], own[p])
     moved = np.flatnonzero(parent != np.arange(len(fps)))
     return [fps[i] for i in moved.tolist()], [fps[i] for i in parent[moved].tolist()]
@@ -199,14 +213,15 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]], most: int = TR
     dealt = nodes.select("fp").mapInPandas(keys, "t int, value long, fp binary")
     sizes = dealt.groupBy("t", "value").agg(F.count("*").alias("size"))
     large, path = table(sizes.where(F.col("size") > most).select("t", "value", F.ceil(F.col("size") / most).cast("int").alias("parts")))
+    # a unit's key is a hash; where two shards have one, they are searched together, which loses nothing
     if large.limit(1).count():
         split = dealt.join(large, ["t", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         split = split.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         units = split.select("t", "value", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-        units = units.select(F.xxhash64("t", "value", F.least("own", "other"), F.greatest("own", "other")).alias("deal"), F.concat_ws("/", "t", "value", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
+        units = units.select(F.xxhash64("t", "value", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
     else:
-        units = dealt.select(F.xxhash64("t", "value").alias("deal"), F.concat_ws("/", "t", "value").alias("unit"), "fp", F.lit(0).alias("side"))
-    units = spread(units, "deal").sortWithinPartitions("deal", "unit", "fp").select("unit", "fp", "side")
+        units = dealt.select(F.xxhash64("t", "value").alias("unit"), "fp", F.lit(0).alias("side"))
+    units = spread(units, "unit").sortWithinPartitions("unit", "fp")
     out = cut(units.mapInPandas(lambda batches: _links_in_shards(batches, radius), "src binary, dst binary").distinct())
     drop(nodes.sparkSession, path)
     return out
@@ -282,7 +297,7 @@ def simhash_dedup(
     exact: bool = True,
     similar: float | None = None,
 ) -> DataFrame:
-    """``(id_col, fp, component_id)``, a row for each of ``df``.
+    """``(id_col, fp, component_id, text_hash)``, a row for each of ``df``; ``text_hash`` is XXH64 of the text as Spark has it.
 
     ``fp`` is the fingerprint (``fingerprint``); fingerprints link at ``radius`` or fewer
     differing bits, and ``component_id`` is the smallest id that a row reaches over links,
@@ -294,7 +309,7 @@ def simhash_dedup(
     Jaccard similarity of their distinct shingles is at least this, also where their
     fingerprints are equal.
 
-    ``exact``: shards by radius + 1 blocks of bits lose no link. Otherwise shards by sampled
+    ``exact``: shards by blocks of bits (``exact_tables``) lose no link. Otherwise shards by sampled
     bits find a pair at the radius with the probability of ``sampled_tables``; for
     radii too wide for blocks. Trees are built over distinct fingerprints, in the tasks
     that hold a shard: trees of all shards have no size bound, so they are dealt by a
@@ -303,7 +318,7 @@ def simhash_dedup(
     rows, path = table(fingerprints(df, id_col, text_col, width, seeds))
     nodes, nodes_path = table(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     bits = 64 * len(seeds)
-    tables = exact_tables(bits, radius) if exact else sampled_tables(bits, radius)
+    tables = exact_tables(bits, radius, nodes.count()) if exact else sampled_tables(bits, radius)
     roots = connected_components(links(nodes, radius, tables)).select(F.col("node").alias("fp"), "root")
     if similar is None:
         named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -317,7 +332,7 @@ def simhash_dedup(
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rebalanced(named.join(least, "root").select(key, "component_id")))
     drop(df.sparkSession, nodes_path)
-    out = cut(rows.join(named, key).select(id_col, "fp", "component_id"))
+    out = cut(rows.join(named, key).select(id_col, "fp", "component_id", F.col("__mark").alias("text_hash")))
     if similar is not None:
         drop(df.sparkSession, texts_path)
     drop(df.sparkSession, path)

@@ -76,8 +76,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
     """A model of the languages in ``lang_col``, from rows where text and label are not null.
 
     Document frequencies and the list of languages cover all those rows: tasks add theirs
-    up, and what reaches the driver is a number for each bucket. The weights are fitted in
-    one task on the rows whose text hashes below a bound that lets about ``sample`` through.
+    up, and what reaches the driver is a number for each bucket. The rows whose text hashes
+    below a bound that lets about ``sample`` through are chosen where they are read, and the
+    weights are fitted on them in one task.
     Of these a fifth sets the temperature. Without labelled rows every prediction is ``und``.
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -119,7 +120,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
 
     order = F.xxhash64("text")
     chosen = rows.withColumn("order", order).where(order <= F.lit(hash_bound(sample / n)))
-    model = cut(chosen.coalesce(1).mapInPandas(learn, "weights binary, t double")).first()
+    model = cut(chosen.repartition(1).mapInPandas(learn, "weights binary, t double")).first()
     weights = np.frombuffer(model["weights"], np.float32).reshape(BUCKETS + 1, len(languages))
     return Model(languages, idf, weights, model["t"])
 

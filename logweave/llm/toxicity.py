@@ -121,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     Labels with a null id or category are left out, of several for one id the largest
     counts, and so do all documents of a repeated id. Of the labels those whose id hashes
     below a bound are taken, about ``sample``; that many can be broadcast to the documents.
-    The chain is fitted in one task, its rows in the order of their hashes. Without labels
+    Their features are made where they are read; the chain is fitted on them in one task, in
+    the order of their hashes. Without labels
     every probability is 0.
     """
     full = labels.where(F.col(id_col).isNotNull())
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             used = np.flatnonzero(w[:, 0])
             yield pd.DataFrame({"k": [k], "at": [used.tolist()], "weights": [w[used, 0].tobytes()], "threshold": [chain.thresholds[k]]})
 
-    made = cut(rows.mapInPandas(vectors, "order long, at array<int>, target array<int>").coalesce(1).mapInPandas(learn, "k int, at array<int>, weights binary, threshold double")).collect()
+    made = cut(rows.mapInPandas(vectors, "order long, at array<int>, target array<int>").repartition(1).mapInPandas(learn, "k int, at array<int>, weights binary, threshold double")).collect()
     weights, made = [], sorted(made, key=lambda r: r["k"])
     for r in made:
         w = np.zeros((BUCKETS + r["k"] + 1, 1), np.float32)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.linear import Row, scores, softmax, temperature, train
-from logweave.llm.shared import cut, hash_bound
+from logweave.llm.shared import cut, hash_bound, small_batches
 
 #: Buckets of the hashed n-grams, and the longest n.
 BUCKETS, LONGEST = 1 << 15, 3
@@ -81,6 +81,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
     weights are fitted on them in one task.
     Of these a fifth sets the temperature. Without labelled rows every prediction is ``und``.
     """
+    small_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,6 +133,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", names: tuple[st
     text is an input, so repeated rows get the same; columns of the new names are
     replaced. The model has a fixed size and goes along to the tasks.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

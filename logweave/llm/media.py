@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import cut, drop, table
+from logweave.llm.shared import cut, drop, small_batches, table
 from logweave.llm.webp import decode_bytes, encode
 
 
@@ -73,6 +73,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other; other columns are not read; an empty table gives an empty result. Texts of more
     than a million bytes are several images, so memory follows one text. There is no shuffle.
     """
+    small_batches(df.sparkSession)
     stored, path = table(store(df, id_col, text_col))
     out = cut(read(stored, id_col))
     drop(df.sparkSession, path)

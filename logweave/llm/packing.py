@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import cut, drop, if_small, rebalanced, table
+from logweave.llm.shared import cut, drop, if_small, rebalanced, small_batches, table
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -212,6 +212,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     ``patterns`` and one or two a length from the best fit, whatever the number of documents.
     """
     spark = df.sparkSession
+    small_batches(spark)
     made, path = table(pieces(df, id_col, text_col, size, vocabulary, keep_ids))
     counts = cut(made.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+#: Bytes of texts that go to a Python worker at a time.
+BATCH = 4 << 20
 #: Tables that operators wrote and that their results may still read.
 _left: set[str] = set()
 
@@ -56,6 +58,11 @@ def drop(spark: SparkSession, path: str) -> None:
     _left.discard(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets few bytes go to a Python worker at a time, so that its memory does not follow the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def keep_until_release(path: str) -> None:
     """Leaves a table for its reader; ``release`` deletes it."""
     _left.add(path)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanced, spread, table
+from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanced, small_batches, spread, table
 
 #: Most distinct fingerprints in a tree; a shard with more is dealt out as pairs of such parts.
 TREE = 1024
@@ -315,6 +315,7 @@ def simhash_dedup(
     that hold a shard: trees of all shards have no size bound, so they are dealt by a
     shuffle and not broadcast.
     """
+    small_batches(df.sparkSession)
     rows, path = table(fingerprints(df, id_col, text_col, width, seeds))
     nodes, nodes_path = table(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     bits = 64 * len(seeds)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, spread, table
+from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, small_batches, spread, table
 from logweave.llm.simhash import merge
 from logweave.llm.words import INVERSE, LINE_BREAK, Words, in_groups, mixed, powers, sliding
 
@@ -272,6 +272,7 @@ def substring_dedup(
     compared, by 128 bits of hashes over their words.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType
+    small_batches(spark)
     names = [c for c in df.columns if c not in ("removed", "kept_in")]
     shape = bands(similar)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.langid import _letters
 from logweave.llm.linear import Row, probability, train
-from logweave.llm.shared import cut, hash_bound
+from logweave.llm.shared import cut, hash_bound, small_batches
 
 #: Buckets of the hashed features; letters of a word's beginning that are features beside the word.
 BUCKETS, BEGINNINGS = 1 << 18, (3, 4, 5, 6)
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     the order of their hashes. Without labels
     every probability is 0.
     """
+    small_batches(docs.sparkSession)
     full = labels.where(F.col(id_col).isNotNull())
     for c in categories:
         full = full.where(F.col(c).isNotNull())
@@ -165,6 +166,7 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     new names are replaced; repeated rows get the same. The chain has a fixed size and goes
     along to the tasks. A chain without links, fitted without labels, says 0 and false.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = chain.categories
 

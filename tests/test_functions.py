@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logweave.cli import distance, main
+from logweave.functions import graphs, scan
 from logweave.functions import patterns as P
 from logweave.functions import text as X
 from logweave.functions.regex_dfa import compile_dfa
@@ -189,3 +190,22 @@ def test_commands(capsys, tmp_path):
     import json
 
     assert json.loads(capsys.readouterr().out).keys() == {"threshold", "patterns"}
+
+
+def test_batches_equal_single_lines():
+    draw = random.Random(3)
+    lines = ["".join(draw.choice("abz019.:-+/ \t\n\r@=#~Fé漢🙂") for _ in range(draw.randrange(30))) for _ in range(400)]
+    lines += ["1.2.3.4 5.6.7.256/33", None, "", "10.0.0.1/24 ::1/128 fe80::1", "a\0b", "1" * 5000]
+    for patterns in (FULL, P.PatternSet.default(any_collision="keep"), P.PatternSet.named(["int", "spaces", "float"])):
+        dfas = patterns.dfas()
+        for strategy in ("largest", "greedy", "all"):
+            some = lines if strategy != "all" else lines[:-1]
+            single = [sorted(m for n, d in dfas.items() for m in X.STRATEGIES[strategy](line or "", n, d)) for line in some]
+            assert [sorted(found) for found in scan.by_line(some, dfas, strategy)] == single
+            for filtered in ((), ("spaces", "hexa", "any")):
+                own = [X.automaton(line or "", patterns, dfas, strategy, filtered) for line in some]
+                many = graphs.graphs(some, patterns, dfas, strategy, filtered)
+                assert many.automata() == own
+                assert [(v, a) for v, a in zip(*(c.tolist() for c in many.counts()))] == [(len(g.vertices), len(g.arcs)) for g in own]
+                both = set(zip(many.signatures(), (g.signature for g in own)))
+                assert len(both) == len({a for a, _ in both}) == len({b for _, b in both})

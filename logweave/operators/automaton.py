@@ -4,59 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.graphs import graphs
 from logweave.functions.patterns import PatternSet
-from logweave.functions.text import automaton, cheapest_path
-
-
-def _per_line(lines: DataFrame, schema: str, make: Callable) -> DataFrame:
-    names = [part.split()[0] for part in schema.split(", ") if " " in part]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([row for i, line in zip(b["line_id"], b["line"]) for row in make(i, line or "")], columns=names)
-
-    return lines.select("line_id", "line").mapInPandas(run, schema)
+from logweave.functions.text import cheapest_path
+from logweave.operators.storage import settled
 
 
 def automata(lines: DataFrame, patterns: PatternSet, strategy: str | Callable = "largest", filtered: Iterable[str] = ()) -> DataFrame:
     """``(line_id, n_vertices, n_arcs, signature)``; lines with equal signatures have equal automata. Null counts as an empty line."""
     dfas, filtered = patterns.dfas(), tuple(filtered)
 
-    def make(i, line):
-        g = automaton(line, patterns, dfas, strategy, filtered)
-        yield i, len(g.vertices), len(g.arcs), g.signature
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = graphs(b["line"], patterns, dfas, strategy, filtered)
+            vertices, arcs = found.counts()
+            yield pd.DataFrame({"line_id": b["line_id"], "n_vertices": vertices.astype(np.int32), "n_arcs": arcs.astype(np.int32), "signature": found.signatures()})
 
-    return _per_line(lines, "line_id long, n_vertices int, n_arcs int, signature string", make)
+    return lines.select("line_id", "line").mapInPandas(run, "line_id long, n_vertices int, n_arcs int, signature string")
 
 
 def arcs(lines: DataFrame, patterns: PatternSet, strategy: str | Callable = "largest", filtered: Iterable[str] = ()) -> DataFrame:
     """``(line_id, src, dst, name, infix)``, a row for each arc."""
     dfas, filtered = patterns.dfas(), tuple(filtered)
 
-    def make(i, line):
-        g = automaton(line, patterns, dfas, strategy, filtered)
-        yield from ((i, *a, g.infix(a)) for a in g.arcs)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = graphs(b["line"], patterns, dfas, strategy, filtered)
+            infix = [found.lines[i][j:k] for i, j, k in zip(found.line.tolist(), found.src.tolist(), found.dst.tolist())]
+            names = np.array(found.names, object)[found.name]
+            yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[found.line], "src": found.src.astype(np.int32), "dst": found.dst.astype(np.int32), "name": names, "infix": infix})
 
-    return _per_line(lines, "line_id long, src int, dst int, name string, infix string", make)
+    return lines.select("line_id", "line").mapInPandas(run, "line_id long, src int, dst int, name string, infix string")
 
 
 def paths(lines: DataFrame, patterns: PatternSet) -> DataFrame:
     """``(line_id, cost, path)``: the cheapest decomposition of a line, as names joined by spaces."""
     dfas, densities = patterns.dfas(), patterns.densities()
 
-    def make(i, line):
-        cost, path = cheapest_path(automaton(line, patterns, dfas), densities)
-        yield i, cost, " ".join(name for _, _, name in path)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [cheapest_path(g, densities) for g in graphs(b["line"], patterns, dfas).automata()]
+            yield pd.DataFrame({"line_id": b["line_id"], "cost": [cost for cost, _ in found], "path": [" ".join(n for _, _, n in path) for _, path in found]})
 
-    return _per_line(lines, "line_id long, cost double, path string", make)
+    return lines.select("line_id", "line").mapInPandas(run, "line_id long, cost double, path string")
 
 
 def signature_groups(lines: DataFrame, patterns: PatternSet) -> DataFrame:
     """``(line_id, group_id)``: lines with equal automata, by the smallest line id of the group."""
-    found = automata(lines, patterns).select("line_id", "signature")
+    found = settled(automata(lines, patterns).select("line_id", "signature"))
     groups = found.groupBy("signature").agg(F.min("line_id").alias("group_id"))
     return found.join(groups, "signature").select("line_id", "group_id")

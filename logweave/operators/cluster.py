@@ -2,103 +2,160 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweave.functions.graphs import graphs
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
-from logweave.functions.text import Automaton, automaton, normalised_distance, staircase
+from logweave.functions.text import Automaton, normalised_distance, staircase
 from logweave.operators.automaton import automata
-from logweave.operators.storage import settled, tasks
+from logweave.operators.storage import drop, new_path, settled, table, tasks
 
-#: Lines that are taken in order at a time, so leaders found at a time at most; leaders that go to the tasks at a time.
-BLOCK, LEADERS = 64, 4096
+#: Undecided lines that are taken in order at a time, at first and at most; leaders that go to the tasks at a time.
+BLOCK, LARGEST_BLOCK, LEADERS = 64, 1024, 4096
 
 Leader = tuple[int, str]
 
 
 class Measure:
-    """Distances below a threshold from a fixed list of leaders, whose automata are built once in each task."""
+    """Distances below a threshold from a bounded list of leaders, whose automata are built once in each task."""
 
     def __init__(self, leaders: list[Leader], patterns: PatternSet, threshold: float):
         self.leaders, self.patterns, self.threshold = leaders, patterns, threshold
         self.dfas, self.densities = patterns.dfas(), patterns.densities()
         self.built: list[tuple[int, Automaton]] = []
 
-    def graph(self, line: str) -> Automaton:
-        return automaton(line, self.patterns, self.dfas)
+    def graphs(self, lines: Sequence[str]) -> list[Automaton]:
+        return graphs(lines, self.patterns, self.dfas).automata()
 
     def _leaders(self) -> list[tuple[int, Automaton]]:
         if len(self.built) < len(self.leaders):
-            self.built = [(i, self.graph(line)) for i, line in self.leaders]
+            self.built = list(zip([i for i, _ in self.leaders], self.graphs([line for _, line in self.leaders])))
         return self.built
 
-    def within(self, line: str) -> bool:
-        g = self.graph(line)
-        return any(normalised_distance(leader, g, self.densities, self.threshold) is not None for _, leader in self._leaders())
+    def within(self, lines: Sequence[str]) -> list[bool]:
+        """Whether a leader is closer than the threshold."""
+        own = self._leaders()
+        return [any(normalised_distance(leader, g, self.densities, self.threshold) is not None for _, leader in own) for g in self.graphs(lines)]
+
+    def earlier(self, lines: Sequence[Leader]) -> Iterator[tuple[int, int]]:
+        """(line, leader) of the leaders with smaller numbers that are closer than the threshold."""
+        own = self._leaders()
+        for (i, _), g in zip(lines, self.graphs([line for _, line in lines])):
+            yield from ((i, j) for j, leader in own if j < i and normalised_distance(leader, g, self.densities, self.threshold) is not None)
+
+    def stairs(self, lines: Sequence[str]) -> Iterator[list[tuple[int, float]]]:
+        """For each line the leaders in order, each closer than all before; a distance that does not come below the last is not finished."""
+        own = self._leaders()
+        for g in self.graphs(lines):
+            limit, out = self.threshold, []
+            for i, leader in own:
+                d = normalised_distance(leader, g, self.densities, limit)
+                if d is not None and d < limit:
+                    out.append((i, d))
+                    limit = d
+                    if not d:
+                        break
+            yield out
+
+
+def _leaders_among(rows: DataFrame, block: list[Leader], patterns: PatternSet, threshold: float) -> list[Leader]:
+    """The leaders of a block of lines in order: those that no leader before them in it is closer to than the threshold.
+
+    Tasks compare the block's lines; what comes back is the pairs of their numbers.
+    """
+    measure = Measure(block, patterns, threshold)
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(list(measure.earlier(list(zip(b["line_id"].tolist(), b["line"])))), columns=["line_id", "leader"])
 
-    def stairs(self, line: str) -> list[tuple[int, float]]:
-        """Leaders in order, each closer than all before; a distance that does not come below the last is not finished."""
-        g, limit, out = self.graph(line), self.threshold, []
-        for i, leader in self._leaders():
-            d = normalised_distance(leader, g, self.densities, limit)
-            if d is not None and d < limit:
-                out.append((i, d))
-                limit = d
-                if not d:
-                    break
-        return out
+    near: dict[int, set[int]] = {}
+    for r in rows.repartition(tasks(rows)).mapInPandas(close, "line_id long, leader long").collect():
+        near.setdefault(r["line_id"], set()).add(r["leader"])
+    found: dict[int, str] = {}
+    for i, line in block:
+        if not near.get(i, set()) & found.keys():
+            found[i] = line
+    return list(found.items())
 
 
-def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block: int = BLOCK) -> list[Leader]:
-    """The leaders in order: lines that no earlier leader is closer to than the threshold.
+def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block: int = BLOCK) -> tuple[DataFrame, str]:
+    """``(line_id, line)``, the leaders: lines that no earlier leader is closer to than the threshold; and the table's path.
 
     A line that repeats an earlier one is no leader, so distinct lines are enough. The first
     ``block`` undecided ones are taken in order; the leaders among them then go to the tasks,
-    which drop all lines that they reach. Each round settles a block and usually most of
-    what is left. The driver holds leaders and one block, never the lines. Empty lines are
-    left out: two of them have no distance, so each is its own leader.
+    which drop all lines that they reach, and to the table. Each round settles a block and
+    usually most of what is left; blocks grow while most of their lines are leaders. The
+    driver holds one block, never the lines or all leaders. Empty lines are left out: two of
+    them have no distance, so each is its own leader.
     """
-    left = settled(lines.where(F.length("line") > 0).groupBy("line").agg(F.min("line_id").alias("line_id")).repartition(tasks(lines)))
-    found: list[Leader] = []
+    spark = lines.sparkSession
+    path = new_path(spark, "leaders")
+    spark.createDataFrame([], "line_id long, line string").write.parquet(path)
+    left, left_path = table(lines.where(F.length("line") > 0).groupBy("line").agg(F.min("line_id").alias("line_id")).repartition(tasks(lines)))
     while rows := left.orderBy("line_id").limit(block).collect():
-        new: list[Leader] = []
-        for r in rows:
-            if not Measure(new, patterns, threshold).within(r["line"]):
-                new.append((r["line_id"], r["line"]))
-        found += new
-        measure, last = Measure(new, patterns, threshold), rows[-1]["line_id"]
+        own = [(r["line_id"], r["line"]) for r in rows]
+        last = own[-1][0]
+        new = _leaders_among(left.where(F.col("line_id") <= last), own, patterns, threshold)
+        spark.createDataFrame(new, "line_id long, line string").coalesce(1).write.mode("append").parquet(path)
+        measure = Measure(new, patterns, threshold)
 
         def beyond(batches: Iterator[pd.DataFrame], measure=measure) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield b[[not measure.within(x) for x in b["line"]]]
+                yield b[[not x for x in measure.within(b["line"].tolist())]]
+
+        rest, rest_path = table(left.where(F.col("line_id") > last).select("line", "line_id").repartition(tasks(lines)).mapInPandas(beyond, "line string, line_id long"))
+        drop(spark, left_path)
+        left, left_path = rest, rest_path
+        if 2 * len(new) > len(own):
+            block = min(2 * block, max(block, LARGEST_BLOCK))
+    drop(spark, left_path)
+    return spark.read.schema("line_id long, line string").parquet(path), path
 
-        left = settled(left.where(F.col("line_id") > last).select("line", "line_id").mapInPandas(beyond, "line string, line_id long"))
-    return found
 
+def nearest_leaders(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float) -> DataFrame:
+    """``(line, stairs)`` for distinct lines: (leader, distance) of ``leaders(leader, line)`` in the order of their numbers, each closer than those before.
 
-def nearest_leaders(lines: DataFrame, leaders: list[Leader], patterns: PatternSet, threshold: float) -> DataFrame:
-    """``(line, stairs)`` for distinct lines: (leader, distance) in the leaders' order, each closer than those before."""
+    Leaders are taken in blocks, and every line is compared with a block where the lines are.
+    """
     distinct = lines.where(F.length("line") > 0).select("line").distinct().repartition(tasks(lines))
-    out = None
-    for at in range(0, max(1, len(leaders)), LEADERS):
-        measure = Measure(leaders[at : at + LEADERS], patterns, threshold)
+    out, last = None, None
+    while True:
+        rows = (leaders if last is None else leaders.where(F.col("leader") > last)).orderBy("leader").limit(LEADERS).collect()
+        if not rows and out is not None:
+            break
+        measure = Measure([(r["leader"], r["line"]) for r in rows], patterns, threshold)
 
         def climb(batches: Iterator[pd.DataFrame], measure=measure) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame([(line, i, d) for line in b["line"] for i, d in measure.stairs(line)], columns=["line", "leader", "d"])
+                own = b["line"].tolist()
+                yield pd.DataFrame([(line, i, d) for line, found in zip(own, measure.stairs(own)) for i, d in found], columns=["line", "leader", "d"])
 
         part = distinct.mapInPandas(climb, "line string, leader long, d double")
         out = part if out is None else out.unionByName(part)
+        if len(rows) < LEADERS:
+            break
+        if last is None:
+            distinct = settled(distinct)
+        last = rows[-1]["leader"]
     return out.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("leader", "d"))).alias("stairs"))
 
 
-def nearest_representative(lines: DataFrame, leaders: list[Leader], patterns: PatternSet | None = None, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """``(line_id, leader, d)``: the closest of given leaders below the threshold, of equals the first; null if there is none."""
-    stairs = nearest_leaders(lines, sorted(leaders), patterns or PatternSet.default(), threshold)
-    best = F.try_element_at(F.array_sort(F.transform("stairs", lambda s: F.struct(s["d"].alias("d"), s["leader"].alias("leader")))), F.lit(1))
+def _closest(stairs: Column | str) -> Column:
+    """The step with the least distance, of equals the first leader."""
+    return F.try_element_at(F.array_sort(F.transform(stairs, lambda s: F.struct(s["d"].alias("d"), s["leader"].alias("leader")))), F.lit(1))
+
+
+def nearest_representative(lines: DataFrame, leaders: DataFrame | list[Leader], patterns: PatternSet | None = None, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """``(line_id, leader, d)``: the closest of ``leaders(line_id, line)`` below the threshold, of equals the first; null if there is none."""
+    if isinstance(leaders, list):
+        leaders = lines.sparkSession.createDataFrame(leaders, "line_id long, line string")
+    stairs = nearest_leaders(lines, leaders.select(F.col("line_id").alias("leader"), "line"), patterns or PatternSet.default(), threshold)
+    best = _closest("stairs")
     return lines.join(stairs, "line", "left").select("line_id", best["leader"].alias("leader"), best["d"].alias("d"))
 
 
@@ -112,11 +169,12 @@ def cluster(lines: DataFrame, patterns: PatternSet | None = None, threshold: flo
     """
     patterns = patterns or PatternSet.default()
     lines = lines.select("line_id", F.coalesce("line", F.lit("")).alias("line"))
-    stairs = settled(nearest_leaders(lines, find_leaders(lines, patterns, threshold, block), patterns, threshold))
+    leaders, path = find_leaders(lines, patterns, threshold, block)
+    stairs = settled(nearest_leaders(lines, leaders.select(F.col("line_id").alias("leader"), "line"), patterns, threshold))
+    drop(lines.sparkSession, path)
     rows = lines.join(stairs, "line", "left")
     # distances of blocks of leaders meet here, so the closest is looked for once more
-    before = F.filter("stairs", lambda s: s["leader"] < F.col("line_id"))
-    best = F.try_element_at(F.array_sort(F.transform(before, lambda s: F.struct(s["d"].alias("d"), s["leader"].alias("leader")))), F.lit(1))
+    best = _closest(F.filter("stairs", lambda s: s["leader"] < F.col("line_id")))
     return rows.select("line_id", F.coalesce(best["leader"], F.col("line_id")).alias("cluster_id"))
 
 
@@ -146,7 +204,7 @@ def sequential(lines: list[str], patterns: PatternSet, threshold: float) -> list
     leaders: list[Leader] = []
     out = []
     for i, line in enumerate(lines):
-        found = staircase(Measure(leaders, patterns, threshold).stairs(line))
+        found = staircase(next(Measure(leaders, patterns, threshold).stairs([line])))
         out.append(found[-1][0] if found else i)
         if not found:
             leaders.append((i, line))

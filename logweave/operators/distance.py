@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logweave.functions import text
+from logweave.functions.graphs import graphs
 from logweave.functions.patterns import PatternSet
 
 #: Costs from here on count as out of reach.
@@ -42,7 +43,8 @@ def pattern_distance(a: Column, b: Column, patterns: PatternSet | None = None, n
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        own = {line: text.automaton(line, patterns, dfas) for line in {*x, *y} - {None}}
+        lines = sorted({*x, *y} - {None})
+        own = dict(zip(lines, graphs(lines, patterns, dfas).automata()))
         return pd.Series([None if p is None or q is None else measure(own[p], own[q], densities, limit) for p, q in zip(x, y)], dtype="float64")
 
     return run(a, b)

@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.patterns import PatternSet
-from logweave.functions.text import STRATEGIES, delimited
+from logweave.functions.patterns import REGEXES, PatternSet
+from logweave.functions.regex_dfa import Dfa
+from logweave.functions.scan import scan
+from logweave.functions.text import delimited
 
 MATCH = "line_id long, name string, j int, k int"
 
 
+def _scanned(batches: Iterator[pd.DataFrame], dfas: dict[str, Dfa], strategy: str) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        ids = b["line_id"].to_numpy()
+        for name, (at, j, k) in scan(b["line"].tolist(), dfas, strategy).items():
+            yield pd.DataFrame({"line_id": ids[at], "name": name, "j": j.astype(np.int32), "k": k.astype(np.int32)})
+
+
 def _emit(find: Callable[[str], list], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(i, *m) for i, line in zip(b["line_id"], b["line"]) if line for m in find(line)]
@@ -23,11 +33,13 @@ def _emit(find: Callable[[str], list], batches: Iterator[pd.DataFrame]) -> Itera
 def matches(lines: DataFrame, patterns: PatternSet, strategy: str | Callable = "largest") -> DataFrame:
     """Matches of ``lines(line_id, line)`` by a strategy: all, largest, greedy, or a callable of (line, name, automaton).
 
-    Lines are scanned in Arrow batches where they are read; nothing is shuffled. Null and
-    empty lines have no matches.
+    Lines are scanned in Arrow batches where they are read, all lines of a batch at a time;
+    nothing is shuffled. Null and empty lines have no matches.
     """
-    find, dfas = STRATEGIES[strategy] if isinstance(strategy, str) else strategy, patterns.dfas()
-    search = lambda line: [m for name, dfa in dfas.items() for m in find(line, name, dfa)]
+    dfas = patterns.dfas()
+    if isinstance(strategy, str):
+        return lines.select("line_id", "line").mapInPandas(lambda batches: _scanned(batches, dfas, strategy), MATCH)
+    search = lambda line: [m for name, dfa in dfas.items() for m in strategy(line, name, dfa)]
     return lines.select("line_id", "line").mapInPandas(lambda batches: _emit(search, batches), MATCH)
 
 
@@ -65,9 +77,21 @@ def as_string(lines: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("line_id", F.array_join(F.transform("rows", lambda x: x["row"]), "\n").alias("report"))
 
 
+def java_regex(regex: str) -> str:
+    """A regex of the dialect for Java: blanks are space and tab, all other printable characters are ``\\S``."""
+    return regex.replace("\\S", "[!-~\\n\\r\\x0B\\f]").replace("\\s", "[ \\t]")
+
+
 def accepted(words: DataFrame, patterns: PatternSet, word_col: str = "word") -> DataFrame:
-    """``words`` with the names of the patterns that match the whole word."""
+    """``words`` with the names of the patterns that match the whole word; a null word has null.
+
+    The known patterns are matched by built-in functions, others by their automata.
+    """
     dfas = patterns.dfas()
+    if not patterns.handmade_any and all(REGEXES.get(n) == r for n, r in patterns.regexes):
+        word = F.col(word_col)
+        names = F.array_compact(F.array(*[F.when(word.rlike(f"\\A(?:{java_regex(r)})\\z"), F.lit(n)) for n, r in patterns.regexes]))
+        return words.withColumn("accepted", F.when(word.isNotNull(), names))
 
     @F.pandas_udf("array<string>")
     def run(own: pd.Series) -> pd.Series:

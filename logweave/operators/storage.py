@@ -1,16 +1,68 @@
-"""Tables between the rounds of an operator."""
+"""Tables between the rounds of an operator, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Tables that operators wrote and that their results may still read.
+_left: set[str] = set()
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets one on this machine; a cluster, whose machines do
+    not share that, gets an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "/tmp/checkpoints/logweave"
+    return folder.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str = "table") -> str:
+    """A path of its own in the shared folder, which ``release`` deletes."""
+    path = f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
+    _left.add(path)
+    return path
+
+
+def table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet in the shared folder and read back, and its path, to be given to ``drop``.
+
+    What is read back has no lineage and no known partitioning, so joins on it have an
+    exchange on both sides and adaptive execution can split a hot key.
+    """
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``, which all executors share; one is set where none is."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/logweave")
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder, until ``release``."""
+    return table(df)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``table``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _left.discard(path)
+
+
+def keep_until_release(path: str) -> None:
+    """Leaves a table for its reader; ``release`` deletes it."""
+    _left.add(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that operators left for their results; to be called when these are written or no longer needed."""
+    for path in list(_left):
+        drop(spark, path)
 
 
 def tasks(df: DataFrame) -> int:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
 from logweave.operators.cluster import find_leaders, nearest_leaders
+from logweave.operators.storage import drop, table
+from logweave.sources.lines import dense
 
 
 class StreamingClusters:
     """For ``foreachBatch``: assigns lines to leaders of this and earlier batches, and keeps both as tables.
 
-    State is the table of leaders under ``path``; it has one folder for each batch, so a batch
-    that is done again after a failure replaces its own. Lines are taken in the order of
+    State is the table of leaders under ``path``, which the driver never holds; it has one
+    folder for each batch, so a batch that is done again after a failure replaces its own. Lines are taken in the order of
     their ids within a batch, and batches in their order: the result over all batches is
     that of one pass over the lines in that order.
     """
@@ -21,31 +23,32 @@ class StreamingClusters:
     def __init__(self, path: str, patterns: PatternSet | None = None, threshold: float = DEFAULT_THRESHOLD):
         self.path, self.patterns, self.threshold = path, patterns or PatternSet.default(), threshold
 
-    def leaders(self, spark: SparkSession, before: int) -> list[tuple[int, str]]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/leaders")
-        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            return []
-        rows = spark.read.schema("line_id long, line string, batch long").option("recursiveFileLookup", "true").parquet(f"{self.path}/leaders").where(F.col("batch") < before)
-        return [(r["line_id"], r["line"]) for r in rows.orderBy("batch", "line_id").collect()]
+    def leaders(self, spark: SparkSession, upto: int) -> DataFrame:
+        """``(leader, line_id, line)`` of the batches up to a number; ``leader`` counts them in the order of their making."""
+        rows = spark.read.schema("leader long, line_id long, line string, batch long").option("recursiveFileLookup", "true").parquet(f"{self.path}/leaders")
+        return rows.where(F.col("batch") <= upto).select("leader", "line_id", "line")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        lines = batch.select("line_id", F.coalesce("line", F.lit("")).alias("line")).persist()
-        known = self.leaders(spark, number)
-        # leaders are numbered in the order of their making, which is not that of ids across batches
-        stairs = nearest_leaders(lines, [(k, line) for k, (_, line) in enumerate(known)], self.patterns, self.threshold) if known else None
-        left = lines.join(stairs.select("line"), "line", "left_anti") if stairs is not None else lines
-        new = find_leaders(left, self.patterns, self.threshold)
-        made = spark.createDataFrame([(i, line, number) for i, line in new], "line_id long, line string, batch long")
-        made.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/leaders/part-batch-{number}")
-        found = nearest_leaders(lines, [(k, line) for k, (_, line) in enumerate(known + new)], self.patterns, self.threshold)
-        names = spark.createDataFrame([(k, i, k >= len(known)) for k, (i, _) in enumerate(known + new)] or [], "leader long, cluster_id long, own boolean")
+        lines, lines_path = table(batch.select("line_id", F.coalesce("line", F.lit("")).alias("line")))
+        left = lines
+        if number:
+            known = nearest_leaders(lines, self.leaders(spark, number - 1).select("leader", "line"), self.patterns, self.threshold)
+            left = lines.join(known.select("line"), "line", "left_anti")
+        new, new_path = find_leaders(left, self.patterns, self.threshold)
+        # a batch's leaders have the numbers from batch * 2**40 on, in the order of their ids
+        made = dense(new.orderBy("line_id"), "place").select((F.col("place") + (number << 40)).alias("leader"), "line_id", "line", F.lit(number).cast("long").alias("batch"))
+        made.write.mode("overwrite").parquet(f"{self.path}/leaders/part-batch-{number}")
+        drop(spark, new_path)
+        leaders = self.leaders(spark, number)
+        found = nearest_leaders(lines, leaders.select("leader", "line"), self.patterns, self.threshold)
         steps = lines.join(found.select("line", F.explode("stairs").alias("s")), "line").select("line_id", F.col("s.leader").alias("leader"), F.col("s.d").alias("d"))
-        steps = steps.join(F.broadcast(names), "leader").where(~F.col("own") | (F.col("cluster_id") < F.col("line_id")))
+        names = leaders.select("leader", F.col("line_id").alias("cluster_id"))
+        steps = steps.join(names, "leader").where((F.col("leader") < number << 40) | (F.col("cluster_id") < F.col("line_id")))
         best = steps.groupBy("line_id").agg(F.min_by("cluster_id", F.struct("d", "leader")).alias("cluster_id"))
         out = lines.join(best, "line_id", "left").select("line_id", F.coalesce("cluster_id", "line_id").alias("cluster_id"))
         out.write.mode("overwrite").parquet(f"{self.path}/clusters/part-batch-{number}")
-        lines.unpersist()
+        drop(spark, lines_path)
 
     def clusters(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema("line_id long, cluster_id long").option("recursiveFileLookup", "true").parquet(f"{self.path}/clusters")

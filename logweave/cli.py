@@ -7,13 +7,13 @@ import logging
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
 from logweave.functions.text import automaton, normalised_distance, pattern_distance
 from logweave.operators.cluster import cluster, cluster_preprocessed
 from logweave.operators.distance import INFINITY
 from logweave.operators.render import clustered_html
+from logweave.operators.storage import release, settled
 from logweave.sources.lines import from_strings, read_lines, result_json
 
 log = logging.getLogger("logweave")
@@ -47,11 +47,11 @@ def main(args: list[str] | None = None) -> int:
     pair.add_argument("b")
     many = sub.add_parser("cluster", help="cluster the lines of a file")
     many.add_argument("-c", "--config")
-    many.add_argument("-H", "--html", action="store_true", help="write HTML, not JSON")
-    many.add_argument("-i", "--input", help="a file; standard input if left out")
+    many.add_argument("-H", "--html-file", "--html", nargs="?", const="", metavar="FILE", help="write HTML to a file beside the JSON; without a file, instead of it")
+    many.add_argument("-i", "--input-file", "--input", metavar="FILE", help="a file; standard input if left out")
     many.add_argument("-n", "--no-async", action="store_true", help="accepted for compatibility; results never depend on timing")
-    many.add_argument("-o", "--output", help="a file; standard output if left out")
-    many.add_argument("-p", "--preprocess", action="store_true", help="cluster one line of each class of equal automata")
+    many.add_argument("-o", "--output-file", "--output", metavar="FILE", help="a file; standard output if left out")
+    many.add_argument("-p", "--with-preprocessing", "--preprocess", action="store_true", help="cluster one line of each class of equal automata")
     many.add_argument("-t", "--threshold", type=float)
     many.add_argument("-v", "--verbose", action="store_true")
     got = top.parse_args(args)
@@ -66,17 +66,21 @@ def main(args: list[str] | None = None) -> int:
     threshold = threshold if got.threshold is None else got.threshold
     log.info("threshold %s, patterns %s", threshold, patterns.names)
     spark = SparkSession.builder.getOrCreate()
-    lines = read_lines(spark, got.input) if got.input else from_strings(spark, (x.strip() for x in sys.stdin))
-    found = (cluster_preprocessed if got.preprocess else cluster)(lines, patterns, threshold)
-    if got.html:
-        text = "<html><body>" + clustered_html(lines, found.select("line_id", F.col("cluster_id"))).first()["html"] + "</body></html>"
-    else:
-        text = result_json(found)
-    if got.output:
-        with open(got.output, "w", encoding="utf-8") as file:
-            file.write(text)
-    else:
-        print(text)
+    lines = read_lines(spark, got.input_file) if got.input_file else from_strings(spark, (x.strip() for x in sys.stdin))
+    lines = settled(lines)
+    found = settled((cluster_preprocessed if got.with_preprocessing else cluster)(lines, patterns, threshold))
+    texts = {}
+    if got.html_file is not None:
+        texts[got.html_file or got.output_file] = "<html><body>" + clustered_html(lines, found).first()["html"] + "</body></html>"
+    if got.html_file != "":
+        texts[got.output_file] = result_json(found)
+    for path, text in texts.items():
+        if path:
+            with open(path, "w", encoding="utf-8") as file:
+                file.write(text)
+        else:
+            print(text)
+    release(spark)
     return 0
 
 

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.operators.storage import settled
+
+#: Rows of a legend of colours that may be broadcast.
+COLOURS = 100_000
+#: How a line is shown, as a column of its number and its text.
+Show = Callable[[Column, Column], Column]
+
 
 def escaped(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
@@ -43,7 +52,8 @@ def row_html(clusters: DataFrame, fmt: str = "%3d") -> DataFrame:
     """``(line_id, row_html)``: each row's number in the colour of its cluster, plain where it has none."""
     colors = values_to_colors(clusters, "cluster_id")
     label = F.format_string(fmt, "line_id")
-    joined = clusters.join(F.broadcast(colors), "cluster_id", "left")
+    colors = settled(colors)
+    joined = clusters.join(F.broadcast(colors) if colors.limit(COLOURS + 1).count() <= COLOURS else colors, "cluster_id", "left")
     return joined.select("line_id", F.when(F.col("color").isNotNull(), font(F.col("color"), label)).otherwise(label).alias("row_html"))
 
 
@@ -53,27 +63,56 @@ def document(rows: DataFrame, text: str, by: str = "line_id", join: str = "<br/>
     return found.select(F.concat(F.lit("<pre>"), F.array_join(F.transform("rows", lambda r: r[text]), join), F.lit("</pre>")).alias("html"))
 
 
-def lines_html(lines: DataFrame, skip: Column | None = None, escape: bool = True) -> DataFrame:
-    """``(html)`` of lines with their numbers; lines for which ``skip`` holds are left out."""
+def _text(line: Column, escape: bool) -> Column:
+    return F.coalesce(escaped(line) if escape else line, F.lit(""))
+
+
+def lines_html(lines: DataFrame, skip: Column | None = None, escape: bool = True, line_to_html: Show | None = None) -> DataFrame:
+    """``(html)`` of lines; lines for which ``skip`` holds are left out.
+
+    ``line_to_html`` makes a line's HTML of its number and text; by default it is the number and the text.
+    """
     rows = lines if skip is None else lines.where(~skip)
-    text = escaped("line") if escape else F.col("line")
-    return document(rows.select("line_id", F.concat(F.format_string("%3d", "line_id"), F.lit(": "), F.coalesce(text, F.lit(""))).alias("row")), "row")
+    show = line_to_html or (lambda i, line: F.concat(F.format_string("%3d", i), F.lit(": "), _text(line, escape)))
+    return document(rows.select("line_id", show(F.col("line_id"), F.col("line")).alias("row")), "row")
 
 
-def caption(clusters: DataFrame) -> DataFrame:
-    """``(caption)``: the clusters' names in their colours, in the order of their ids."""
+def caption(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``(caption)``: the clusters' names in their colours, in the order of their ids; ``names(cluster_id, name)`` replaces the numbered ones."""
     colors = values_to_colors(clusters, "cluster_id")
     label = F.concat(F.lit("Cluster "), F.col("i"))
+    if names is not None:
+        colors = colors.join(names.select("cluster_id", "name"), "cluster_id", "left")
+        label = F.coalesce("name", label)
     rows = colors.select("i", font(F.col("color"), label).alias("label")).agg(F.array_sort(F.collect_list(F.struct("i", "label"))).alias("rows"))
     return rows.select(F.array_join(F.transform("rows", lambda r: r["label"]), "&nbsp;").alias("caption"))
 
 
-def clustered_html(lines: DataFrame, clusters: DataFrame, skip: Column | None = None, show_caption: bool = True, escape: bool = True) -> DataFrame:
-    """``(html)``: a caption of clusters, then the lines with their numbers in their clusters' colours."""
+def clustered_rows(lines: DataFrame, clusters: DataFrame, skip: Column | None = None, escape: bool = True, row_to_html: Show | None = None, line_to_html: Show | None = None) -> DataFrame:
+    """``(line_id, row)``: the HTML of each line with its number in its cluster's colour; a table of any size.
+
+    ``row_to_html`` makes what stands for the number, ``line_to_html`` what stands for the text.
+    """
     rows = lines if skip is None else lines.where(~skip)
-    text = escaped("line") if escape else F.col("line")
+    text = line_to_html(F.col("line_id"), F.col("line")) if line_to_html else _text(F.col("line"), escape)
+    if row_to_html:
+        return rows.select("line_id", F.concat(row_to_html(F.col("line_id"), F.col("line")), F.lit(": "), text).alias("row"))
     marked = rows.join(row_html(clusters), "line_id", "left")
-    body = document(marked.select("line_id", F.concat(F.coalesce("row_html", F.format_string("%3d", "line_id")), F.lit(": "), F.coalesce(text, F.lit(""))).alias("row")), "row")
+    return marked.select("line_id", F.concat(F.coalesce("row_html", F.format_string("%3d", "line_id")), F.lit(": "), text).alias("row"))
+
+
+def clustered_html(
+    lines: DataFrame,
+    clusters: DataFrame,
+    skip: Column | None = None,
+    show_caption: bool = True,
+    escape: bool = True,
+    row_to_html: Show | None = None,
+    line_to_html: Show | None = None,
+    names: DataFrame | None = None,
+) -> DataFrame:
+    """``(html)``: a caption of clusters, then ``clustered_rows`` as one document."""
+    body = document(clustered_rows(lines, clusters, skip, escape, row_to_html, line_to_html), "row")
     if not show_caption:
         return body
-    return caption(clusters).crossJoin(body).select(F.concat("caption", "html").alias("html"))
+    return caption(clusters, names).crossJoin(body).select(F.concat("caption", "html").alias("html"))

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.patterns import PatternSet, density_vector, language_density
-from logweave.operators import automaton, cluster, distance, evaluate, matching, render
-from logweave.operators.storage import settled, tasks
+from logweave.operators import automaton, cluster, distance, evaluate, experiment, matching, render
+from logweave.operators.storage import new_path, settled, tasks
 from logweave.sources import lines as sources
 from logweave.streaming.leaders import StreamingClusters, cluster_stream
 
@@ -34,16 +33,16 @@ def ev_lines(spark: SparkSession, d: str) -> DataFrame:
     return _spread(_read(spark, d, "events").select(F.col("event_id").alias("line_id"), _ev_line().alias("line")))
 
 
-def short_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Every event as its type and value."""
-    line = F.concat_ws(" ", "event_type", F.format_string("%.2f", "value"))
-    return _spread(_read(spark, d, "events").select(F.col("event_id").alias("line_id"), line.alias("line")))
+def part_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every part as a line."""
+    line = F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_size", F.format_string("%.2f", "p_retailprice"))
+    return _spread(_read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("line_id"), line.alias("line")))
 
 
-def nations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nations as lines, and their regions as clusters."""
-    rows = _read(spark, d, "nation")
-    return rows.select(F.col("n_nationkey").cast("long").alias("line_id"), F.col("n_name").alias("line")), rows.select(F.col("n_nationkey").cast("long").alias("line_id"), F.col("n_regionkey").cast("long").alias("cluster_id"))
+def supplier_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier as a line; few enough that SQL can compare all of them."""
+    line = F.concat_ws(" ", "s_name", "s_nationkey", F.format_string("%.2f", "s_acctbal"))
+    return _read(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("line_id"), line.alias("line"))
 
 
 def lines_scan(spark, d):
@@ -92,15 +91,16 @@ def density_runs(spark, d):
 
 
 def density_all(spark, d):
-    return spark.createDataFrame(sorted(PatternSet.full().densities().items()), "name string, density double")
+    found = [(n, round(x, 9), round(math.log10(x), 9)) for n, x in sorted(PatternSet.full().densities().items())]
+    return spark.createDataFrame(found, "name string, density double, magnitude double")
 
 
 def density_order(spark, d):
-    return spark.createDataFrame(list(enumerate(density_vector(PatternSet.default().densities()))), "place int, density double")
+    return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(density_vector(PatternSet.default().densities()))], "place int, density double")
 
 
 def match_all(spark, d):
-    return matching.matches(short_lines(spark, d), PatternSet.default(), "all")
+    return matching.matches(part_lines(spark, d), PatternSet.default(), "all")
 
 
 def match_largest(spark, d):
@@ -112,7 +112,7 @@ def match_reduced(spark, d):
 
 
 def match_greedy(spark, d):
-    return matching.matches(short_lines(spark, d), PatternSet.default(), "greedy")
+    return matching.matches(ev_lines(spark, d), PatternSet.default(), "greedy")
 
 
 def match_delimited(spark, d):
@@ -120,12 +120,12 @@ def match_delimited(spark, d):
 
 
 def match_dict(spark, d):
-    own = short_lines(spark, d)
+    own = ev_lines(spark, d)
     return matching.as_map(own, matching.matches(own, PatternSet.default())).select("line_id", "name", F.array_join("texts", "|").alias("texts"))
 
 
 def match_string(spark, d):
-    own = short_lines(spark, d)
+    own = ev_lines(spark, d)
     return matching.as_string(own, matching.matches(own, PatternSet.named(["float", "spaces", "word"])))
 
 
@@ -134,11 +134,11 @@ def automaton_arcs(spark, d):
 
 
 def automaton_infix(spark, d):
-    return automaton.arcs(short_lines(spark, d), PatternSet.default())
+    return automaton.arcs(ev_lines(spark, d), PatternSet.default())
 
 
 def automaton_filtered(spark, d):
-    return automaton.arcs(short_lines(spark, d), PatternSet.default(), filtered=["spaces", "hexa"]).drop("infix")
+    return automaton.arcs(ev_lines(spark, d), PatternSet.default(), filtered=["spaces", "hexa"]).drop("infix")
 
 
 def automaton_counts(spark, d):
@@ -154,36 +154,41 @@ def cheapest_path(spark, d):
     return found.select("line_id", F.round("cost", 9).alias("cost"), "path")
 
 
-def _name_pairs(spark, d):
-    return _read(spark, d, "nation").crossJoin(F.broadcast(_read(spark, d, "region"))).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
+def _line_pairs(own: DataFrame) -> DataFrame:
+    """Each line and the next."""
+    after = own.select((F.col("line_id") - 1).alias("line_id"), F.col("line").alias("next"))
+    return _spread(own.join(after, "line_id"))
 
 
 def lcs(spark, d):
-    pairs = _name_pairs(spark, d)
-    return pairs.select("a", "b", distance.lcs_length(F.col("a"), F.col("b")).alias("lcs_length"), distance.lcs_distance(F.col("a"), F.col("b")).alias("lcs_distance"))
-
-
-def _line_pairs(spark, d):
-    own = ev_lines(spark, d)
-    after = own.select((F.col("line_id") - 1).alias("line_id"), F.col("line").alias("next"))
-    return _spread(own.join(after, "line_id"))
+    pairs = _line_pairs(ev_lines(spark, d))
+    return pairs.select("line_id", distance.lcs_length(F.col("line"), F.col("next")).alias("lcs_length"), distance.lcs_distance(F.col("line"), F.col("next")).alias("lcs_distance"))
 
 
 def pattern_distance(spark, d):
-    return _line_pairs(spark, d).select("line_id", F.round(distance.pattern_distance(F.col("line"), F.col("next")), 9).alias("d"))
+    return _line_pairs(supplier_lines(spark, d)).select("line_id", F.round(distance.pattern_distance(F.col("line"), F.col("next")), 9).alias("d"))
 
 
 def pattern_distance_normalized(spark, d):
-    pairs = _line_pairs(spark, d)
-    whole, near = (distance.pattern_distance(F.col("line"), F.col("next"), normalized=True, limit=x) for x in (distance.INFINITY, 0.05))
-    return pairs.select("line_id", F.round(whole, 9).alias("d"), F.round(near, 9).alias("d_below"))
+    found = _line_pairs(ev_lines(spark, d)).select("line_id", distance.pattern_distance(F.col("line"), F.col("next"), normalized=True).alias("whole"))
+    return found.select("line_id", F.round("whole", 9).alias("d"), F.when(F.col("whole") < 0.05, F.round("whole", 9)).alias("d_below"))
+
+
+def pattern_distance_cutoff(spark, d):
+    near = distance.pattern_distance(F.col("line"), F.col("next"), normalized=True, limit=0.05)
+    return _line_pairs(ev_lines(spark, d)).select("line_id", F.round(near, 9).alias("d"))
 
 
 def nearest_representative(spark, d):
     own = ev_lines(spark, d)
     kinds = _read(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("line_id"))
-    leaders = [(r["line_id"], r["line"]) for r in own.join(F.broadcast(kinds), "line_id").collect()]
-    return cluster.nearest_representative(own, leaders, threshold=0.3).select("line_id", "leader", F.round("d", 9).alias("d"))
+    return cluster.nearest_representative(own, own.join(kinds, "line_id", "left_semi"), threshold=0.3).select("line_id", "leader", F.round("d", 9).alias("d"))
+
+
+def nearest_supplier(spark, d):
+    own = supplier_lines(spark, d)
+    firsts = _read(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("line_id"))
+    return cluster.nearest_representative(own, own.join(firsts, "line_id", "left_semi"), threshold=0.009).select("line_id", "leader", F.round("d", 9).alias("d"))
 
 
 def cluster_leader(spark, d):
@@ -191,13 +196,21 @@ def cluster_leader(spark, d):
 
 
 def cluster_sizes(spark, d):
-    return cluster.cluster(ev_lines(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return cluster_leader(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 def cluster_preprocessed(spark, d):
     return cluster.cluster_preprocessed(ev_lines(spark, d), threshold=0.03)
 
 
+def cluster_suppliers(spark, d):
+    return cluster.cluster(supplier_lines(spark, d), threshold=0.009)
+
+
+def cluster_suppliers_preprocessed(spark, d):
+    return cluster.cluster_preprocessed(supplier_lines(spark, d), threshold=0.009)
+
+
 def _templates(spark, d):
     kinds = sources.dense(settled(_read(spark, d, "events").select("event_type").distinct().orderBy("event_type")), "template_id")
     return kinds.select(F.col("template_id").cast("int").alias("template_id"), F.array(F.concat(F.lit(" "), F.col("event_type"), F.lit(" "))).alias("parts"))
@@ -216,8 +229,8 @@ def template_integrity(spark, d):
 
 
 def line_self_match(spark, d):
-    own = short_lines(spark, d)
-    return evaluate.line_indices(own.where(F.startswith("line", F.lit("view "))), own)
+    own = ev_lines(spark, d)
+    return evaluate.line_indices(own, own)
 
 
 def _judged(spark, d):
@@ -234,6 +247,13 @@ def adjusted_rand_index(spark, d):
     return evaluate.adjusted_rand_index(_judged(spark, d)).select(F.round("adjusted_rand_index", 9).alias("adjusted_rand_index"))
 
 
+def evaluation_grid(spark, d):
+    own = settled(supplier_lines(spark, d).withColumn("log", F.lit("suppliers")))
+    kinds = _read(spark, d, "supplier").select(F.col("s_nationkey").cast("int").alias("template_id")).distinct()
+    kinds = kinds.select("template_id", F.array(F.concat(F.lit(" "), F.col("template_id"), F.lit(" "))).alias("parts"), F.lit("suppliers").alias("log"))
+    return experiment.grid(own, kinds, [0.004, 0.009]).where("metric != 'time'").select("max_dist", "metric", F.round("value", 9).alias("value"))
+
+
 def _results(spark, d):
     runs = _read(spark, d, "events").groupBy(F.col("event_type").alias("algo"), F.concat(F.lit("log"), F.col("user_id") % 10).alias("log"), F.col("user_id").alias("run"))
     runs = runs.agg(F.max("value").alias("ari"), F.count("*").cast("double").alias("time"))
@@ -253,7 +273,7 @@ def log_order(spark, d):
 
 
 def html_colors(spark, d):
-    return render.html_colors(_read(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))).select("n_regionkey", "i", "color")
+    return render.html_colors(_read(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))).select("s_nationkey", "i", "color")
 
 
 def values_to_colors(spark, d):
@@ -261,24 +281,23 @@ def values_to_colors(spark, d):
 
 
 def row_html(spark, d):
-    return render.row_html(nations(spark, d)[1])
+    return render.row_html(settled(cluster_suppliers(spark, d)))
 
 
 def lines_html(spark, d):
-    own = nations(spark, d)[0]
-    return render.lines_html(own, skip=F.col("line_id") == 3)
+    return render.lines_html(supplier_lines(spark, d), skip=F.col("line_id") == 3)
 
 
 def clustered_html(spark, d):
-    return render.clustered_html(*nations(spark, d))
+    return render.clustered_html(supplier_lines(spark, d), settled(cluster_suppliers(spark, d)))
 
 
 def result_json(spark, d):
-    return sources.clusters_json(nations(spark, d)[1])
+    return sources.clusters_json(cluster_suppliers(spark, d))
 
 
 def stream_leader(spark, d):
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     schema = _read(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     query = cluster_stream(rows.select(F.col("event_id").alias("line_id"), _ev_line().alias("line")), root, f"{root}/progress", threshold=0.05)
@@ -286,51 +305,13 @@ def stream_leader(spark, d):
     return StreamingClusters(root).clusters(spark)
 
 
-# The queries above whose SQL has the short lines, over whole lines; SQL over all substrings of these takes too long.
-
-
-def match_all_whole(spark, d):
-    return matching.matches(ev_lines(spark, d), PatternSet.default(), "all")
-
-
-def match_reduced_whole(spark, d):
-    return matching.reduced(match_all_whole(spark, d), "largest")
-
-
-def match_greedy_whole(spark, d):
-    return matching.matches(ev_lines(spark, d), PatternSet.default(), "greedy")
-
-
-def match_dict_whole(spark, d):
-    own = ev_lines(spark, d)
-    return matching.as_map(own, matching.matches(own, PatternSet.default())).select("line_id", "name", F.array_join("texts", "|").alias("texts"))
-
-
-def match_string_whole(spark, d):
-    own = ev_lines(spark, d)
-    return matching.as_string(own, matching.matches(own, PatternSet.named(["float", "spaces", "word"])))
-
-
-def automaton_infix_whole(spark, d):
-    return automaton.arcs(ev_lines(spark, d), PatternSet.default())
-
-
-def automaton_filtered_whole(spark, d):
-    return automaton.arcs(ev_lines(spark, d), PatternSet.default(), filtered=["spaces", "hexa"]).drop("infix")
-
-
-def line_self_match_whole(spark, d):
-    own = ev_lines(spark, d)
-    return evaluate.line_indices(own, own)
-
-
 _ALL = (
     lines_scan, lines_strip, lines_dense, lines_head, log_names, template_parts, pattern_collection, mkconf, pattern_accepts, density_runs, density_all, density_order,
     match_all, match_largest, match_reduced, match_greedy, match_delimited, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_counts,
-    automaton_signature_groups, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, nearest_representative, cluster_leader, cluster_sizes, cluster_preprocessed,
-    template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, best_param, metric_projection, log_order, html_colors,
+    automaton_signature_groups, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, pattern_distance_cutoff, nearest_representative, nearest_supplier,
+    cluster_leader, cluster_sizes, cluster_preprocessed, cluster_suppliers, cluster_suppliers_preprocessed,
+    template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, evaluation_grid, best_param, metric_projection, log_order, html_colors,
     values_to_colors, row_html, lines_html, clustered_html, result_json, stream_leader,
-    match_all_whole, match_reduced_whole, match_greedy_whole, match_dict_whole, match_string_whole, automaton_infix_whole, automaton_filtered_whole, line_self_match_whole,
 )
 
 

@@ -1,7 +1,9 @@
 """Operators on DataFrames, and the queries against their SQL."""
 
+import collections
 import json
 import os
+import types
 
 import duckdb
 import pytest
@@ -11,7 +13,7 @@ import __spark_entry__ as entry
 from logweave.cli import main
 from logweave.functions.patterns import PatternSet
 from logweave.functions.text import staircase
-from logweave.operators import automaton, cluster, distance, evaluate, matching, render
+from logweave.operators import automaton, cluster, distance, evaluate, experiment, matching, render, storage
 from logweave.plans.queries import queries
 from logweave.plans.sql import oracle_sql
 from logweave.sources import lines as sources
@@ -137,6 +139,8 @@ def test_cluster_command(spark, tmp_path):
     assert len(json.loads((tmp_path / "out.json").read_text())) == 3
     main(["cluster", "-p", "-H", "-i", str(tmp_path / "in.txt"), "-o", str(tmp_path / "out.html")])
     assert (tmp_path / "out.html").read_text().startswith("<html><body><font")
+    main(["cluster", "--with-preprocessing", "--html-file", str(tmp_path / "beside.html"), "--input-file", str(tmp_path / "in.txt"), "--output-file", str(tmp_path / "beside.json")])
+    assert (tmp_path / "beside.html").read_text() == (tmp_path / "out.html").read_text().replace("\n", "") and len(json.loads((tmp_path / "beside.json").read_text())) == 3
 
 
 def plain(value):
@@ -171,27 +175,80 @@ def few_events(sf, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["match_all", "match_reduced", "match_greedy", "match_dict", "match_string", "automaton_infix", "automaton_filtered", "line_self_match"])
-def test_whole_lines(spark, few_events, name):
-    from logweave.plans.sql import EV, SHORT
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{few_events}/events.parquet'")
-    want = con.execute(oracle_sql()[name].replace(SHORT, EV).replace(" WHERE line LIKE 'view %'", ""))
-    columns = [c[0] for c in want.description]
-    got = queries()[name + "_whole"](spark, few_events).select(*columns).collect()
-    assert got and sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
-
-
-def test_whole_lines_without_sql(spark, few_events):
+def test_queries_without_sql(spark, few_events):
     from logweave.functions import text
     from logweave.plans.queries import ev_lines
 
     lines, default = ev_lines(spark, few_events), PatternSet.default()
-    want = {r["line_id"]: round(text.cheapest_path(text.automaton(r["line"], default), default.densities())[0], 9) for r in lines.collect()}
+    own = {r["line_id"]: r["line"] for r in lines.collect()}
+    want = {i: round(text.cheapest_path(text.automaton(line, default), default.densities())[0], 9) for i, line in own.items()}
     assert {r["line_id"]: r["cost"] for r in queries()["cheapest_path"](spark, few_events).collect()} == want
     got = {r["line_id"]: r["cluster_id"] for r in queries()["stream_leader"](spark, few_events).collect()}
     assert got == {r["line_id"]: r["cluster_id"] for r in cluster.cluster(lines, threshold=0.05).collect()}
+    in_turn = cluster.sequential([own[i] for i in sorted(own)], default, 0.03)
+    assert in_order(queries()["cluster_leader"](spark, few_events)) == in_turn
+    assert {r["cluster_id"]: r["n"] for r in queries()["cluster_sizes"](spark, few_events).collect()} == dict(collections.Counter(in_turn))
+    graphs = {i: text.automaton(line, default) for i, line in own.items()}
+    firsts = {}
+    for i in sorted(own):
+        firsts.setdefault(graphs[i].signature, i)
+    alone = sorted(firsts.values())
+    named = dict(zip(alone, (alone[k] for k in cluster.sequential([own[i] for i in alone], default, 0.03))))
+    assert {r["line_id"]: r["cluster_id"] for r in queries()["cluster_preprocessed"](spark, few_events).collect()} == {i: named[firsts[g.signature]] for i, g in graphs.items()}
+    kinds = {}
+    for r in spark.read.parquet(f"{few_events}/events.parquet").orderBy("event_id").collect():
+        kinds.setdefault(r["event_type"], r["event_id"])
+    for r in queries()["nearest_representative"](spark, few_events).collect():
+        found = [(text.normalised_distance(graphs[k], graphs[r["line_id"]], default.densities(), 0.3), k) for k in kinds.values()]
+        d, leader = min((x for x in found if x[0] is not None), default=(None, None))
+        assert (r["leader"], r["d"]) == (leader, d if d is None else round(d, 9))
+
+
+def test_render_hooks(spark):
+    own, found = frame(spark, ["a", "b"]), spark.createDataFrame([(0, 5), (1, 3)], "line_id long, cluster_id long")
+    names = spark.createDataFrame([(5, "five")], "cluster_id long, name string")
+    html = render.clustered_html(own, found, row_to_html=lambda i, line: F.concat(F.lit("#"), i.cast("string")), line_to_html=lambda i, line: F.upper(line), names=names).first()["html"]
+    assert ">Cluster 0</font>" in html and ">five</font>" in html and html.endswith("<pre>#0: A<br/>#1: B</pre>")
+    assert render.lines_html(own, line_to_html=lambda i, line: F.concat(line, F.lit("!"))).first()["html"] == "<pre>a!<br/>b!</pre>"
+
+
+def test_experiment(spark, tmp_path):
+    for log, kinds in (("Apache", ["run 1", "run 22", "stop"]), ("Zoo", ["x 1", "x 2"])):
+        (tmp_path / log).mkdir()
+        (tmp_path / log / f"{log}_2k.log").write_text("\n".join(kinds))
+        (tmp_path / log / f"{log}_2k.log_templates.csv").write_text("EventId,EventTemplate\nE1,run <*>\nE2,stop\nE3,x <*>\n")
+    logs, templates = experiment.load_data(spark, str(tmp_path))
+    assert {(r["log"], r["n"]) for r in logs.groupBy("log").agg(F.count("*").alias("n")).collect()} == {("Apache", 3), ("Zoo", 2)}
+    assert {(r["log"], r["template_id"], tuple(r["parts"])) for r in templates.collect()} == {(x, i, (p,)) for x in ("Apache", "Zoo") for i, p in enumerate(["run", "stop", "x"])}
+    found = experiment.grid(logs, templates, [0.05, 0.6])
+    assert found.count() == 2 * 2 * 4
+    best = {r["log"]: r["value"] for r in evaluate.best_with_time(found, "parsing accuracy").collect()}
+    assert best == {"Apache": 1.0, "Zoo": 1.0}
+    experiment.write_results(found, str(tmp_path / "results"))
+    assert spark.read.json(str(tmp_path / "results")).count() == 16
+    (tmp_path / "Zoo" / "Zoo_2k.log").write_text("unknown")
+    with pytest.raises(ValueError, match="no template of Zoo"):
+        experiment.load_data(spark, str(tmp_path))
+    html = experiment.demo(spark, str(tmp_path / "Apache" / "Apache_2k.log"), 2, threshold=0.05).first()["html"]
+    assert "run 22" in html and "stop" not in html
+
+
+def test_release_empties_the_shared_folder(spark, sf):
+    root = storage.scratch_root(spark)
+    os.makedirs(root, exist_ok=True)
+    storage.release(spark)
+    before = set(os.listdir(root))
+    for name in ("cluster_suppliers", "automaton_signature_groups", "row_html", "stream_leader"):
+        queries()[name](spark, sf).count()
+    assert set(os.listdir(root)) - before
+    storage.release(spark)
+    assert set(os.listdir(root)) == before
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    far = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default: None), sparkContext=types.SimpleNamespace(master="spark://far:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.scratch_root(far)
 
 
 def test_entry(spark):

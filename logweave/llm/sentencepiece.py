@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding for models of byte-pair pieces, with states shared along a trie of distinct words."""
+"""SentencePiece encoding and decoding: a Viterbi pass along a trie of distinct words, whose common prefixes share their forward states."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logweave.llm.shared import small_batches
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of text whose words are taken together, and words kept for the next texts of a task.
@@ -23,6 +25,9 @@ TOGETHER, KEPT = 2_000_000, 600_000
 PAIRS = 1_000_000
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
+UNIGRAM, BYTE_PAIR = 1, 2
+#: How far the score of an unknown character is below the least score of a unigram model.
+PENALTY = 10.0
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -54,7 +59,8 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Model:
     """A model file: its pieces, and exact encoding and decoding.
 
-    In a byte-pair model a word's pieces are those that merges in the order of their scores
+    In a unigram model a word's pieces are those with the largest sum of scores; the forward
+    pass keeps for each prefix the best sum and the last piece. In a byte-pair model a word's pieces are those that merges in the order of their scores
     leave, which need not have the largest sum of scores. What the forward pass keeps for
     each prefix of a word is therefore not a best sum but the last piece of the prefix's
     encoding: the one piece that ends there and can stand beside the last piece of the
@@ -85,8 +91,11 @@ class Model:
                 prefix, surplus, escape = own.get(3, 1), own.get(4, 1), own.get(5, 1)
                 if own.get(2):
                     raise ValueError("a model with a character map is not supported")
-        if kind != 2 or surplus or not escape or any(MARK in p.lstrip(MARK) for p in self.ids):
-            raise ValueError("only byte-pair models that keep white space, whose pieces have marks at their beginning, are supported")
+        if kind not in (UNIGRAM, BYTE_PAIR) or surplus or not escape or any(MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("only unigram and byte-pair models that keep white space, whose pieces have marks at their beginning, are supported")
+        self.unigram = kind == UNIGRAM
+        self.longest = max(map(len, self.ids), default=1)
+        self.unlikely = min(self.scores.values(), default=0.0) - PENALTY
         self.prefix = bool(prefix)
         # for three characters the longest piece that ends with them, if any does
         self.reach: dict[str, int] = {}
@@ -155,7 +164,53 @@ class Model:
         return found
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, as little-endian 32-bit integers, taken in sorted order as a depth-first walk through their trie.
+        """Ids of distinct words, as little-endian 32-bit integers."""
+        return self._best_sums(words) if self.unigram else self._merged_words(words)
+
+    def _best_sums(self, words: list[str]) -> dict[str, bytes]:
+        """By unigram scores, in sorted order: a depth-first walk through the words' trie.
+
+        For a prefix of i characters ``best[i]`` is its largest sum of scores, ``start[i]`` where
+        the last piece begins, the earliest of equals, and ``number[i]`` the piece's id; words with a
+        common prefix share these. A character that is no piece is one unknown, or its bytes.
+        """
+        out: dict[str, bytes] = {}
+        best, start, number, before = [0.0], [0], [-1], ""
+        for word in sorted(words):
+            shared, most = 0, min(len(word), len(before))
+            while shared < most and word[shared] == before[shared]:
+                shared += 1
+            del best[shared + 1 :], start[shared + 1 :], number[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                own = (float("-inf"), end - 1, -1)
+                for at in range(max(0, end - self.longest), end):
+                    piece = word[at:end]
+                    if (i := self.ids.get(piece)) is not None and best[at] + self.scores[piece] > own[0]:
+                        own = best[at] + self.scores[piece], at, i
+                if word[end - 1] not in self.ids and best[end - 1] + self.unlikely > own[0]:
+                    own = best[end - 1] + self.unlikely, end - 1, -1
+                best.append(own[0])
+                start.append(own[1])
+                number.append(own[2])
+            before, end, parts = word, len(word), []
+            while end:
+                parts.append((start[end], end, number[end]))
+                end = start[end]
+            ids: list[int] = []
+            unknown = False
+            for a, b, i in reversed(parts):
+                if i >= 0:
+                    ids.append(i)
+                elif self.bytes:
+                    ids += self._numbers([word[a:b]])
+                elif not unknown:  # unknown characters in a row are one
+                    ids.append(self.unknown)
+                unknown = i < 0
+            out[word] = struct.pack(f"<{len(ids)}i", *ids)
+        return out
+
+    def _merged_words(self, words: list[str]) -> dict[str, bytes]:
+        """By merges, in sorted order: a depth-first walk through the words' trie.
 
         For a prefix of i characters ``start[i]`` is where the last piece of its encoding
         begins, and ``number[i]`` its id; words with a common prefix share these. A
@@ -226,22 +281,32 @@ def model(name: str) -> Model:
         return Model(file.read())
 
 
+class Encoder:
+    """Encodes texts of one task; words once encoded are kept for its next texts, up to ``KEPT`` of them."""
+
+    def __init__(self, name: str = MODEL):
+        self.model, self.known = model(name), {}
+
+    def texts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of the texts, in order; null counts as empty and has none."""
+        at = 0
+        while at < len(texts):
+            size, group = 0, []
+            while at < len(texts) and (not group or size + len(texts[at] or "") <= TOGETHER):
+                group.append(self.model.words(texts[at] or ""))
+                size += len(texts[at] or "")
+                at += 1
+            new = set().union(*group) - self.known.keys()
+            if len(self.known) + len(new) > KEPT:
+                self.known, new = {}, set().union(*group)
+            self.known |= self.model.encode_words(list(new))
+            for words in group:
+                yield np.frombuffer(b"".join([self.known[w] for w in words]), "<i4")
+
+
 def encode_texts(texts: list[str | None], name: str = MODEL) -> Iterator[np.ndarray]:
     """Ids of the texts, in order; null counts as empty and has none."""
-    own, known = model(name), {}
-    at = 0
-    while at < len(texts):
-        size, group = 0, []
-        while at < len(texts) and (not group or size + len(texts[at] or "") <= TOGETHER):
-            group.append(own.words(texts[at] or ""))
-            size += len(texts[at] or "")
-            at += 1
-        new = set().union(*group) - known.keys()
-        if len(known) + len(new) > KEPT:
-            known, new = {}, set().union(*group)
-        known |= own.encode_words(list(new))
-        for words in group:
-            yield np.frombuffer(b"".join([known[w] for w in words]), "<i4")
+    return Encoder(name).texts(texts)
 
 
 def encode(df: DataFrame, text_col: str = "text", name: str = MODEL, ids_col: str = "ids") -> DataFrame:
@@ -252,9 +317,13 @@ def encode(df: DataFrame, text_col: str = "text", name: str = MODEL, ids_col: st
     memory follows one text at most; nothing is shuffled.
     """
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encode_texts(list(texts), name)), dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Encoder(name)
+        for texts in batches:
+            yield pd.Series(list(own.texts(list(texts))), dtype=object)
 
     return df.withColumn(ids_col, run(F.col(text_col)))
 
@@ -273,17 +342,20 @@ def encoded_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``(id_col, n_tokens, ids, ids_crc32, decoded_sha256, round_trip)``: each text encoded and decoded again.
 
     ``round_trip`` says whether the decoded text is the text, null counting as empty; it
-    is false only for a text with the mark itself, which decodes as a space.
+    is false only for a text with the mark itself, which decodes as a space. Null and
+    repeated ids are rows like any other; an empty table gives an empty result; other
+    columns are not read.
     """
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = model(name)
+        own = Encoder(name)
         for b in batches:
             out = []
-            for key, text, ids in zip(b["id"], b["text"], encode_texts(list(b["text"]), name)):
-                decoded = own.decode(ids.tolist())
+            for key, text, ids in zip(b["id"], b["text"], own.texts(list(b["text"]))):
+                decoded = own.model.decode(ids.tolist())
                 out.append((key, len(ids), ids, zlib.crc32(ids.tobytes()), hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest(), decoded == (text or "")))
                 if len(out) >= 500:
                     yield pd.DataFrame(out, columns=["id", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "round_trip"])

@@ -2,60 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.operators.storage import drop, keep_until_release, release, scratch_root, table  # noqa: F401
+from logweave.operators.storage import settled as cut
+
 #: Rows of a narrow relation (some tens of bytes a row) that may be broadcast.
 BROADCAST_ROWS = 200_000
-
-
 #: Bytes of texts that go to a Python worker at a time.
 BATCH = 4 << 20
-#: Tables that operators wrote and that their results may still read.
-_left: set[str] = set()
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets one on this machine; a cluster, whose machines do
-    not share that, gets an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "/tmp/checkpoints/logweave"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def table(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet in the shared folder and read back, and its path, to be given to ``drop``.
-
-    What is read back has no lineage and no known partitioning, so joins on it have an
-    exchange on both sides and adaptive execution can split a hot key.
-    """
-    path = f"{scratch_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _left.add(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a table in the shared folder, until ``release``."""
-    return table(df)[0]
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a table of ``table``."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _left.discard(path)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -63,17 +21,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
-def keep_until_release(path: str) -> None:
-    """Leaves a table for its reader; ``release`` deletes it."""
-    _left.add(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that operators left for their results; to be called when these are written or no longer needed."""
-    for path in list(_left):
-        drop(spark, path)
-
-
 def rebalanced(df: DataFrame) -> DataFrame:
     """``df`` without a known partitioning, so that a later join has an exchange on both sides and a hot key can be split."""
     return df.hint("rebalance")

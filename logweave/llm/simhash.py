@@ -19,7 +19,7 @@ from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanc
 #: Most distinct fingerprints in a tree; a shard with more is dealt out as pairs of such parts.
 TREE = 1024
 #: Fingerprints in a leaf of a tree.
-LEAF = 8
+LEAF = 4
 #: Fingerprints that a shard of ``exact_tables`` has on average, at most.
 SHARD = 64
 #: Shingles whose bits are counted at a time.

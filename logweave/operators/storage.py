@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that operators wrote and that their results may still read.
+#: Tables and checkpoints that operators wrote and that their results may still read.
 _left: set[str] = set()
 
 
@@ -21,6 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/checkpoints/logweave"
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -43,8 +45,13 @@ def table(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a table in the shared folder, until ``release``."""
-    return table(df)[0]
+    """``df`` computed once and kept in the shared folder as a checkpoint, until ``release``, or where Spark is set to clean checkpoints until nothing refers to it."""
+    scratch_root(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _left.add(file.get())
+    return out
 
 
 def drop(spark: SparkSession, path: str) -> None:

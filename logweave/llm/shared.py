@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.operators.storage import drop, keep_until_release, release, scratch_root, table  # noqa: F401
-from logweave.operators.storage import settled as cut
+from logweave.operators.storage import settled as cut  # noqa: F401
 
 #: Rows of a narrow relation (some tens of bytes a row) that may be broadcast.
 BROADCAST_ROWS = 200_000

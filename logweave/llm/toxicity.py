@@ -19,7 +19,7 @@ BUCKETS, BEGINNINGS = 1 << 18, (3, 4, 5, 6)
 #: Labelled rows that a chain is fitted on, about.
 SAMPLE = 8000
 #: How each link is trained.
-HOW = {"rate": 1.0, "l1": 4.0, "l2": 0.01, "epochs": 3}
+HOW = {"rate": 0.3, "l1": 4.0, "l2": 0.01, "epochs": 4}
 #: Rows of the sample that have a feature at least.
 RARE = 3
 #: Folds of the out-of-fold probabilities.

@@ -960,7 +960,12 @@ def test_pipeline_odd(spark):
     assert p.language(spark, frame.withColumn("lang", F.lit(None).cast("string")), "").count() == len(rows)
     found = p.exact(spark, frame, "").collect()
     assert len(found) == len({blank_free(r[1]) for r in rows}) and all(r["kept"] == "k" for r in found)
-    assert p.near(spark, frame, "").count() == len(rows) - 1  # of the two equal texts with an id the second goes
+    apart = []
+    for t in ODD:  # texts without words are copies of each other
+        if not any(jaccard(t, u) >= 0.8 or not (simhash.shingles(t, 5) or simhash.shingles(u, 5)) for u in apart):
+            apart.append(t)
+    found = p.near(spark, frame, "").collect()
+    assert [r["text"] for r in sorted(found, key=lambda r: r["doc_id"] or 0) if r["doc_id"] is not None] == apart and len(found) == len(apart) + 2
     found = p.passages(spark, frame, "").collect()
     assert {r["text"] for r in found} >= {None, "", "a b c"} and all(r["removed"] == "r" for r in found)
     assert p.packing(spark, frame, "").select("doc_id").distinct().count() == len(ODD) + 1

@@ -58,7 +58,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8) the document with the smallest id.
 
     A row goes by its id and text together: other texts under one id, and all documents
-    without an id, stay. Null and empty texts have no shingle and are like no other text;
+    without an id, stay. Texts without words, null ones too, are copies of each other;
     repeated rows stay or go together; an empty table stays empty; columns named as the
     operator's own keep their values.
     """

@@ -50,7 +50,8 @@ def line_indices(wanted: DataFrame, lines: DataFrame) -> DataFrame:
 
 def contingency(rows: DataFrame, truth: str, found: str) -> DataFrame:
     """``(truth, found, n)``; rows that were not assigned form a class of their own."""
-    return rows.groupBy(F.col(truth).alias("truth"), F.coalesce(F.col(found).cast("string"), F.lit("")).alias("found")).agg(F.count("*").alias("n"))
+    found = F.struct(F.col(found).isNull().alias("unassigned"), F.coalesce(F.col(found).cast("string"), F.lit("")).alias("name"))
+    return rows.groupBy(F.col(truth).alias("truth"), found.alias("found")).agg(F.count("*").alias("n"))
 
 
 def parsing_accuracy(rows: DataFrame, truth: str = "truth", found: str = "found") -> DataFrame:

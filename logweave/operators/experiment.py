@@ -13,16 +13,15 @@ from logweave.operators.cluster import cluster, cluster_preprocessed
 from logweave.operators.evaluate import adjusted_rand_index, parsing_accuracy, template_match, unmatched
 from logweave.operators.render import clustered_html
 from logweave.operators.storage import settled
-from logweave.sources.lines import dense, head, log_name, read_lines, read_logs, template_parts
+from logweave.sources.lines import head, read_lines, read_logs, template_parts
 
 RESULT = "algo string, log string, max_dist double, run long, metric string, value double"
 
 
 def read_log_templates(spark: SparkSession, paths: str) -> DataFrame:
     """``(log, template_id, parts)`` of CSV files with a header, one for each log; ids count from 0 in the order of a file's rows."""
-    rows = spark.read.text(paths).select(log_name(F.col("_metadata.file_path")).alias("log"), "value")
-    rows = dense(rows, "row").withColumn("first", F.min("row").over(Window.partitionBy("log"))).where("row > first")
-    return rows.select("log", (F.col("row") - F.col("first") - 1).cast("int").alias("template_id"), template_parts(F.regexp_replace("value", "^[^,]*,?", "")).alias("parts"))
+    rows = read_logs(spark, paths).withColumn("first", F.min("line_id").over(Window.partitionBy("log"))).where("line_id > first")
+    return rows.select("log", (F.col("line_id") - F.col("first") - 1).cast("int").alias("template_id"), template_parts(F.regexp_replace("line", "^[^,]*,?", "")).alias("parts"))
 
 
 def load_data(spark: SparkSession, folder: str, modified: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -33,10 +33,26 @@ def dense(df: DataFrame, name: str = "line_id") -> DataFrame:
     return numbered.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__before")
 
 
+def _numbered(spark: SparkSession, paths: str) -> DataFrame:
+    """``(path, line_id, value)`` of text files: numbers from 0 in the order of the paths and of the lines in them, however Spark deals the files to tasks.
+
+    A line's number is its place in its block of a file plus the sizes of the blocks before;
+    what is gathered is a row for each block.
+    """
+    rows = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    blocks = rows.groupBy("path", "__block").agg(F.min("__at").alias("first"), F.count("*").alias("n")).collect()
+    before, starts = 0, []
+    for r in sorted(blocks, key=lambda r: (r["path"], r["__block"])):
+        starts.append((r["path"], r["__block"], before - r["first"]))
+        before += r["n"]
+    offsets = spark.createDataFrame(starts, "path string, __block long, __add long")
+    return rows.join(F.broadcast(offsets), ["path", "__block"]).select("path", (F.col("__at") + F.col("__add")).alias("line_id"), "value")
+
+
 def read_lines(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame:
     """``(line_id, line)`` of a text file or folder."""
     line = strip("value") if stripped else F.col("value")
-    return dense(spark.read.text(path).select(line.alias("line"))).select("line_id", "line")
+    return _numbered(spark, path).select("line_id", line.alias("line"))
 
 
 def from_strings(spark: SparkSession, lines) -> DataFrame:
@@ -51,8 +67,7 @@ def log_name(path: Column | str) -> Column:
 
 def read_logs(spark: SparkSession, paths: str) -> DataFrame:
     """``(log, line_id, line)`` of log files, not stripped; ids count through all of them."""
-    rows = spark.read.text(paths).select(log_name(F.col("_metadata.file_path")).alias("log"), F.col("value").alias("line"))
-    return dense(rows).select("log", "line_id", "line")
+    return _numbered(spark, paths).select(log_name("path").alias("log"), "line_id", F.col("value").alias("line"))
 
 
 def head(lines: DataFrame, n: int) -> DataFrame:
@@ -68,8 +83,8 @@ def template_parts(template: Column | str) -> Column:
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """``(template_id, parts)`` of a CSV file with a header, an id, and a template that may hold commas."""
-    rows = dense(spark.read.text(path), "row").where("row > 0")
-    return rows.select((F.col("row") - 1).cast("int").alias("template_id"), template_parts(F.regexp_replace("value", "^[^,]*,?", "")).alias("parts"))
+    rows = _numbered(spark, path).where("line_id > 0")
+    return rows.select((F.col("line_id") - 1).cast("int").alias("template_id"), template_parts(F.regexp_replace("value", "^[^,]*,?", "")).alias("parts"))
 
 
 def result_json(clusters: DataFrame) -> str:

@@ -94,6 +94,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text('EventId,EventTemplate\nE1,"jk2 <*> of, <*> workers"\nE2,<*>: 12 <*>\n')
     rows = sources.read_templates(spark, str(tmp_path / "t.csv")).orderBy("template_id").collect()
     assert [list(r["parts"]) for r in rows] == [["jk2", "of,", "workers"], []]
+    for k, n in enumerate((3, 4000, 1, 700)):
+        (tmp_path / f"part{k}.txt").write_text("\n".join(f"{k} {i}" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        lines = [r["line"] for r in sources.read_lines(spark, f"{tmp_path}/part*.txt").orderBy("line_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert lines == [f"{k} {i}" for k, n in enumerate((3, 4000, 1, 700)) for i in range(n)]
     big = sources.dense(spark.range(1000).repartition(7))
     assert sorted(r["line_id"] for r in big.collect()) == list(range(1000))
 
@@ -115,6 +124,11 @@ def test_metrics(spark):
     assert evaluate.adjusted_rand_index(rows).first()[0] == pytest.approx((1 - 0.2) / (1.5 - 0.2))
 
 
+def test_unassigned_rows_are_no_empty_class(spark):
+    rows = spark.createDataFrame([(0, "a", ""), (1, "a", ""), (2, "b", None), (3, "b", None)], "line_id long, truth string, found string")
+    assert evaluate.adjusted_rand_index(rows).first()[0] == 1.0
+
+
 def test_render(spark):
     own, found = frame(spark, ["a<b", "c", "d"]), spark.createDataFrame([(0, 5), (1, 3)], "line_id long, cluster_id long")
     html = render.clustered_html(own, found).first()["html"]

@@ -19,7 +19,7 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANK, "")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, hash_col: str | None = None) -> DataFrame:
     """Every row of ``df`` with ``keep_id``, ``group_size`` and ``kept``.
 
     Texts are equal when they are identical without blanks; null counts as empty, and all
@@ -29,10 +29,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     gives an empty result. Columns of ``df`` named as a new column are replaced by it; any
     other column is carried along (own working columns start with ``__d_``).
 
+    Ids are numbers other than the least of their type, which has no negative.
+
     Refinement: the first pass counts lengths; the second hashes a prefix of the texts whose
     length occurs more than once; the third hashes whole texts only where length and prefix
     hash occur more than once. Groups are met by joins with pre-aggregated counts, which
     are broadcast if few, so a hot group is never gathered: adaptive execution splits it.
+
+    ``hash_col`` names a column of ``df`` that has a full hash of the normalised text already;
+    it is then not made again, and where ``text_col`` is not read from the result, joins move
+    rows without their texts.
     """
     names = [c for c in df.columns if c not in ("keep_id", "group_size", "kept")]
     base = df.select(*[df[c] for c in names])
@@ -47,9 +53,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     rows = (
         base.withColumn("__d_prefix", F.xxhash64(F.substring("__d_norm", 1, prefix)))
-        .join(heads, ["__d_len", "__d_prefix"], "left")
-        .withColumn("__d_hash", F.when(F.col("__d_met"), F.sha2(F.encode("__d_norm", "UTF-8"), 256)))
         .withColumn("__d_points", F.length(text))
+        .join(heads, ["__d_len", "__d_prefix"], "left")
+        .withColumn("__d_hash", F.when(F.col("__d_met"), F.col(hash_col) if hash_col else F.sha2(F.encode("__d_norm", "UTF-8"), 256)))
     )
     order = F.struct(F.col("__d_points"), F.col(id_col).isNotNull().alias("has"), F.negative(F.col(id_col)).alias("neg"))
     same = ["__d_points", id_col, "__d_len", "__d_hash"]

@@ -130,8 +130,8 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", names: tuple[st
     """``df`` with the language of each whole text and the calibrated probability of it.
 
     A null text, an empty one and one without a letter is ``und`` with score 0. Only the
-    text is an input, so repeated rows get the same; columns of the new names are
-    replaced. The model has a fixed size and goes along to the tasks.
+    text is an input, so repeated rows get the same; an empty table stays empty; columns of
+    the new names are replaced, and ``__found`` is a working column that ``df`` must not have. The model has a fixed size and goes along to the tasks.
     """
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)

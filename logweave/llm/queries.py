@@ -47,7 +47,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(F.encode(normalised("text"), "UTF-8"), 256))
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, hash_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP3_SQL = r"""

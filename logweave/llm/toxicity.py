@@ -163,7 +163,8 @@ def predict(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     """``docs`` with columns ``<category>_score``, a probability from the whole text, and ``<category>``, whether it reaches the threshold.
 
     A null or empty text has no features and gets what the intercepts say; columns of the
-    new names are replaced; repeated rows get the same. The chain has a fixed size and goes
+    new names are replaced, and ``__found`` is a working column that ``docs`` must not have;
+    repeated rows get the same; an empty table stays empty. The chain has a fixed size and goes
     along to the tasks. A chain without links, fitted without labels, says 0 and false.
     """
     small_batches(docs.sparkSession)

@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Templates that may go to every task; they are a curated list.
-TEMPLATES = 100_000
+#: Templates that may go to every task and be tried on every line; characters of the grams that more of them are found by.
+TEMPLATES, GRAM = 1_000, 4
+
+
+def _candidates(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """``(line_id, template_id, parts, size)`` of the pairs that share the template's rarest gram, and so all pairs that fit.
+
+    A gram is ``GRAM`` characters of a part, or the part if it is shorter; rare is what few
+    templates have. A template without characters fits every line, and of several of these
+    the first stands for all.
+    """
+    grams = F.flatten(F.transform("parts", lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - GRAM + 1, F.lit(1))), lambda i: F.substring(p, i, GRAM))))
+    own = templates.where("size > 0").select("template_id", "parts", "size", F.explode(F.array_distinct(grams)).alias("gram")).where("gram != ''")
+    rare = own.groupBy("gram").agg(F.count("*").alias("n"))
+    keys = own.join(rare, "gram").groupBy("template_id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    keyed = templates.join(keys, "template_id").select("gram", "template_id", "parts", "size")
+    pieces = F.concat(*[F.transform(F.filter(F.sequence(F.lit(1), F.length("line")), _fits(q)), _gram_at(q)) for q in range(1, GRAM + 1)])
+    met = lines.where(F.length("line") > 0).select("line_id", F.explode(F.array_distinct(pieces)).alias("gram")).join(keyed, "gram").drop("gram")
+    free = templates.where("size = 0").agg(F.min_by(F.struct("template_id", "parts", "size"), "template_id").alias("t")).where("t IS NOT NULL").select("t.*")
+    return met.unionByName(lines.select("line_id").crossJoin(F.broadcast(free)))
+
+
+def _fits(q: int) -> Callable[[Column], Column]:
+    return lambda i: i <= F.length("line") - (q - 1)
+
+
+def _gram_at(q: int) -> Callable[[Column], Column]:
+    return lambda i: F.substring("line", i, F.lit(q))
 
 
-def template_match(lines: DataFrame, templates: DataFrame, strict: bool = True) -> DataFrame:
+def template_match(lines: DataFrame, templates: DataFrame, strict: bool = True, most: int = TEMPLATES) -> DataFrame:
     """``(line_id, template_id)``: the template of each line among ``templates(template_id, parts)``.
 
     A template fits if all its parts stand in the line. Of several that fit, the first one
     is taken if its parts include all parts of the others, else the one with the most
     characters, of equals the first. A line that none fits raises an error if ``strict``,
-    else it gets null.
+    else it gets null. Up to ``most`` templates go to every task; more are found by grams.
     """
-    if templates.limit(TEMPLATES + 1).count() > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates")
-    size = F.aggregate("parts", F.lit(0), lambda a, p: a + F.length(p))
-    fits = lines.join(F.broadcast(templates.withColumn("size", size)), F.forall("parts", lambda p: F.contains("line", p)), "left")
+    templates = templates.withColumn("size", F.aggregate("parts", F.lit(0), lambda a, p: a + F.length(p)))
+    fit = F.forall("parts", lambda p: F.contains("line", p))
+    if templates.limit(most + 1).count() <= most:
+        fits = lines.join(F.broadcast(templates), fit, "left")
+    else:
+        near = _candidates(lines.select("line_id", "line"), templates).join(lines.select("line_id", "line"), "line_id").where(fit).drop("line")
+        fits = lines.join(near, "line_id", "left")
     found = fits.groupBy("line_id").agg(
         F.min_by(F.struct("template_id", "parts"), "template_id").alias("first"),
         F.min_by("template_id", F.struct(-F.col("size"), "template_id")).alias("longest"),

@@ -24,6 +24,8 @@ WIDTH, SIMILAR, LEAST = 5, 0.8, 50
 RECALL = 0.999
 #: Most paragraphs of a bucket that are compared as one unit.
 BUCKET = 512
+#: Marks that may go to all tasks as a bitmap, an eighth of its bits; more are met by a join.
+MARKS = 1 << 25
 #: Words between blanks, as ``bytes.split`` has them.
 WORD = re.compile("[^ \\t\\n\\r\\x0b\\x0c]+")
 
@@ -200,19 +202,72 @@ def _marks_of(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"hash": hashes.view(np.int64), "n": n})
 
 
+def _hashed(b: pd.DataFrame, before: int, w: Words, at: np.ndarray, least: int) -> Iterator[pd.DataFrame]:
+    """The runs of ``least`` words at some places of the words: two hashes of its words, and its start."""
+    if len(at):
+        text = np.searchsorted(w.edges, at, "right") - 1
+        one, two = (w.runs(least, seed)[at].view(np.int64) for seed in (1, 2))
+        yield pd.DataFrame({"id": b["id"].to_numpy()[before + text], "mark": b["mark"].to_numpy()[before + text], "at": (at - w.edges[text]).astype(np.int32), "one": one, "two": two})
+
+
 def _runs_of(batches: Iterator[pd.DataFrame], least: int, shared: Broadcast) -> Iterator[pd.DataFrame]:
-    """The runs of ``least`` words whose mark is shared: two hashes of its words, and its start."""
+    """The runs of ``least`` words whose mark is in the bitmap."""
     full = shared.value
     for b in batches:
-        ids, of = b["id"].to_numpy(), b["mark"].to_numpy()
         for before, w in in_groups(b["text"]):
             lowest = marks(w, least)[0]
             bit = (lowest & np.uint64(Marks.BITS - 1)).astype(np.int64)
-            at = np.flatnonzero((full[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) & (lowest > 0))
-            if len(at):
-                text = np.searchsorted(w.edges, at, "right") - 1
-                one, two = (w.runs(least, seed)[at].view(np.int64) for seed in (1, 2))
-                yield pd.DataFrame({"id": ids[before + text], "mark": of[before + text], "at": (at - w.edges[text]).astype(np.int32), "one": one, "two": two})
+            yield from _hashed(b, before, w, np.flatnonzero((full[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) & (lowest > 0)), least)
+
+
+def _stretches(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Of each text the stretches of runs with one mark: the mark, and the first and last start."""
+    for b in batches:
+        for before, w in in_groups(b["text"]):
+            lowest = marks(w, least)[0]
+            begin = np.flatnonzero((lowest > 0) & np.append(True, lowest[1:] != lowest[:-1])[: len(lowest)])
+            if len(begin):
+                # a text's last runs have no mark, so no stretch goes on into the next text
+                end = np.flatnonzero((lowest > 0) & np.append(lowest[1:] != lowest[:-1], True)[: len(lowest)])
+                text = np.searchsorted(w.edges, begin, "right") - 1
+                first = w.edges[text]
+                yield pd.DataFrame({"id": b["id"].to_numpy()[before + text], "mark": b["mark"].to_numpy()[before + text], "hash": lowest[begin].view(np.int64), "a": (begin - first).astype(np.int32), "b": (end - first).astype(np.int32)})
+
+
+def _runs_in(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The runs of ``least`` words that start within the ``ranges`` of their text."""
+    for b in batches:
+        ranges = b["ranges"].tolist()
+        for before, w in in_groups(b["text"]):
+            change = np.zeros(len(w.hashes) + 1, np.int64)
+            for k, first in enumerate(w.edges[:-1].tolist()):
+                for r in ranges[before + k]:
+                    change[first + r["a"]] += 1
+                    change[first + r["b"] + 1] -= 1
+            yield from _hashed(b, before, w, np.flatnonzero(np.cumsum(change)[:-1]), least)
+
+
+def _repeatable_runs(texts: DataFrame, least: int, most: int) -> tuple[DataFrame, str]:
+    """``(id, mark, at, one, two)``: the runs of ``least`` words whose mark occurs more than once.
+
+    Up to ``most`` such marks go to all tasks as a bitmap of fixed size, and texts do not
+    move. More would fill it; then stretches of runs meet them in a join, and texts with
+    such stretches meet these.
+    """
+    schema = "id string, mark long, at int, one long, two long"
+    found = texts.select("text").mapInPandas(lambda batches: _marks_of(batches, least), "hash long, n long")
+    shared, path = table(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
+    if shared.limit(most + 1).count() <= most:
+        bitmap = Marks(shared, "hash").bitmap
+        at = table(texts.mapInPandas(lambda batches: _runs_of(batches, least, bitmap), schema))
+    else:
+        own = texts.mapInPandas(lambda batches: _stretches(batches, least), "id string, mark long, hash long, a int, b int").distinct()
+        wanted = own.join(shared, "hash", "left_semi").groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+        wanted, wanted_path = table(wanted)
+        at = table(texts.join(wanted, ["id", "mark"]).select("id", "mark", "text", "ranges").mapInPandas(lambda batches: _runs_in(batches, least), schema))
+        drop(texts.sparkSession, wanted_path)
+    drop(texts.sparkSession, path)
+    return at
 
 
 def without_runs(text: str, removed: list[int], starts: list[int], least: int) -> tuple[str, list[int]]:
@@ -250,7 +305,7 @@ def without_runs(text: str, removed: list[int], starts: list[int], least: int) -
 
 
 def substring_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, width: int = WIDTH, similar: float = SIMILAR, most: int = BUCKET
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, width: int = WIDTH, similar: float = SIMILAR, most: int = BUCKET, most_marks: int = MARKS
 ) -> DataFrame:
     """``df`` with repeated passages taken out of the text, and ``removed`` and ``kept_in``.
 
@@ -268,8 +323,8 @@ def substring_dedup(
     are replaced.
 
     A run is found by its mark (``marks``), of which a text has one in some 13 words: marks
-    that occur more than once go to all tasks as a bitmap, and only runs with such a mark are
-    compared, by 128 bits of hashes over their words.
+    that occur more than once go to all tasks as a bitmap (over ``most_marks`` of them by a
+    join), and only runs with such a mark are compared, by 128 bits of hashes over their words.
     """
     spark, kind = df.sparkSession, df.schema[id_col].dataType
     small_batches(spark)
@@ -309,17 +364,14 @@ def substring_dedup(
         "__id",
         "__mark",
     )
-    return _without_repeated_runs(left, names, text_col, kind, least)
+    return _without_repeated_runs(left, names, text_col, kind, least, most_marks)
 
 
-def _without_repeated_runs(left: DataFrame, names: list[str], text_col: str, kind: T.DataType, least: int) -> DataFrame:
+def _without_repeated_runs(left: DataFrame, names: list[str], text_col: str, kind: T.DataType, least: int, most_marks: int) -> DataFrame:
     """The second half of ``substring_dedup``: over texts without repeated paragraphs."""
     spark = left.sparkSession
     texts = left.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col(text_col).alias("text"))
-    found = texts.select("text").mapInPandas(lambda batches: _marks_of(batches, least), "hash long, n long")
-    shared = Marks(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "hash")
-    bitmap = shared.bitmap
-    at, at_path = table(texts.mapInPandas(lambda batches: _runs_of(batches, least, bitmap), "id string, mark long, at int, one long, two long"))
+    at, at_path = _repeatable_runs(texts, least, most_marks)
     order = F.struct((F.col("id") == "").alias("none"), F.when(F.col("id") != "", F.col("id")).cast(kind).alias("who"), "mark", "at")
     at = at.withColumn("order", order)
     first = at.groupBy("one", "two").agg(F.min("order").alias("stays"), F.count("*").alias("n")).where("n > 1").select("one", "two", "stays")

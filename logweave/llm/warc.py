@@ -223,7 +223,8 @@ def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     """``df`` written as archives in the shared folder and read back: ``(id, url, type, refers_to, bytes, digest)``.
 
     Size and digest are those of the payload as read; a revisit has those of the response
-    that it refers to. Null ids, repeated rows and empty payloads: see ``write_warc``.
+    that it refers to. Null ids, repeated rows and empty payloads: see ``write_warc``. An
+    empty table gives an empty result; other columns are not read.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"

@@ -572,6 +572,8 @@ def test_substring_dedup_runs_whole_table(spark, sf):
     want = slow_runs(docs)
     rows = queries.op7_substring_dedup(spark, sf).collect()
     assert {r["doc_id"]: r["text"].encode().split() for r in rows} == {i: words for i, (words, _) in want.items()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    assert {r["doc_id"]: r for r in substring_dedup.substring_dedup(docs, most_marks=0).collect()} == {r["doc_id"]: r for r in rows}
     by_runs = {i for i, (_, lost) in want.items() if lost}
     assert by_runs and all(r["removed"] and r["kept_in"] for r in rows if r["doc_id"] in by_runs)
 
@@ -589,6 +591,7 @@ def test_substring_dedup_inside_and_across_lines(spark):
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r["doc_id"]: r for r in substring_dedup.substring_dedup(df).collect()}
+    assert {r["doc_id"]: r for r in substring_dedup.substring_dedup(df, most_marks=0).collect()} == rows  # marks met by a join
     assert [rows[i]["text"] for i in (0, 3)] == [texts[0], texts[3]] and rows[0]["removed"] == rows[3]["removed"] == []
     assert rows[1]["text"] == "head\n" + " ".join(fill[100:160]) + "\nend" and rows[1]["removed"] == [1]
     assert rows[2]["text"] == "x  y" and rows[2]["removed"] == [0, 2] and rows[2]["kept_in"] == [0]

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import cut, if_small, rebalanced, small_batches
+from logweave.llm.shared import cut, if_small, rebalanced, small_batches, tidy
 
 # Fixed values of HTML: elements without content, with raw content, that are blocks, and that end an open paragraph or item.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -321,7 +321,7 @@ def templates(df: DataFrame, url_col: str = "url", html_col: str = "html", least
     different pages, make a template. Counts are aggregated by (host, digest, surroundings)
     before they move.
     """
-    rows = df.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(_subtrees, "host long, digest long, around long")
+    rows = df.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(tidy(_subtrees), "host long, digest long, around long")
     counts = cut(rows.distinct().groupBy("host", "digest").agg(F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("digest") == 0)))
     pages = counts.where("digest = 0").select("host", F.col("n").alias("pages"))
     return counts.where("digest != 0").join(if_small(cut(rebalanced(pages))), "host").where(F.col("n") >= share * F.col("pages")).select("host", "digest")
@@ -373,5 +373,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             yield pd.DataFrame({"__id": b["__id"], "__url": b["__url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     placed = rows.withColumn("host", key("__url")).join(by_host, "host", "left").select("__id", "__url", "__html", "templates")
-    out = placed.mapInPandas(run, "__id string, __url string, text string, n_chars long")
+    out = placed.mapInPandas(tidy(run), "__id string, __url string, text string, n_chars long")
     return out.select(F.col("__id").cast(kind).alias(id_col), F.col("__url").cast(url_kind).alias(url_col), "text", "n_chars")

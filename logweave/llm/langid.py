@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.linear import Row, scores, softmax, temperature, train
-from logweave.llm.shared import cut, hash_bound, small_batches
+from logweave.llm.shared import cut, hash_bound, small_batches, tidy
 
 #: Buckets of the hashed n-grams, and the longest n.
 BUCKETS, LONGEST = 1 << 15, 3
@@ -94,7 +94,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
         at = np.flatnonzero(df_)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df_[at], n)})
 
-    totals = rows.select("text").mapInPandas(frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    totals = rows.select("text").mapInPandas(tidy(frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     n = sum(r["n"] for r in totals if r["bucket"] == -1)
     idf = np.zeros(BUCKETS)
@@ -121,7 +121,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
 
     order = F.xxhash64("text")
     chosen = rows.withColumn("order", order).where(order <= F.lit(hash_bound(sample / n)))
-    model = cut(chosen.repartition(1).mapInPandas(learn, "weights binary, t double")).first()
+    model = cut(chosen.repartition(1).mapInPandas(tidy(learn), "weights binary, t double")).first()
     weights = np.frombuffer(model["weights"], np.float32).reshape(BUCKETS + 1, len(languages))
     return Model(languages, idf, weights, model["t"])
 
@@ -137,8 +137,13 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", names: tuple[st
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from judge(batches)
+
+    @tidy
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
 
     found = df.withColumn("__found", run(F.col(text_col)))
     kept = [c for c in df.columns if c not in names]

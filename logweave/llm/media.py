@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import cut, drop, small_batches, table
+from logweave.llm.shared import cut, drop, small_batches, table, tidy
 from logweave.llm.webp import decode_bytes, encode
 
 
@@ -43,7 +43,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             made = [(n, encode(data)) for n, data in map(payload, b["text"])]
             yield pd.DataFrame({"id": b["id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made]})
 
-    out = rows.mapInPandas(run, "id string, n_bytes long, media binary")
+    out = rows.mapInPandas(tidy(run), "id string, n_bytes long, media binary")
     return out.select(F.col("id").cast(kind).alias(id_col), "n_bytes", "media")
 
 
@@ -62,7 +62,7 @@ def read(stored: DataFrame, id_col: str = "doc_id", pixels: bool = False) -> Dat
             yield pd.DataFrame(out, columns=names + ["pixels"] * pixels)
 
     schema = "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pixels binary" * pixels
-    out = stored.select(F.col(id_col).cast("string").alias("id"), "n_bytes", "media").mapInPandas(run, schema)
+    out = stored.select(F.col(id_col).cast("string").alias("id"), "n_bytes", "media").mapInPandas(tidy(run), schema)
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import cut, drop, if_small, rebalanced, small_batches, table
+from logweave.llm.shared import cut, drop, if_small, rebalanced, small_batches, table, tidy
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -74,7 +74,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, size: int, vocabulary: str
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "part", "place", *(["ids"] if keep_ids else [])])
 
     schema = "id string, piece int, start long, length long, ids_crc32 long, part int, place long" + ", ids array<long>" * keep_ids
-    return rows.mapInPandas(run, schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    return rows.mapInPandas(tidy(run), schema).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def patterns(lengths: list[int], size: int, steps: int = STEPS) -> list[tuple[int, ...]]:
@@ -237,6 +237,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     kind = df.schema[id_col].dataType
     ranked = made.join(bases, ["length", "part"]).select(F.col(id_col).cast("string").alias(id_col), "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), (F.col("base") + F.col("place")).alias("rank"))
     schema = T.StructType([f for f in ranked.schema.fields if f.name != "rank"] + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    out = cut(ranked.mapInPandas(assign, schema).withColumn(id_col, F.col(id_col).cast(kind)))
+    out = cut(ranked.mapInPandas(tidy(assign), schema).withColumn(id_col, F.col(id_col).cast(kind)))
     drop(spark, path)
     return out

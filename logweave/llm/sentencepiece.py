@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import small_batches
+from logweave.llm.shared import small_batches, tidy
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -362,5 +362,5 @@ def encoded_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     out = []
             yield pd.DataFrame(out, columns=["id", "n_tokens", "ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    out = rows.mapInPandas(run, "id string, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    out = rows.mapInPandas(tidy(run), "id string, n_tokens long, ids array<int>, ids_crc32 long, decoded_sha256 string, round_trip boolean")
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for ``mapInPandas``, after which the worker gives freed memory back: workers live on from stage to stage, and keep it otherwise."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def rebalanced(df: DataFrame) -> DataFrame:
     """``df`` without a known partitioning, so that a later join has an exchange on both sides and a hot key can be split."""
     return df.hint("rebalance")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanced, small_batches, spread, table
+from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanced, small_batches, spread, table, tidy
 
 #: Most distinct fingerprints in a tree; a shard with more is dealt out as pairs of such parts.
 TREE = 1024
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, width: int, seeds: t
     rows = df.select(F.col(id_col), F.xxhash64(text_col).alias("__mark"), F.col(text_col).alias("__text"))
     if isinstance(kind, T.IntegralType):  # pandas would turn a null id into a float
         rows = rows.withColumn(id_col, F.col(id_col).cast("string"))
-    out = rows.mapInPandas(run, T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("__mark", T.LongType()), T.StructField("fp", T.BinaryType())]))
+    out = rows.mapInPandas(tidy(run), T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("__mark", T.LongType()), T.StructField("fp", T.BinaryType())]))
     return out.withColumn(id_col, F.col(id_col).cast(kind))
 
 
@@ -210,7 +210,7 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]], most: int = TR
                     value = (value << 1) | bits[:, at]
                 yield pd.DataFrame({"t": np.full(len(b), t, np.int32), "value": value, "fp": b["fp"]})
 
-    dealt = nodes.select("fp").mapInPandas(keys, "t int, value long, fp binary")
+    dealt = nodes.select("fp").mapInPandas(tidy(keys), "t int, value long, fp binary")
     sizes = dealt.groupBy("t", "value").agg(F.count("*").alias("size"))
     large, path = table(sizes.where(F.col("size") > most).select("t", "value", F.ceil(F.col("size") / most).cast("int").alias("parts")))
     # a unit's key is a hash; where two shards have one, they are searched together, which loses nothing
@@ -222,7 +222,7 @@ def links(nodes: DataFrame, radius: int, tables: list[list[int]], most: int = TR
     else:
         units = dealt.select(F.xxhash64("t", "value").alias("unit"), "fp", F.lit(0).alias("side"))
     units = spread(units, "unit").sortWithinPartitions("unit", "fp")
-    out = cut(units.mapInPandas(lambda batches: _links_in_shards(batches, radius), "src binary, dst binary").distinct())
+    out = cut(units.mapInPandas(tidy(lambda batches: _links_in_shards(batches, radius)), "src binary, dst binary").distinct())
     drop(nodes.sparkSession, path)
     return out
 
@@ -281,7 +281,7 @@ def similar_texts(texts: DataFrame, df: DataFrame, text_col: str, radius: int, w
     own = df.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     own = own.where(Sieve(met, "mark").passes("mark")).dropDuplicates(["mark"])
     units = spread(units.join(own, "mark"), "unit").sortWithinPartitions("unit", "mark")
-    pairs = cut(units.mapInPandas(lambda batches: _similar_texts(batches, radius, width, similar), "src long, dst long").distinct())
+    pairs = cut(units.mapInPandas(tidy(lambda batches: _similar_texts(batches, radius, width, similar)), "src long, dst long").distinct())
     drop(spark, sizes_path)
     drop(spark, met_path)
     return connected_components(pairs)

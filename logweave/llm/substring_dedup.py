@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, small_batches, spread, table
+from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, small_batches, spread, table, tidy
 from logweave.llm.simhash import merge
 from logweave.llm.words import INVERSE, LINE_BREAK, Words, in_groups, mixed, powers, sliding
 
@@ -155,7 +155,7 @@ def similar_paragraphs(found: DataFrame, texts: DataFrame, width: int = WIDTH, s
     """
     spark = found.sparkSession
     keys = spread(found.select("digest", F.explode("keys").alias("key")), "key").sortWithinPartitions("key")
-    met, met_path = table(keys.mapInPandas(_shared_keys, "digest binary, key long"))
+    met, met_path = table(keys.mapInPandas(tidy(_shared_keys), "digest binary, key long"))
     buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "digest"), 20)).alias("s"))
     buckets, buckets_path = table(buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / most).cast("int").alias("parts")))
     units = met.join(buckets, "key").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("parts")).cast("int"))
@@ -164,7 +164,7 @@ def similar_paragraphs(found: DataFrame, texts: DataFrame, width: int = WIDTH, s
     own = texts.where(Sieve(units.select("digest"), "digest").passes("digest")).dropDuplicates(["digest"])
     units = units.join(own, "digest")
     units = spread(units, "unit").sortWithinPartitions("unit", "digest")
-    pairs = cut(units.mapInPandas(lambda batches: _similar(batches, width, similar), "src binary, dst binary").distinct())
+    pairs = cut(units.mapInPandas(tidy(lambda batches: _similar(batches, width, similar)), "src binary, dst binary").distinct())
     drop(spark, met_path)
     drop(spark, buckets_path)
     return connected_components(pairs)
@@ -255,16 +255,16 @@ def _repeatable_runs(texts: DataFrame, least: int, most: int) -> tuple[DataFrame
     such stretches meet these.
     """
     schema = "id string, mark long, at int, one long, two long"
-    found = texts.select("text").mapInPandas(lambda batches: _marks_of(batches, least), "hash long, n long")
+    found = texts.select("text").mapInPandas(tidy(lambda batches: _marks_of(batches, least)), "hash long, n long")
     shared, path = table(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"))
     if shared.limit(most + 1).count() <= most:
         bitmap = Marks(shared, "hash").bitmap
-        at = table(texts.mapInPandas(lambda batches: _runs_of(batches, least, bitmap), schema))
+        at = table(texts.mapInPandas(tidy(lambda batches: _runs_of(batches, least, bitmap)), schema))
     else:
-        own = texts.mapInPandas(lambda batches: _stretches(batches, least), "id string, mark long, hash long, a int, b int").distinct()
+        own = texts.mapInPandas(tidy(lambda batches: _stretches(batches, least)), "id string, mark long, hash long, a int, b int").distinct()
         wanted = own.join(shared, "hash", "left_semi").groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
         wanted, wanted_path = table(wanted)
-        at = table(texts.join(wanted, ["id", "mark"]).select("id", "mark", "text", "ranges").mapInPandas(lambda batches: _runs_in(batches, least), schema))
+        at = table(texts.join(wanted, ["id", "mark"]).select("id", "mark", "text", "ranges").mapInPandas(tidy(lambda batches: _runs_in(batches, least)), schema))
         drop(texts.sparkSession, wanted_path)
     drop(texts.sparkSession, path)
     return at
@@ -332,7 +332,7 @@ def substring_dedup(
     shape = bands(similar)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     rows = df.select(key.alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    made = rows.mapInPandas(lambda batches: _paragraphs(batches, least, width, shape), "id string, mark long, place int, digest binary, paragraph string, keys array<long>")
+    made = rows.mapInPandas(tidy(lambda batches: _paragraphs(batches, least, width, shape)), "id string, mark long, place int, digest binary, paragraph string, keys array<long>")
     made, made_path = table(made)
     order = F.struct((F.col("id") == "").alias("none"), F.when(F.col("id") != "", F.col("id")).cast(kind).alias("who"), "mark", "place")
     places = made.select("digest", "id", "mark", "place", order.alias("order"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.langid import _letters
 from logweave.llm.linear import Row, probability, train
-from logweave.llm.shared import cut, hash_bound, small_batches
+from logweave.llm.shared import cut, hash_bound, small_batches, tidy
 
 #: Buckets of the hashed features; letters of a word's beginning that are features beside the word.
 BUCKETS, BEGINNINGS = 1 << 18, (3, 4, 5, 6)
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             used = np.flatnonzero(w[:, 0])
             yield pd.DataFrame({"k": [k], "at": [used.tolist()], "weights": [w[used, 0].tobytes()], "threshold": [chain.thresholds[k]]})
 
-    made = cut(rows.mapInPandas(vectors, "order long, at array<int>, target array<int>").repartition(1).mapInPandas(learn, "k int, at array<int>, weights binary, threshold double")).collect()
+    made = cut(rows.mapInPandas(tidy(vectors), "order long, at array<int>, target array<int>").repartition(1).mapInPandas(tidy(learn), "k int, at array<int>, weights binary, threshold double")).collect()
     weights, made = [], sorted(made, key=lambda r: r["k"])
     for r in made:
         w = np.zeros((BUCKETS + r["k"] + 1, 1), np.float32)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import BROADCAST_ROWS, cut, drop, if_small, rebalanced, scratch_root, table
+from logweave.llm.shared import BROADCAST_ROWS, cut, drop, if_small, rebalanced, scratch_root, table, tidy
 
 #: What a record begins with, and what stands between its block and the next record.
 MAGIC, END = "WARC/1.", "\r\n\r\n"
@@ -198,7 +198,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     sums = cut(chunks.groupBy("file", "block").agg(F.sum(F.octet_length("chunk") + len(MAGIC)).alias("size")))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = cut(sums.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")))
-    found, found_path = table(_attach(chunks, bases).mapInPandas(_candidates, "file string, block long, at long, leaves long, last long"))
+    found, found_path = table(_attach(chunks, bases).mapInPandas(tidy(_candidates), "file string, block long, at long, leaves long, last long"))
     targets = found.select("file", F.col("leaves").alias("at")).distinct()
     entered = found.join(targets, ["file", "at"], "left_semi").unionByName(found.where("at = 0"))
     reached = _reach(cut(entered.select("file", "at", "leaves").distinct()))
@@ -210,13 +210,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     facts = bases.join(entries, ["file", "block"], "left")
     facts = cut(facts.select("file", "block", "base", F.coalesce("entry", F.lit(-2)).alias("entry"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("owner")))
     drop(spark, found_path)
-    pieces = _attach(chunks, facts).mapInPandas(_records, "file string, at long, piece long, whole boolean, data binary")
+    pieces = _attach(chunks, facts).mapInPandas(tidy(_records), "file string, at long, piece long, whole boolean, data binary")
     rows = pieces.where("whole").select("file", "at", "data")
     # a block is not entered at its first magic only if a record that holds the magic goes on from an earlier block
     if facts.where(f"entry != greatest(base - {len(MAGIC)}, 0)").limit(1).count():
         joined = pieces.where("NOT whole").groupBy("file", "at").agg(F.array_sort(F.collect_list(F.struct("piece", "data"))).alias("p"))
         rows = rows.unionByName(joined.select("file", "at", F.expr("aggregate(p, cast('' AS binary), (a, x) -> concat(a, x.data))").alias("data")))
-    return rows.mapInPandas(_parse, "file string, at long, type string, id long, url string, refers_to long, digest string, payload binary")
+    return rows.mapInPandas(tidy(_parse), "file string, at long, type string, id long, url string, refers_to long, digest string, payload binary")
 
 
 def archive(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,29 +95,36 @@ class Sieve:
     """
 
     BITS = 1 << 26
+    #: Bits of a part, as ``bitmap_bucket_number`` has them.
+    PART = 1 << 15
 
     def __init__(self, keys: DataFrame, *columns: str):
         self.spark = keys.sparkSession
         bit = self._bit(*columns) + 1
-        parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        parts = keys.select(bit.alias("bit")).groupBy((F.bitmap_bucket_number("bit") - 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        self.parts = cut(parts)
+
+    @property
+    def bitmap(self) -> Broadcast:
+        """The bitmap as an array of bytes for Python tasks."""
         full = np.zeros(self.BITS >> 3, np.uint8)
-        for r in parts.collect():
+        for r in self.parts.collect():
             own = np.frombuffer(r["bits"], np.uint8)
-            full[(r["part"] - 1) * 4096 : (r["part"] - 1) * 4096 + len(own)] = own
-        self.bitmap = self.spark.sparkContext.broadcast(full)
+            full[r["part"] * (self.PART >> 3) : r["part"] * (self.PART >> 3) + len(own)] = own
+        return self.spark.sparkContext.broadcast(full)
 
     def _bit(self, *columns: Column | str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.BITS))
 
     def passes(self, *columns: Column | str) -> Column:
-        bitmap = self.bitmap
-
-        @F.pandas_udf("boolean")
-        def look(bit: pd.Series) -> pd.Series:
-            at = bit.to_numpy()
-            return pd.Series((bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-        return look(self._bit(*columns))
+        """A condition in built-in functions; the bitmap is a scalar subquery."""
+        every = self.spark.range(self.BITS // self.PART).withColumnRenamed("id", "part").join(self.parts, "part", "left")
+        every = every.select("part", F.coalesce("bits", F.lit(bytes(self.PART >> 3))).alias("bits"))
+        full = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "bits"))), lambda x: x["bits"]).alias("full")).scalar()
+        at = self._bit(*columns)
+        own = F.element_at(full, F.floor(at / self.PART).cast("int") + 1)
+        byte = F.substring(own, F.floor(F.pmod(at, F.lit(self.PART)) / 8).cast("int") + 1, F.lit(1))
+        return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(at, F.lit(8)).cast("int")) == 1
 
 
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:

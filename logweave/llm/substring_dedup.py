@@ -371,7 +371,9 @@ def _without_repeated_runs(left: DataFrame, names: list[str], text_col: str, kin
     """The second half of ``substring_dedup``: over texts without repeated paragraphs."""
     spark = left.sparkSession
     texts = left.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), F.col(text_col).alias("text"))
+    texts, texts_path = table(texts)  # read twice, by tasks with one Python worker
     at, at_path = _repeatable_runs(texts, least, most_marks)
+    drop(spark, texts_path)
     order = F.struct((F.col("id") == "").alias("none"), F.when(F.col("id") != "", F.col("id")).cast(kind).alias("who"), "mark", "at")
     at = at.withColumn("order", order)
     first = at.groupBy("one", "two").agg(F.min("order").alias("stays"), F.count("*").alias("n")).where("n > 1").select("one", "two", "stays")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from logweave.llm.exact_dedup import exact_dedup, normalised
 from logweave.llm import toxicity
+from logweave.llm.centroids import centroid_clusters
 from logweave.llm.html_extract import extract
 from logweave.llm.langid import language_id
+from logweave.llm.lexical import lexical_search
 from logweave.llm.media import media_columns
 from logweave.llm.packing import pack
 from logweave.llm.sentencepiece import encoded_documents
@@ -96,6 +98,61 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_read(spark, sf_dir, "documents"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, w, count(*) AS tf FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents)
+  GROUP BY doc_id, w
+), b AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), n AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM d GROUP BY doc_id),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+t AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM d, s GROUP BY w),
+r AS (
+  SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM b JOIN d USING (w) JOIN t USING (w) JOIN n USING (doc_id), s GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_read(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round as two relations: assignments, and the floors of the means, those of empty clusters from before."""
+    out = f"""
+WITH q AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), h AS (SELECT *, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM q),
+c0 AS MATERIALIZED (SELECT c, v FROM h WHERE c < {k})"""
+    for r in range(rounds + 1):
+        out += f""",
+a{r} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d
+  FROM (SELECT vec_id, q.v, c, list_sum(list_transform(list_zip(q.v, z.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM q, c{r} z) GROUP BY vec_id
+)"""
+        if r < rounds:
+            out += f""",
+c{r + 1} AS MATERIALIZED (
+  SELECT c, coalesce(m.v, z.v) AS v FROM c{r} z LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v
+    FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i) GROUP BY c) m USING (c)
+)"""
+    return out + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} z USING (c)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,9 +171,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_html": op9_html,
         "op10_media": op10_media,
+        "op12_lexical": op12_lexical,
+        "op13_centroids": op13_centroids,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op12_lexical": OP12_SQL, "op13_centroids": _op13_sql()}

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.storage import drop, keep_until_release, release, scratch_root, table  # noqa: F401
+from logweave.operators.storage import drop, keep_until_release, new_path, release, scratch_root, table  # noqa: F401
 from logweave.operators.storage import settled as cut  # noqa: F401
 
 #: Rows of a narrow relation (some tens of bytes a row) that may be broadcast.
@@ -26,6 +26,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
+@contextlib.contextmanager
+def batches_within(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
+    """``small_batches`` for what runs inside; then the session is as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def tidy(run: Callable) -> Callable:
     """A function for ``mapInPandas``, after which the worker gives freed memory back: workers live on from stage to stage, and keep it otherwise."""
 

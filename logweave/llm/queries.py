@@ -11,6 +11,7 @@ from logweave.llm.exact_dedup import exact_dedup, normalised
 from logweave.llm import toxicity
 from logweave.llm.centroids import centroid_clusters
 from logweave.llm.html_extract import extract
+from logweave.llm.jaccard_join import jaccard_join
 from logweave.llm.langid import language_id
 from logweave.llm.lexical import lexical_search
 from logweave.llm.media import media_columns
@@ -98,6 +99,29 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(_read(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w
+), g AS MATERIALIZED (SELECT min(doc_id) AS rep, s FROM s WHERE len(s) > 0 GROUP BY s),
+x AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM g),
+link AS MATERIALIZED (
+  SELECT a.rep AS src, b.rep AS dst FROM x a JOIN x b ON a.t = b.t AND a.rep <> b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach(rep, least) USING KEY (rep) AS (
+  SELECT rep, rep FROM g
+  UNION SELECT dst, min(r.least) FROM reach r JOIN link ON src = r.rep JOIN recurring.reach old ON old.rep = dst WHERE r.least < old.least GROUP BY dst
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least, s.doc_id) AS component_id FROM s LEFT JOIN g ON g.s = s.s LEFT JOIN reach USING (rep)
+"""
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -171,6 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_html": op9_html,
         "op10_media": op10_media,
+        "op11_jaccard_join": op11_jaccard_join,
         "op12_lexical": op12_lexical,
         "op13_centroids": op13_centroids,
         "pipeline": pipeline,
@@ -178,4 +203,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op12_lexical": OP12_SQL, "op13_centroids": _op13_sql()}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op11_jaccard_join": OP11_SQL, "op12_lexical": OP12_SQL, "op13_centroids": _op13_sql()}

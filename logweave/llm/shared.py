@@ -103,12 +103,13 @@ class Sieve:
 
     Keys are hashed to the bits of a bitmap of fixed size (8 MB), which is built by partial
     aggregation and goes to the tasks. Some rows without a partner pass; the join drops them.
+    ``hashed``: the one column is a hash already, and its low bits are taken.
     """
 
     BITS = 1 << 26
 
-    def __init__(self, keys: DataFrame, *columns: str):
-        self.spark = keys.sparkSession
+    def __init__(self, keys: DataFrame, *columns: str, hashed: bool = False):
+        self.spark, self.hashed = keys.sparkSession, hashed
         bit = self._bit(*columns) + 1
         parts = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
         full = np.zeros(self.BITS >> 3, np.uint8)
@@ -118,7 +119,13 @@ class Sieve:
         self.bitmap = self.spark.sparkContext.broadcast(full)
 
     def _bit(self, *columns: Column | str) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.lit(self.BITS))
+        return F.pmod(F.col(columns[0]) if self.hashed else F.xxhash64(*columns), F.lit(self.BITS))
+
+    @classmethod
+    def found(cls, bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """In a task, which of the 64-bit hashes may be among the keys of a ``hashed`` sieve's bitmap."""
+        at = hashes.astype(np.int64) & (cls.BITS - 1)
+        return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
     def passes(self, *columns: Column | str) -> Column:
         bitmap = self.bitmap

@@ -1,13 +1,16 @@
-"""Distances of two string columns, in Arrow batches."""
+"""Distances of two string columns: all pairs of an Arrow batch at a time, as arrays."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.functions import text
+from logweave.functions.distances import PairDistances, lcs_distances, lcs_lengths
 from logweave.functions.graphs import graphs
 from logweave.functions.patterns import PatternSet
 
@@ -15,14 +18,30 @@ from logweave.functions.patterns import PatternSet
 INFINITY = 100_000.0
 
 
+def _of_pairs(a: pd.Series, b: pd.Series, measure: Callable[[list[str], np.ndarray, np.ndarray], np.ndarray]) -> tuple[pd.Series, np.ndarray]:
+    """Where both sides are given, and the measure of each pair of strings there, taken once for equal pairs."""
+    there = a.notna() & b.notna()
+    codes, strings = pd.factorize(pd.concat([a[there], b[there]], ignore_index=True))
+    n = len(codes) // 2
+    at, pairs = pd.factorize(codes[:n].astype(np.int64) * len(strings) + codes[n:])
+    return there, measure(strings.tolist(), pairs // max(1, len(strings)), pairs % max(1, len(strings)))[at] if n else np.zeros(0)
+
+
+def _whole(a: pd.Series, b: pd.Series, measure: Callable) -> pd.Series:
+    out = pd.Series(pd.NA, a.index, "Int32")
+    there, found = _of_pairs(a, b, measure)
+    out[there] = found.astype(np.int32)
+    return out
+
+
 @F.pandas_udf(T.IntegerType())
 def _lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else text.lcs_length(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return _whole(a, b, lcs_lengths)
 
 
 @F.pandas_udf(T.IntegerType())
 def _lcs_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else text.lcs_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+    return _whole(a, b, lcs_distances)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
@@ -39,12 +58,18 @@ def pattern_distance(a: Column, b: Column, patterns: PatternSet | None = None, n
     """Pattern distance of two lines; null if a side is, and where the cost reaches ``limit`` (times the summed lengths if normalised)."""
     patterns = patterns or PatternSet.default()
     dfas, densities = patterns.dfas(), patterns.densities()
-    measure = text.normalised_distance if normalized else text.pattern_distance
+
+    def measure(lines: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        of = PairDistances(graphs(lines, patterns, dfas), densities)
+        norm = (of.size[i] + of.size[j]).astype(float) if normalized else np.ones(len(i))
+        # two empty lines have no normalised distance: their limit is 0
+        return of(i, j, limit * norm) / np.where(norm > 0, norm, 1.0)
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        lines = sorted({*x, *y} - {None})
-        own = dict(zip(lines, graphs(lines, patterns, dfas).automata()))
-        return pd.Series([None if p is None or q is None else measure(own[p], own[q], densities, limit) for p, q in zip(x, y)], dtype="float64")
+        out = pd.Series(np.nan, x.index)
+        there, found = _of_pairs(x, y, measure)
+        out[there] = found
+        return out
 
     return run(a, b)

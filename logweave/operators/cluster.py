@@ -2,147 +2,198 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.functions.bounds import MASSES, Bound
+from logweave.functions.distances import PairDistances
 from logweave.functions.graphs import graphs
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
-from logweave.functions.text import Automaton, normalised_distance, staircase
+from logweave.functions.text import automaton, normalised_distance
 from logweave.operators.automaton import automata
 from logweave.operators.storage import drop, new_path, settled, table, tasks
 
-#: Undecided lines that are taken in order at a time, at first and at most; leaders that go to the tasks at a time.
-BLOCK, LARGEST_BLOCK, LEADERS = 64, 1024, 4096
+#: Undecided lines of a cell that a round settles at first; leaders that may be broadcast; bytes of their lines that may.
+BLOCK, FEW, FEW_BYTES = 16, 20_000, 16 << 20
+#: Signs of the masses in the second coordinate of a cell.
+SIGNS = [1, -1, -1, 1, 1, -1, 1, -1]
 
 Leader = tuple[int, str]
 
+PREPARED = "line_id long, last long, line string, size long, kind int, " + ", ".join(f"m{k} double" for k in range(MASSES))
 
-class Measure:
-    """Distances below a threshold from a bounded list of leaders, whose automata are built once in each task."""
-
-    def __init__(self, leaders: list[Leader], patterns: PatternSet, threshold: float):
-        self.leaders, self.patterns, self.threshold = leaders, patterns, threshold
-        self.dfas, self.densities = patterns.dfas(), patterns.densities()
-        self.built: list[tuple[int, Automaton]] = []
-
-    def graphs(self, lines: Sequence[str]) -> list[Automaton]:
-        return graphs(lines, self.patterns, self.dfas).automata()
-
-    def _leaders(self) -> list[tuple[int, Automaton]]:
-        if len(self.built) < len(self.leaders):
-            self.built = list(zip([i for i, _ in self.leaders], self.graphs([line for _, line in self.leaders])))
-        return self.built
-
-    def within(self, lines: Sequence[str]) -> list[bool]:
-        """Whether a leader is closer than the threshold."""
-        own = self._leaders()
-        return [any(normalised_distance(leader, g, self.densities, self.threshold) is not None for _, leader in own) for g in self.graphs(lines)]
-
-    def earlier(self, lines: Sequence[Leader]) -> Iterator[tuple[int, int]]:
-        """(line, leader) of the leaders with smaller numbers that are closer than the threshold."""
-        own = self._leaders()
-        for (i, _), g in zip(lines, self.graphs([line for _, line in lines])):
-            yield from ((i, j) for j, leader in own if j < i and normalised_distance(leader, g, self.densities, self.threshold) is not None)
-
-    def stairs(self, lines: Sequence[str]) -> Iterator[list[tuple[int, float]]]:
-        """For each line the leaders in order, each closer than all before; a distance that does not come below the last is not finished."""
-        own = self._leaders()
-        for g in self.graphs(lines):
-            limit, out = self.threshold, []
-            for i, leader in own:
-                d = normalised_distance(leader, g, self.densities, limit)
-                if d is not None and d < limit:
-                    out.append((i, d))
-                    limit = d
-                    if not d:
-                        break
-            yield out
-
-
-def _leaders_among(rows: DataFrame, block: list[Leader], patterns: PatternSet, threshold: float) -> list[Leader]:
-    """The leaders of a block of lines in order: those that no leader before them in it is closer to than the threshold.
-
-    Tasks compare the block's lines; what comes back is the pairs of their numbers.
+
+def prepared(lines: DataFrame, patterns: PatternSet) -> tuple[DataFrame, str]:
+    """Distinct lines, as a table and its path: first and last id, length, its number of bits, and the masses of ``Bound``."""
+    bound = Bound(patterns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            size = b["line"].str.len()
+            own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()]}
+            yield pd.DataFrame(own | {f"m{k}": m for k, m in enumerate(bound.masses(b["line"].tolist()).T)})
+
+    distinct = lines.groupBy("line").agg(F.min("line_id").alias("line_id"), F.max("line_id").alias("last"))
+    return table(distinct.repartition(tasks(lines)).mapInPandas(run, PREPARED))
+
+
+def _cells(rows: DataFrame, kinds: list[int], threshold: float, turned: bool) -> DataFrame:
+    """``rows`` with the cells where they meet rows of each kind of length; if ``turned``, all cells around them, seen from the other side.
+
+    Rows closer than the threshold differ in each mass coordinate by less than the threshold
+    times the most that lengths of their kinds add up to, which is a cell's width.
     """
-    measure = Measure(block, patterns, threshold)
+    own, other = F.col("kind"), F.col("other")
+    width = max(threshold, 1e-12) * (F.pow(F.lit(2.0), own) + F.pow(F.lit(2.0), other))
+    at = [F.floor(sum((s * F.col(f"m{k}") for k, s in enumerate(signs)), F.lit(0.0)) / width) for signs in ([1] * MASSES, SIGNS)]
+    keyed = rows.withColumn("other", F.explode(F.array(*[F.lit(k) for k in kinds]) if kinds else F.array().cast("array<int>")))
+    keyed = keyed.withColumns({"c0": at[0], "c1": at[1]})
+    if not turned:
+        return keyed.withColumns({"ka": own, "kb": other}).drop("other")
+    around = F.array(*[F.lit(x) for x in (-1, 0, 1)])
+    keyed = keyed.withColumn("d0", F.explode(around)).withColumn("d1", F.explode(around))
+    return keyed.withColumns({"ka": other, "kb": own, "c0": F.col("c0") + F.col("d0"), "c1": F.col("c1") + F.col("d1")}).drop("other", "d0", "d1")
+
+
+def candidate_pairs(lines: DataFrame, leaders: DataFrame, threshold: float, when: Column | None = None) -> DataFrame:
+    """``(line_id, line, leader, leader_line)``: pairs of prepared lines whose masses allow a distance below the threshold.
+
+    Lines meet leaders in cells of the mass coordinates, so that far ones never do; leaders go
+    to the tasks if they are few, else both sides are dealt by cell. ``when`` is a further
+    condition, on ``leader``, ``line_id`` and ``last``.
+    """
+    kinds = [r["kind"] for r in lines.select("kind").distinct().collect()]
+    theirs = sorted({r["kind"] for r in leaders.select("kind").distinct().collect()})
+    seen = leaders.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    left = _cells(lines, theirs, threshold, turned=False)
+    right = _cells(leaders, kinds, threshold, turned=True).select("ka", "kb", "c0", "c1", F.col("line_id").alias("leader"), F.col("line").alias("leader_line"), F.col("size").alias("leader_size"), *[F.col(f"m{k}").alias(f"l{k}") for k in range(MASSES)])
+    if seen["n"] <= FEW and (seen["bytes"] or 0) * 9 * max(1, len(kinds)) <= FEW_BYTES:
+        right = F.broadcast(right)
+    apart = sum((F.abs(F.col(f"m{k}") - F.col(f"l{k}")) for k in range(MASSES)), F.lit(0.0))
+    met = left.join(right, ["ka", "kb", "c0", "c1"]).where(apart * (1 - 1e-9) < threshold * (F.col("size") + F.col("leader_size")))
+    return (met if when is None else met.where(when)).select("line_id", "line", "leader", "leader_line")
+
+
+def near_pairs(pairs: DataFrame, patterns: PatternSet, threshold: float) -> DataFrame:
+    """``(line_id, leader, d)`` of the pairs that are closer than the threshold.
+
+    A task takes all pairs of a batch together: those whose lower bound reaches the threshold
+    go, the others' distances are computed as arrays.
+    """
+    dfas, densities, bound = patterns.dfas(), patterns.densities(), Bound(patterns)
 
-    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame(list(measure.earlier(list(zip(b["line_id"].tolist(), b["line"])))), columns=["line_id", "leader"])
-
-    near: dict[int, set[int]] = {}
-    for r in rows.repartition(tasks(rows)).mapInPandas(close, "line_id long, leader long").collect():
-        near.setdefault(r["line_id"], set()).add(r["leader"])
-    found: dict[int, str] = {}
-    for i, line in block:
-        if not near.get(i, set()) & found.keys():
-            found[i] = line
-    return list(found.items())
-
-
-def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block: int = BLOCK) -> tuple[DataFrame, str]:
-    """``(line_id, line)``, the leaders: lines that no earlier leader is closer to than the threshold; and the table's path.
-
-    A line that repeats an earlier one is no leader, so distinct lines are enough. The first
-    ``block`` undecided ones are taken in order; the leaders among them then go to the tasks,
-    which drop all lines that they reach, and to the table. Each round settles a block and
-    usually most of what is left; blocks grow while most of their lines are leaders. The
-    driver holds one block, never the lines or all leaders. Empty lines are left out: two of
-    them have no distance, so each is its own leader.
+            codes, lines = pd.factorize(pd.concat([b["line"], b["leader_line"]], ignore_index=True))
+            x, y = codes[: len(b)], codes[len(b) :]
+            g = graphs(lines.tolist(), patterns, dfas)
+            size = np.array([len(w) for w in lines], np.int64)
+            norm = (size[x] + size[y]).astype(float)
+            rows = np.flatnonzero(bound.least(g, x, y) < threshold * norm)
+            d = np.full(len(b), np.nan)
+            if len(rows):
+                d[rows] = PairDistances(g, densities)(x[rows], y[rows], threshold * norm[rows]) / norm[rows]
+            near = np.flatnonzero(d == d)
+            yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[near], "leader": b["leader"].to_numpy()[near], "d": d[near]})
+
+    return pairs.mapInPandas(run, "line_id long, leader long, d double")
+
+
+def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(line_id)``: the nodes that no smaller member of this set has an edge to, as one pass in the order of ids would choose them.
+
+    ``edges(line_id, leader)`` has each edge at its larger end. In a round every undecided node
+    without an undecided smaller neighbour is chosen, and its neighbours are out; in a random
+    order rounds are as many as the logarithm of the nodes.
     """
-    spark = lines.sparkSession
-    path = new_path(spark, "leaders")
-    spark.createDataFrame([], "line_id long, line string").write.parquet(path)
-    left, left_path = table(lines.where(F.length("line") > 0).groupBy("line").agg(F.min("line_id").alias("line_id")).repartition(tasks(lines)))
-    while rows := left.orderBy("line_id").limit(block).collect():
-        own = [(r["line_id"], r["line"]) for r in rows]
-        last = own[-1][0]
-        new = _leaders_among(left.where(F.col("line_id") <= last), own, patterns, threshold)
-        spark.createDataFrame(new, "line_id long, line string").coalesce(1).write.mode("append").parquet(path)
-        measure = Measure(new, patterns, threshold)
-
-        def beyond(batches: Iterator[pd.DataFrame], measure=measure) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b[[not x for x in measure.within(b["line"].tolist())]]
-
-        rest, rest_path = table(left.where(F.col("line_id") > last).select("line", "line_id").repartition(tasks(lines)).mapInPandas(beyond, "line string, line_id long"))
-        drop(spark, left_path)
-        left, left_path = rest, rest_path
-        if 2 * len(new) > len(own):
-            block = min(2 * block, max(block, LARGEST_BLOCK))
+    spark = nodes.sparkSession
+    chosen_path = new_path(spark, "chosen")
+    spark.createDataFrame([], "line_id long").write.parquet(chosen_path)
+    left, left_path = table(nodes.select("line_id"))
+    links, links_path = table(edges.select("line_id", "leader"))
+    while left.limit(1).count():
+        new, new_path_ = table(left.join(links, "line_id", "left_anti"))
+        new.write.mode("append").parquet(chosen_path)
+        out, out_path = table(links.join(new.select(F.col("line_id").alias("leader")), "leader", "left_semi").select("line_id").distinct())
+        rest, rest_path = table(left.join(new.unionByName(out), "line_id", "left_anti"))
+        on = links.join(out, "line_id", "left_anti").join(out.select(F.col("line_id").alias("leader")), "leader", "left_anti")
+        on, on_path = table(on.select("line_id", "leader"))
+        for done in (left_path, links_path, new_path_, out_path):
+            drop(spark, done)
+        left, left_path, links, links_path = rest, rest_path, on, on_path
     drop(spark, left_path)
-    return spark.read.schema("line_id long, line string").parquet(path), path
+    drop(spark, links_path)
+    return spark.read.schema("line_id long").parquet(chosen_path)
 
 
-def nearest_leaders(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float) -> DataFrame:
-    """``(line, stairs)`` for distinct lines: (leader, distance) of ``leaders(leader, line)`` in the order of their numbers, each closer than those before.
+def _first_in_cells(left: DataFrame, threshold: float, most: int) -> int | None:
+    """The id up to which no cell has more than ``most`` of the undecided lines; null if none has."""
+    width = max(threshold, 1e-12) * F.pow(F.lit(2.0), F.col("kind") + 1)
+    at = [F.floor(sum((s * F.col(f"m{k}") for k, s in enumerate(signs)), F.lit(0.0)) / width) for signs in ([1] * MASSES, SIGNS)]
+    rank = F.row_number().over(Window.partitionBy("kind", "c0", "c1").orderBy("line_id"))
+    ranked = left.select("line_id", "kind", at[0].alias("c0"), at[1].alias("c1")).withColumn("rank", rank).where(F.col("rank") <= most)
+    return ranked.where(F.col("rank") == most).agg(F.min("line_id")).first()[0]
 
-    Leaders are taken in blocks, and every line is compared with a block where the lines are.
+
+def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The leaders among prepared ``lines``, as prepared lines; ``(line_id, leader, d)``, all leaders below the threshold of each line that are smaller than its last id; and paths to drop.
+
+    A leader is a line that no leader with a smaller id is closer to than the threshold. A
+    round takes the undecided lines up to the id at which some cell has ``block`` of them,
+    so it holds a few of each dense cell and all of sparse ones; finds the pairs among
+    them that are near, and of these lines the leaders as an independent set; and compares all
+    later lines with these leaders, each pair of line and leader once in all rounds. What they reach is decided. Blocks grow
+    while most of their lines are leaders, so rounds stay few. The driver sees one id a round.
     """
-    distinct = lines.where(F.length("line") > 0).select("line").distinct().repartition(tasks(lines))
-    out, last = None, None
-    while True:
-        rows = (leaders if last is None else leaders.where(F.col("leader") > last)).orderBy("leader").limit(LEADERS).collect()
-        if not rows and out is not None:
+    spark = lines.sparkSession
+    leaders_path, near_path = new_path(spark, "leaders"), new_path(spark, "near")
+    spark.createDataFrame([], PREPARED).write.parquet(leaders_path)
+    spark.createDataFrame([], "line_id long, leader long, d double").write.parquet(near_path)
+    near = lambda: spark.read.schema("line_id long, leader long, d double").parquet(near_path)
+    left, left_path = lines, None
+    while left.limit(1).count():
+        last = _first_in_cells(left, threshold, block)
+        own, own_path = table(left if last is None else left.where(F.col("line_id") <= last))
+        inner, inner_path = table(near_pairs(candidate_pairs(own, own, threshold, F.col("leader") < F.col("line_id")), patterns, threshold))
+        chosen = independent(own, inner)
+        new, new_path_ = table(own.join(chosen, "line_id", "left_semi"))
+        new.write.mode("append").parquet(leaders_path)
+        pairs = candidate_pairs(lines, new, threshold, F.col("leader") < F.col("last"))
+        near_pairs(pairs, patterns, threshold).write.mode("append").parquet(near_path)
+        if 2 * new.count() > own.count():
+            block *= 4
+        for done in (own_path, inner_path, new_path_):
+            drop(spark, done)
+        if last is None:
             break
-        measure = Measure([(r["leader"], r["line"]) for r in rows], patterns, threshold)
+        covered = near().where(F.col("leader") < F.col("line_id")).select("line_id").distinct()
+        rest, rest_path = table(left.where(F.col("line_id") > last).join(covered, "line_id", "left_anti"))
+        if left_path:
+            drop(spark, left_path)
+        left, left_path = rest, rest_path
+    if left_path:
+        drop(spark, left_path)
+    return spark.read.schema(PREPARED).parquet(leaders_path), near(), [leaders_path, near_path]
 
-        def climb(batches: Iterator[pd.DataFrame], measure=measure) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                own = b["line"].tolist()
-                yield pd.DataFrame([(line, i, d) for line, found in zip(own, measure.stairs(own)) for i, d in found], columns=["line", "leader", "d"])
 
-        part = distinct.mapInPandas(climb, "line string, leader long, d double")
-        out = part if out is None else out.unionByName(part)
-        if len(rows) < LEADERS:
-            break
-        if last is None:
-            distinct = settled(distinct)
-        last = rows[-1]["leader"]
-    return out.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("leader", "d"))).alias("stairs"))
+def nearest_leaders(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float) -> DataFrame:
+    """``(line, stairs)`` for distinct lines: (leader, distance) of ``leaders(leader, line)`` below the threshold, in the order of their numbers."""
+    own, own_path = prepared(lines, patterns)
+    theirs, theirs_path = prepared(leaders.select(F.col("leader").alias("line_id"), "line"), patterns)
+    found, found_path = table(near_pairs(candidate_pairs(own, theirs, threshold), patterns, threshold))
+    out = settled(own.select("line_id", "line").join(stairs_of(found), "line_id").select("line", "stairs"))
+    for done in (own_path, theirs_path, found_path):
+        drop(lines.sparkSession, done)
+    return out
+
+
+def stairs_of(near: DataFrame) -> DataFrame:
+    """``(line_id, stairs)`` of ``near(line_id, leader, d)``."""
+    return near.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("leader", "d"))).alias("stairs"))
 
 
 def _closest(stairs: Column | str) -> Column:
@@ -164,16 +215,18 @@ def cluster(lines: DataFrame, patterns: PatternSet | None = None, threshold: flo
 
     A line joins the closest earlier leader below the threshold (of equals the first), else
     it becomes a leader; ids are those of leaders. Null lines count as empty; empty lines
-    are clusters of their own. The result equals the sequential pass: leaders are found in
-    order, and each row looks among leaders before it only.
+    are clusters of their own below a threshold of 1. The result equals the sequential pass:
+    each row looks among leaders before it only.
     """
     patterns = patterns or PatternSet.default()
+    spark = lines.sparkSession
     lines = lines.select("line_id", F.coalesce("line", F.lit("")).alias("line"))
-    leaders, path = find_leaders(lines, patterns, threshold, block)
-    stairs = settled(nearest_leaders(lines, leaders.select(F.col("line_id").alias("leader"), "line"), patterns, threshold))
-    drop(lines.sparkSession, path)
+    own, path = prepared(lines, patterns)
+    _, near, paths = find_leaders(own, patterns, threshold, block)
+    stairs = settled(own.select("line_id", "line").join(stairs_of(near), "line_id").select("line", "stairs"))
+    for done in (path, *paths):
+        drop(spark, done)
     rows = lines.join(stairs, "line", "left")
-    # distances of blocks of leaders meet here, so the closest is looked for once more
     best = _closest(F.filter("stairs", lambda s: s["leader"] < F.col("line_id")))
     return rows.select("line_id", F.coalesce(best["leader"], F.col("line_id")).alias("cluster_id"))
 
@@ -200,12 +253,13 @@ def cluster_preprocessed(lines: DataFrame, patterns: PatternSet | None = None, t
 
 
 def sequential(lines: list[str], patterns: PatternSet, threshold: float) -> list[int]:
-    """The one-pass form, for small lists and tests."""
-    leaders: list[Leader] = []
-    out = []
+    """The one-pass form, a pair at a time, for small lists and tests."""
+    dfas, densities = patterns.dfas(), patterns.densities()
+    leaders, out = [], []
     for i, line in enumerate(lines):
-        found = staircase(next(Measure(leaders, patterns, threshold).stairs([line])))
-        out.append(found[-1][0] if found else i)
+        g = automaton(line, patterns, dfas)
+        found = [(d, j) for j, leader in leaders if (d := normalised_distance(leader, g, densities, threshold)) is not None]
+        out.append(min(found)[1] if found else i)
         if not found:
-            leaders.append((i, line))
+            leaders.append((i, g))
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
-from logweave.operators.cluster import find_leaders, nearest_leaders
+from logweave.operators.cluster import find_leaders, nearest_leaders, prepared
 from logweave.operators.storage import drop, table
 from logweave.sources.lines import dense
 
@@ -35,11 +35,13 @@ class StreamingClusters:
         if number:
             known = nearest_leaders(lines, self.leaders(spark, number - 1).select("leader", "line"), self.patterns, self.threshold)
             left = lines.join(known.select("line"), "line", "left_anti")
-        new, new_path = find_leaders(left, self.patterns, self.threshold)
+        own, own_path = prepared(left, self.patterns)
+        new, _, paths = find_leaders(own, self.patterns, self.threshold)
         # a batch's leaders have the numbers from batch * 2**40 on, in the order of their ids
         made = dense(new.orderBy("line_id"), "place").select((F.col("place") + (number << 40)).alias("leader"), "line_id", "line", F.lit(number).cast("long").alias("batch"))
         made.write.mode("overwrite").parquet(f"{self.path}/leaders/part-batch-{number}")
-        drop(spark, new_path)
+        for done in (own_path, *paths):
+            drop(spark, done)
         leaders = self.leaders(spark, number)
         found = nearest_leaders(lines, leaders.select("leader", "line"), self.patterns, self.threshold)
         steps = lines.join(found.select("line", F.explode("stairs").alias("s")), "line").select("line_id", F.col("s.leader").alias("leader"), F.col("s.d").alias("d"))

@@ -2,12 +2,33 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables and checkpoints that operators wrote and that their results may still read.
-_left: set[str] = set()
+#: Tables and checkpoints that operators wrote and that their results may still read, by scope; this is the scope around all others.
+_all_left: set[str] = set()
+_scope: contextvars.ContextVar[set[str]] = contextvars.ContextVar("scope", default=_all_left)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[set[str]]:
+    """What operators leave inside belongs to this scope and is deleted at its end; results made outside keep their tables.
+
+    A result that is to outlive the scope has to be written inside; ``keep_until_release`` hands
+    its path to the scope around.
+    """
+    own: set[str] = set()
+    token = _scope.set(own)
+    try:
+        yield own
+    finally:
+        _scope.reset(token)
+        for path in list(own):
+            drop(spark, path)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -29,7 +50,7 @@ def scratch_root(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, kind: str = "table") -> str:
     """A path of its own in the shared folder, which ``release`` deletes."""
     path = f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
-    _left.add(path)
+    _scope.get().add(path)
     return path
 
 
@@ -50,7 +71,7 @@ def settled(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
     if file.isDefined():
-        _left.add(file.get())
+        _scope.get().add(file.get())
     return out
 
 
@@ -58,17 +79,18 @@ def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table of ``table``."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _left.discard(path)
+    for own in (_all_left, _scope.get()):
+        own.discard(path)
 
 
 def keep_until_release(path: str) -> None:
-    """Leaves a table for its reader; ``release`` deletes it."""
-    _left.add(path)
+    """Leaves a table for its reader; the end of the scope or ``release`` deletes it."""
+    _scope.get().add(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables that operators left for their results; to be called when these are written or no longer needed."""
-    for path in list(_left):
+    """Deletes the tables that operators left in this scope for their results; to be called when all of these are written or no longer needed."""
+    for path in list(_scope.get()):
         drop(spark, path)
 
 

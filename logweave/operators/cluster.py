@@ -59,19 +59,24 @@ def _cells(rows: DataFrame, kinds: list[int], threshold: float, turned: bool) ->
     return keyed.withColumns({"ka": other, "kb": own, "c0": F.col("c0") + F.col("d0"), "c1": F.col("c1") + F.col("d1")}).drop("other", "d0", "d1")
 
 
-def candidate_pairs(lines: DataFrame, leaders: DataFrame, threshold: float, when: Column | None = None) -> DataFrame:
+def _seen(rows: DataFrame) -> tuple[int, int, list[int]]:
+    """How many prepared lines there are, their characters, and their kinds, which are at most 32."""
+    r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.sort_array(F.collect_set("kind")).alias("kinds")).first()
+    return r["n"], r["size"], r["kinds"]
+
+
+def candidate_pairs(lines: DataFrame, leaders: DataFrame, threshold: float, when: Column | None = None, kinds: list[int] | None = None) -> DataFrame:
     """``(line_id, line, leader, leader_line)``: pairs of prepared lines whose masses allow a distance below the threshold.
 
     Lines meet leaders in cells of the mass coordinates, so that far ones never do; leaders go
     to the tasks if they are few, else both sides are dealt by cell. ``when`` is a further
-    condition, on ``leader``, ``line_id`` and ``last``.
+    condition, on ``leader``, ``line_id`` and ``last``; ``kinds`` are all kinds of ``lines``, where they are known.
     """
-    kinds = [r["kind"] for r in lines.select("kind").distinct().collect()]
-    theirs = sorted({r["kind"] for r in leaders.select("kind").distinct().collect()})
-    seen = leaders.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    n, size, theirs = _seen(leaders)
+    kinds = _seen(lines)[2] if kinds is None else kinds
     left = _cells(lines, theirs, threshold, turned=False)
     right = _cells(leaders, kinds, threshold, turned=True).select("ka", "kb", "c0", "c1", F.col("line_id").alias("leader"), F.col("line").alias("leader_line"), F.col("size").alias("leader_size"), *[F.col(f"m{k}").alias(f"l{k}") for k in range(MASSES)])
-    if seen["n"] <= FEW and (seen["bytes"] or 0) * 9 * max(1, len(kinds)) <= FEW_BYTES:
+    if n <= FEW and 9 * size * max(1, len(kinds)) <= FEW_BYTES:
         right = F.broadcast(right)
     apart = sum((F.abs(F.col(f"m{k}") - F.col(f"l{k}")) for k in range(MASSES)), F.lit(0.0))
     met = left.join(right, ["ka", "kb", "c0", "c1"]).where(apart * (1 - 1e-9) < threshold * (F.col("size") + F.col("leader_size")))
@@ -103,40 +108,37 @@ def near_pairs(pairs: DataFrame, patterns: PatternSet, threshold: float) -> Data
     return pairs.mapInPandas(run, "line_id long, leader long, d double")
 
 
-def independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(line_id)``: the nodes that no smaller member of this set has an edge to, as one pass in the order of ids would choose them.
+def independent(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, str]:
+    """``(line_id)`` and the path of its table: the nodes that no smaller member of this set has an edge to, as one pass in the order of ids would choose them.
 
     ``edges(line_id, leader)`` has each edge at its larger end. In a round every undecided node
     without an undecided smaller neighbour is chosen, and its neighbours are out; in a random
     order rounds are as many as the logarithm of the nodes.
     """
-    spark = nodes.sparkSession
-    chosen_path = new_path(spark, "chosen")
-    spark.createDataFrame([], "line_id long").write.parquet(chosen_path)
-    left, left_path = table(nodes.select("line_id"))
-    links, links_path = table(edges.select("line_id", "leader"))
-    while left.limit(1).count():
-        new, new_path_ = table(left.join(links, "line_id", "left_anti"))
-        new.write.mode("append").parquet(chosen_path)
-        out, out_path = table(links.join(new.select(F.col("line_id").alias("leader")), "leader", "left_semi").select("line_id").distinct())
-        rest, rest_path = table(left.join(new.unionByName(out), "line_id", "left_anti"))
-        on = links.join(out, "line_id", "left_anti").join(out.select(F.col("line_id").alias("leader")), "leader", "left_anti")
-        on, on_path = table(on.select("line_id", "leader"))
-        for done in (left_path, links_path, new_path_, out_path):
-            drop(spark, done)
-        left, left_path, links, links_path = rest, rest_path, on, on_path
-    drop(spark, left_path)
-    drop(spark, links_path)
-    return spark.read.schema("line_id long").parquet(chosen_path)
-
-
-def _first_in_cells(left: DataFrame, threshold: float, most: int) -> int | None:
-    """The id up to which no cell has more than ``most`` of the undecided lines; null if none has."""
+    spark, path = nodes.sparkSession, new_path(nodes.sparkSession, "decided")
+    schema = "line_id long, chosen boolean"
+    spark.createDataFrame([], schema).write.parquet(path)
+    while True:
+        decided = spark.read.schema(schema).parquet(path).select("line_id")
+        left = nodes.select("line_id").join(decided, "line_id", "left_anti")
+        links = edges.select("line_id", "leader").join(decided, "line_id", "left_anti").join(decided.withColumnRenamed("line_id", "leader"), "leader", "left_anti")
+        chosen = left.join(links, "line_id", "left_anti")
+        out = links.join(chosen.withColumnRenamed("line_id", "leader"), "leader", "left_semi").select("line_id").distinct()
+        new, new_path_ = table(chosen.withColumn("chosen", F.lit(True)).unionByName(out.withColumn("chosen", F.lit(False))))
+        if not new.limit(1).count():
+            drop(spark, new_path_)
+            return spark.read.schema(schema).parquet(path).where("chosen").select("line_id"), path
+        new.write.mode("append").parquet(path)
+        drop(spark, new_path_)
+
+
+def _first_in_cells(left: DataFrame, threshold: float, most: int) -> tuple[int, int | None]:
+    """Whether there is an undecided line, and the id up to which no cell has more than ``most`` of them; null if none has so many."""
     width = max(threshold, 1e-12) * F.pow(F.lit(2.0), F.col("kind") + 1)
     at = [F.floor(sum((s * F.col(f"m{k}") for k, s in enumerate(signs)), F.lit(0.0)) / width) for signs in ([1] * MASSES, SIGNS)]
     rank = F.row_number().over(Window.partitionBy("kind", "c0", "c1").orderBy("line_id"))
     ranked = left.select("line_id", "kind", at[0].alias("c0"), at[1].alias("c1")).withColumn("rank", rank).where(F.col("rank") <= most)
-    return ranked.where(F.col("rank") == most).agg(F.min("line_id")).first()[0]
+    return tuple(ranked.agg(F.count("*"), F.min(F.when(F.col("rank") == most, F.col("line_id")))).first())
 
 
 def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -146,38 +148,44 @@ def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block
     round takes the undecided lines up to the id at which some cell has ``block`` of them,
     so it holds a few of each dense cell and all of sparse ones; finds the pairs among
     them that are near, and of these lines the leaders as an independent set; and compares all
-    later lines with these leaders, each pair of line and leader once in all rounds. What they reach is decided. Blocks grow
-    while most of their lines are leaders, so rounds stay few. The driver sees one id a round.
+    lines with these leaders, each pair of line and leader once in all rounds. What they reach
+    is decided. Blocks grow while most of their lines are leaders, so rounds stay few. The
+    driver sees an id and a few counts a round.
     """
     spark = lines.sparkSession
     leaders_path, near_path = new_path(spark, "leaders"), new_path(spark, "near")
-    spark.createDataFrame([], PREPARED).write.parquet(leaders_path)
+    spark.createDataFrame([], PREPARED).write.parquet(f"{leaders_path}/round-0")
     spark.createDataFrame([], "line_id long, leader long, d double").write.parquet(near_path)
-    near = lambda: spark.read.schema("line_id long, leader long, d double").parquet(near_path)
-    left, left_path = lines, None
-    while left.limit(1).count():
-        last = _first_in_cells(left, threshold, block)
+    kinds = _seen(lines)[2]
+    left, left_path, number = lines, None, 0
+    while True:
+        there, last = _first_in_cells(left, threshold, block)
+        if not there:
+            break
+        number += 1
         own, own_path = table(left if last is None else left.where(F.col("line_id") <= last))
-        inner, inner_path = table(near_pairs(candidate_pairs(own, own, threshold, F.col("leader") < F.col("line_id")), patterns, threshold))
-        chosen = independent(own, inner)
-        new, new_path_ = table(own.join(chosen, "line_id", "left_semi"))
-        new.write.mode("append").parquet(leaders_path)
-        pairs = candidate_pairs(lines, new, threshold, F.col("leader") < F.col("last"))
-        near_pairs(pairs, patterns, threshold).write.mode("append").parquet(near_path)
+        inner, inner_path = table(near_pairs(candidate_pairs(own, own, threshold, F.col("leader") < F.col("line_id"), kinds), patterns, threshold))
+        chosen, chosen_path = independent(own, inner)
+        own.join(chosen, "line_id", "left_semi").write.parquet(f"{leaders_path}/round-{number}")
+        new = spark.read.schema(PREPARED).parquet(f"{leaders_path}/round-{number}")
+        near_pairs(candidate_pairs(lines, new, threshold, F.col("leader") < F.col("last"), kinds), patterns, threshold).write.mode("append").parquet(near_path)
         if 2 * new.count() > own.count():
             block *= 4
-        for done in (own_path, inner_path, new_path_):
+        near = spark.read.schema("line_id long, leader long, d double").parquet(near_path)
+        for done in (own_path, inner_path, chosen_path):
             drop(spark, done)
         if last is None:
             break
-        covered = near().where(F.col("leader") < F.col("line_id")).select("line_id").distinct()
+        covered = near.where(F.col("leader") < F.col("line_id")).select("line_id").distinct()
         rest, rest_path = table(left.where(F.col("line_id") > last).join(covered, "line_id", "left_anti"))
         if left_path:
             drop(spark, left_path)
         left, left_path = rest, rest_path
     if left_path:
         drop(spark, left_path)
-    return spark.read.schema(PREPARED).parquet(leaders_path), near(), [leaders_path, near_path]
+    near = spark.read.schema("line_id long, leader long, d double").parquet(near_path)
+    leaders = spark.read.schema(PREPARED).option("recursiveFileLookup", "true").parquet(leaders_path)
+    return leaders, near, [leaders_path, near_path]
 
 
 def nearest_leaders(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float) -> DataFrame:

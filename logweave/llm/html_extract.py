@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -68,11 +69,12 @@ class Page:
 
     def _parse(self, source: str) -> None:
         tags, attrs, parents, contents = self.tags, self.attrs, self.parents, self.contents
-        stack, opened = [0], {}
+        stack: list[int] = [0]
+        opened: dict[str, list[int]] = {}  # the places of open elements in the stack, by tag
         at, size = 0, len(source)
 
         def pop() -> None:
-            opened[tags[stack.pop()]] -= 1
+            opened[tags[stack.pop()]].pop()
 
         def text(own: str) -> None:
             if own:
@@ -99,9 +101,9 @@ class Page:
                     self._add("br" if tag == "br" else "p", "", stack[-1])
                 continue
             if tag in ENDS_P and opened.get("p"):
-                self._close(stack, pop, {"p"}, {"td", "th", "button", "table", "caption", "object"})
+                self._close(stack, opened, pop, {"p"}, {"td", "th", "button", "table", "caption", "object"})
             if tag in SIBLINGS:
-                self._close(stack, pop, *SIBLINGS[tag])
+                self._close(stack, opened, pop, *SIBLINGS[tag])
             elif tag in HEADINGS and tags[stack[-1]] in HEADINGS:
                 pop()
             node = self._add(tag, found["attrs"].strip(), stack[-1])
@@ -114,8 +116,8 @@ class Page:
                 close = source.find(">", end.start())
                 at = close + 1 if close >= 0 else size
                 continue
+            opened.setdefault(tag, []).append(len(stack))
             stack.append(node)
-            opened[tag] = opened.get(tag, 0) + 1
 
     def _add(self, tag: str, attrs: str, parent: int) -> int:
         self.tags.append(tag)
@@ -125,16 +127,12 @@ class Page:
         self.contents[parent].append(len(self.tags) - 1)
         return len(self.tags) - 1
 
-    def _close(self, stack: list[int], pop, ended: set[str], within: set[str]) -> None:
+    @staticmethod
+    def _close(stack: list[int], opened: dict[str, list[int]], pop, ended: set[str], within: set[str]) -> None:
         """Closes the outermost open element of ``ended`` that is not beyond one of ``within``."""
-        deep = None
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in within:
-                break
-            if tag in ended:
-                deep = i
-        while deep is not None and len(stack) > deep:
+        last = max((own[-1] for tag in within if (own := opened.get(tag))), default=0)
+        deep = min((own[k] for tag in ended if (own := opened.get(tag)) and (k := bisect_right(own, last)) < len(own)), default=len(stack))
+        while len(stack) > deep:
             pop()
 
     def digests(self) -> list[int]:

@@ -18,6 +18,8 @@ from logweave.llm.shared import cut, hash_bound, small_batches, tidy
 BUCKETS, LONGEST = 1 << 15, 3
 #: Labelled rows that the weights are fitted on, about; document frequencies are those of all labelled rows.
 SAMPLE = 6000
+#: Most labels that a model has; more are an error, as the weights grow with them.
+LANGUAGES = 200
 #: Share of the sample kept back for the temperature.
 CALIBRATION = 0.2
 UNKNOWN = "und"
@@ -95,7 +97,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df_[at], n)})
 
     totals = rows.select("text").mapInPandas(tidy(frequencies), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    languages = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(languages) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels in {lang_col}")
     n = sum(r["n"] for r in totals if r["bucket"] == -1)
     idf = np.zeros(BUCKETS)
     for r in totals:
@@ -121,6 +125,8 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
 
     order = F.xxhash64("text")
     chosen = rows.withColumn("order", order).where(order <= F.lit(hash_bound(sample / n)))
+    # of a repeated text one row: all its copies are in the sample or out of it together
+    chosen = chosen.groupBy("order", "lang").agg(F.first("text").alias("text"))
     model = cut(chosen.repartition(1).mapInPandas(tidy(learn), "weights binary, t double")).first()
     weights = np.frombuffer(model["weights"], np.float32).reshape(BUCKETS + 1, len(languages))
     return Model(languages, idf, weights, model["t"])

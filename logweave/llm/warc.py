@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -101,18 +103,41 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, list[tuple
         yield key, own
 
 
+#: A line of a header that tells a record's length.
+LENGTH = re.compile(rb"\r\n[ \t]*content-length[ \t]*:([^\r\n]*)(?=\r\n)", re.I)
+#: What follows the magic in the first line of a record.
+VERSION = re.compile(rb"\d+[ \t]*\r\n")
+
+
+def successors(offsets: list[int], chunks: list[bytes]) -> dict[int, int]:
+    """For each offset where a record may begin, where the next one does; -1 if none begins here.
+
+    ``chunks`` are what follows each magic. The ends of headers and the lines with lengths
+    are looked up once for all; a header that holds the magic goes on in the next chunks, up to ``HEADER`` bytes.
+    """
+    data = MAGIC.encode().join([b"", *chunks])
+    ends = [m.start() for m in re.finditer(rb"\r\n\r\n", data)]
+    lengths = [(m.start(), m[1].strip()) for m in LENGTH.finditer(data)]
+    places = [place for place, _ in lengths]
+    out, at = {}, 0
+    for offset, chunk in zip(offsets, chunks):
+        at += len(MAGIC)
+        out[offset] = -1
+        k = bisect_left(ends, at)
+        if k < len(ends) and ends[k] < max(at + len(chunk), at + HEADER) and VERSION.match(data, at):
+            stop = ends[k]
+            n = bisect_left(places, stop) - 1
+            if n >= 0 and places[n] >= at and lengths[n][1].isdigit():
+                out[offset] = offset + len(MAGIC) + stop + 4 - at + int(lengths[n][1]) + len(END)
+        at += len(chunk)
+    return out
+
+
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each offset where a record may begin, where its chain leaves the block, and the last offset before that."""
     for (file, block, _), chunks in _blocks(batches):
-        follows: dict[int, int] = {}
-        for i, (at, data) in enumerate(chunks):
-            if at < 0:
-                continue
-            j = i + 1  # a header may hold the magic itself, and then goes on in the next chunks
-            while b"\r\n\r\n" not in data and j < len(chunks) and len(data) < HEADER:
-                data += MAGIC.encode() + chunks[j][1]
-                j += 1
-            follows[at] = _successor(at, data)
+        own = [(at, data) for at, data in chunks if at >= 0]
+        follows = successors([at for at, _ in own], [data for _, data in own])
         leaves: dict[int, int] = {}
         last: dict[int, int] = {}
         for at in sorted(follows, reverse=True):

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.functions.graphs import graphs
+from logweave.functions.graphs import Graphs, graphs
+from logweave.functions.paths import cheapest_paths, weights_by_name
 from logweave.functions.patterns import PatternSet
-from logweave.functions.text import cheapest_path
 from logweave.operators.storage import settled
 
 
@@ -42,18 +42,43 @@ def arcs(lines: DataFrame, patterns: PatternSet, strategy: str | Callable = "lar
     return lines.select("line_id", "line").mapInPandas(run, "line_id long, src int, dst int, name string, infix string")
 
 
-def paths(lines: DataFrame, patterns: PatternSet) -> DataFrame:
-    """``(line_id, cost, path)``: the cheapest decomposition of a line, as names joined by spaces."""
-    dfas, densities = patterns.dfas(), patterns.densities()
+def paths(lines: DataFrame, patterns: PatternSet, weights: Mapping[str, float] | None = None, weigh: Callable[[Graphs], np.ndarray] | None = None) -> DataFrame:
+    """``(line_id, cost, path)``: the cheapest decomposition of a line, as names joined by spaces.
+
+    An arc weighs its pattern's density, or what ``weights`` has for its name (1 for a name
+    that is missing there), or what ``weigh`` gives for each arc of the automata of a batch.
+    Null counts as an empty line, whose path has no arcs.
+    """
+    dfas, known = patterns.dfas(), patterns.densities() if weights is None else dict(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [cheapest_path(g, densities) for g in graphs(b["line"], patterns, dfas).automata()]
-            yield pd.DataFrame({"line_id": b["line_id"], "cost": [cost for cost, _ in found], "path": [" ".join(n for _, _, n in path) for _, path in found]})
+            g = graphs(b["line"], patterns, dfas)
+            found = cheapest_paths(g, weights_by_name(g, known) if weigh is None else weigh(g))
+            names = np.array(g.names, object)[g.name[found.arc]]
+            ends = np.cumsum(np.bincount(found.line, minlength=len(b)))[:-1]
+            yield pd.DataFrame({"line_id": b["line_id"], "cost": found.cost, "path": [" ".join(own) for own in np.split(names, ends)]})
 
     return lines.select("line_id", "line").mapInPandas(run, "line_id long, cost double, path string")
 
 
+def slices(lines: DataFrame, patterns: PatternSet, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """``(line_id, place, name, j, k, text)``: the arcs of each line's cheapest path, in order."""
+    dfas, known = patterns.dfas(), patterns.densities() if weights is None else dict(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            g = graphs(b["line"], patterns, dfas)
+            found = cheapest_paths(g, weights_by_name(g, known))
+            j, k = g.src[found.arc], g.dst[found.arc]
+            place = np.arange(len(found.line)) - np.searchsorted(found.line, found.line)
+            text = [g.lines[i][a:b] for i, a, b in zip(found.line.tolist(), j.tolist(), k.tolist())]
+            names = np.array(g.names, object)[g.name[found.arc]]
+            yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[found.line], "place": place.astype(np.int32), "name": names, "j": j.astype(np.int32), "k": k.astype(np.int32), "text": text})
+
+    return lines.select("line_id", "line").mapInPandas(run, "line_id long, place int, name string, j int, k int, text string")
+
+
 def signature_groups(lines: DataFrame, patterns: PatternSet) -> DataFrame:
     """``(line_id, group_id)``: lines with equal automata, by the smallest line id of the group."""
     found = settled(automata(lines, patterns).select("line_id", "signature"))

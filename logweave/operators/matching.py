@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from logweave.functions.patterns import REGEXES, PatternSet
 from logweave.functions.regex_dfa import Dfa
-from logweave.functions.scan import scan
-from logweave.functions.text import delimited
+from logweave.functions.scan import Found, scan, scan_delimited
 
 MATCH = "line_id long, name string, j int, k int"
 
 
+def _rows(b: pd.DataFrame, found: dict[str, Found]) -> Iterator[pd.DataFrame]:
+    ids = b["line_id"].to_numpy()
+    for name, (at, j, k) in found.items():
+        yield pd.DataFrame({"line_id": ids[at], "name": name, "j": j.astype(np.int32), "k": k.astype(np.int32)})
+
+
 def _scanned(batches: Iterator[pd.DataFrame], dfas: dict[str, Dfa], strategy: str) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids = b["line_id"].to_numpy()
-        for name, (at, j, k) in scan(b["line"].tolist(), dfas, strategy).items():
-            yield pd.DataFrame({"line_id": ids[at], "name": name, "j": j.astype(np.int32), "k": k.astype(np.int32)})
+        yield from _rows(b, scan(b["line"].tolist(), dfas, strategy))
 
 
 def _emit(find: Callable[[str], list], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,8 +48,13 @@ def matches(lines: DataFrame, patterns: PatternSet, strategy: str | Callable = "
 
 def delimited_matches(lines: DataFrame, patterns: PatternSet, separators: Iterable[str] = ("spaces",), free_left: Iterable[str] = (), free_right: Iterable[str] = (), strategy: str = "largest") -> DataFrame:
     """Matches that lie between matches of separator patterns or the ends of the line."""
-    dfas, args = patterns.dfas(), (set(separators), set(free_left), set(free_right), strategy)
-    return lines.select("line_id", "line").mapInPandas(lambda batches: _emit(lambda line: delimited(line, dfas, *args), batches), MATCH)
+    dfas, args = patterns.dfas(), (frozenset(separators), frozenset(free_left), frozenset(free_right), strategy)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield from _rows(b, scan_delimited(b["line"].tolist(), dfas, *args))
+
+    return lines.select("line_id", "line").mapInPandas(run, MATCH)
 
 
 def reduced(found: DataFrame, strategy: str = "largest") -> DataFrame:

@@ -1,14 +1,18 @@
-"""Evaluation of clusters against templates or known classes, in DataFrame operations only."""
+"""Evaluation of clusters against templates or known classes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections import Counter
+from collections.abc import Callable, Iterator
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Templates that may go to every task and be tried on every line; characters of the grams that more of them are found by.
-TEMPLATES, GRAM = 1_000, 4
+#: Characters of all parts of the templates that go to every task as one automaton; characters of the grams that more are found by.
+AUTOMATON, GRAM = 1 << 25, 4
 
 
 def _candidates(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -37,28 +41,81 @@ def _gram_at(q: int) -> Callable[[Column], Column]:
     return lambda i: F.substring("line", i, F.lit(q))
 
 
-def template_match(lines: DataFrame, templates: DataFrame, strict: bool = True, most: int = TEMPLATES) -> DataFrame:
+class Templates:
+    """Templates behind one automaton over all their parts, which a line passes once.
+
+    A template is looked at where its rarest part is found, rare being what few templates
+    have; it fits if all its other parts are found too.
+    """
+
+    def __init__(self, rows: list[tuple[int, list[str]]]):
+        self.rows = sorted((i, frozenset(p for p in parts if p), sum(map(len, parts))) for i, parts in rows)
+        self.common = Counter(p for _, parts, _ in self.rows for p in parts)
+        self.free = [n for n, (_, parts, _) in enumerate(self.rows) if not parts]
+        self.of: dict[str, list[int]] = {}
+        for n, (_, parts, _) in enumerate(self.rows):
+            if parts:
+                self.of.setdefault(min(parts, key=lambda p: (self.common[p], p)), []).append(n)
+
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton | None:
+        out = ahocorasick.Automaton()
+        for p in self.common:
+            out.add_word(p, p)
+        out.make_automaton()
+        return out if self.common else None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}  # each task builds it once
+
+    def best(self, line: str | None) -> int | None:
+        """Of the templates that fit the first one if its parts include all parts of the others, else the one with the most characters, of equals the first."""
+        if line is None:
+            return None
+        found = {p for _, p in self.automaton.iter(line)} if self.automaton else set()
+        fits = sorted([*self.free, *(n for p in found for n in self.of.get(p, ()) if self.rows[n][1] <= found)])
+        if not fits:
+            return None
+        own = [self.rows[n] for n in fits]
+        if all(parts <= own[0][1] for _, parts, _ in own):
+            return own[0][0]
+        return min(own, key=lambda t: (-t[2], t[0]))[0]
+
+
+def template_match(lines: DataFrame, templates: DataFrame, strict: bool = True, most: int = AUTOMATON) -> DataFrame:
     """``(line_id, template_id)``: the template of each line among ``templates(template_id, parts)``.
 
     A template fits if all its parts stand in the line. Of several that fit, the first one
     is taken if its parts include all parts of the others, else the one with the most
     characters, of equals the first. A line that none fits raises an error if ``strict``,
-    else it gets null. Up to ``most`` templates go to every task; more are found by grams.
+    else it gets null; a null line fits none.
+
+    Templates of up to ``most`` characters go to the tasks as one automaton, and lines are
+    read once, where they are. More templates are found by the grams of their rarest ones, in a join.
     """
     templates = templates.withColumn("size", F.aggregate("parts", F.lit(0), lambda a, p: a + F.length(p)))
-    fit = F.forall("parts", lambda p: F.contains("line", p))
-    if templates.limit(most + 1).count() <= most:
-        fits = lines.join(F.broadcast(templates), fit, "left")
+    if (templates.agg(F.sum(F.col("size") + 1)).first()[0] or 0) <= most:
+        known = Templates([(r["template_id"], r["parts"]) for r in templates.select("template_id", "parts").collect()])
+        kind = templates.schema["template_id"].dataType
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                best = [known.best(line) for line in b["line"]]
+                unknown = [line if n is None else None for n, line in zip(best, b["line"])]
+                yield pd.DataFrame({"line_id": b["line_id"], "template_id": pd.array(best, "Int64"), "line": unknown})
+
+        found = lines.select("line_id", "line").mapInPandas(run, "line_id long, template_id long, line string")
+        best = F.col("template_id").cast(kind)
     else:
+        fit = F.forall("parts", lambda p: F.contains("line", p))
         near = _candidates(lines.select("line_id", "line"), templates).join(lines.select("line_id", "line"), "line_id").where(fit).drop("line")
-        fits = lines.join(near, "line_id", "left")
-    found = fits.groupBy("line_id").agg(
-        F.min_by(F.struct("template_id", "parts"), "template_id").alias("first"),
-        F.min_by("template_id", F.struct(-F.col("size"), "template_id")).alias("longest"),
-        F.array_distinct(F.flatten(F.collect_set("parts"))).alias("all"),
-        F.min("line").alias("line"),
-    )
-    best = F.when(F.size(F.array_except("all", "first.parts")) == 0, F.col("first.template_id")).otherwise(F.col("longest"))
+        found = lines.join(near, "line_id", "left").groupBy("line_id").agg(
+            F.min_by(F.struct("template_id", "parts"), "template_id").alias("first"),
+            F.min_by("template_id", F.struct(-F.col("size"), "template_id")).alias("longest"),
+            F.array_distinct(F.flatten(F.collect_set("parts"))).alias("all"),
+            F.min("line").alias("line"),
+        )
+        best = F.when(F.size(F.array_except("all", "first.parts")) == 0, F.col("first.template_id")).otherwise(F.col("longest"))
     if strict:
         best = F.coalesce(best, F.raise_error(F.concat(F.lit("no template for line: "), F.coalesce("line", F.lit("null")))).cast("int"))
     return found.select("line_id", best.alias("template_id"))

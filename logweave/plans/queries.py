@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.patterns import PatternSet, density_vector, language_density
-from logweave.operators import automaton, cluster, distance, evaluate, experiment, matching, render
+from logweave.operators import automaton, cluster, distance, evaluate, experiment, grouping, matching, render
 from logweave.operators.storage import new_path, settled, tasks
 from logweave.sources import lines as sources
 from logweave.streaming.leaders import StreamingClusters, cluster_stream
@@ -149,6 +149,17 @@ def automaton_signature_groups(spark, d):
     return automaton.signature_groups(ev_lines(spark, d), PatternSet.default())
 
 
+def automaton_similar_groups(spark, d):
+    sizes = automaton.automata(part_lines(spark, d), PatternSet.default()).select("line_id", "n_vertices", "n_arcs")
+    brands = _read(spark, d, "part").select(F.col("p_partkey").cast("long").alias("line_id"), "p_brand")
+    near = lambda a, b: ((a["n_vertices"] - b["n_vertices"]).abs() <= 1) & ((a["n_arcs"] - b["n_arcs"]).abs() <= 2)
+    return grouping.group_by_relation(sizes.join(brands, "line_id"), near, "p_brand")
+
+
+def automaton_slices(spark, d):
+    return automaton.slices(ev_lines(spark, d), PatternSet.default())
+
+
 def cheapest_path(spark, d):
     found = automaton.paths(ev_lines(spark, d), PatternSet.default())
     return found.select("line_id", F.round("cost", 9).alias("cost"), "path")
@@ -308,7 +319,7 @@ def stream_leader(spark, d):
 _ALL = (
     lines_scan, lines_strip, lines_dense, lines_head, log_names, template_parts, pattern_collection, mkconf, pattern_accepts, density_runs, density_all, density_order,
     match_all, match_largest, match_reduced, match_greedy, match_delimited, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_counts,
-    automaton_signature_groups, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, pattern_distance_cutoff, nearest_representative, nearest_supplier,
+    automaton_signature_groups, automaton_similar_groups, automaton_slices, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, pattern_distance_cutoff, nearest_representative, nearest_supplier,
     cluster_leader, cluster_sizes, cluster_preprocessed, cluster_suppliers, cluster_suppliers_preprocessed,
     template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, evaluation_grid, best_param, metric_projection, log_order, html_colors,
     values_to_colors, row_html, lines_html, clustered_html, result_json, stream_leader,

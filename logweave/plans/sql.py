@@ -43,6 +43,16 @@ g AS MATERIALIZED (SELECT line_id, u AS j, nxt AS k, 'any' AS name FROM w LEFT J
 a AS (SELECT p.line_id, p.j, p.k, p.name FROM p LEFT JOIN g ON g.line_id = p.line_id AND g.j = p.j WHERE p.name <> 'any' OR g.j IS NULL UNION ALL SELECT * FROM g)"""
 
 
+def _arcs_by_flags(lines: str, without: tuple[str, ...] = ()) -> str:
+    """The arcs alone: vertices with flags for arcs in and out, gaps from a window over them, and of two ``any`` arcs from one vertex the gap's."""
+    kept = f"WHERE name NOT IN ({', '.join(repr(x) for x in without)})" if without else ""
+    return f"""WITH {lines}, {_largest()}, p AS MATERIALIZED (SELECT line_id, j, k, name FROM m {kept}),
+v AS (SELECT line_id, u, max(leaves) AS leaves, max(enters) AS enters FROM (SELECT line_id, j AS u, 1 AS leaves, 0 AS enters FROM p UNION ALL SELECT line_id, k, 0, 1 FROM p
+      UNION ALL SELECT line_id, 0, 0, 0 FROM ev UNION ALL SELECT line_id, length(line), 0, 0 FROM ev) GROUP BY line_id, u),
+w AS (SELECT line_id, u AS j, leaves, lead(u) OVER (PARTITION BY line_id ORDER BY u) AS k, lead(enters) OVER (PARTITION BY line_id ORDER BY u) AS enters FROM v),
+a AS (SELECT line_id, j, arg_max(k, gap) AS k, name FROM (SELECT line_id, j, k, name, 0 AS gap FROM p UNION ALL SELECT line_id, j, k, 'any', 1 FROM w WHERE k IS NOT NULL AND (leaves = 0 OR enters = 0)) GROUP BY line_id, j, name)"""
+
+
 #: How many words of each length a pattern accepts, by counting, and the densities that follow.
 DENSITY = """n AS (SELECT unnest(range(30)) AS n),
 digits AS (SELECT n, pow(10, n) AS ways FROM n WHERE n > 0),
@@ -175,10 +185,20 @@ def oracle_sql() -> dict[str, str]:
         "match_dict": f"WITH {EV}, {_largest()} SELECT line_id, name, {text.format('|')} AS texts FROM m JOIN ev USING (line_id) GROUP BY line_id, name",
         "match_string": f"WITH {EV}, {_largest(('float', 'spaces', 'word'))}, t AS (SELECT line_id, name, {text.replace('{}', chr(39) * 2 + ', ' + chr(39) * 2)} AS texts FROM m JOIN ev USING (line_id) GROUP BY line_id, name) "
         "SELECT line_id, string_agg(printf('%-5s', name) || ': [''' || texts || ''']', chr(10) ORDER BY name) AS report FROM t GROUP BY line_id",
-        "automaton_arcs": f"{_arcs(EV)} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name FROM a",
-        "automaton_infix": f"{_arcs(EV)} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name, line[j + 1:k] AS infix FROM a JOIN ev USING (line_id)",
-        "automaton_filtered": f"{_arcs(EV, ('spaces', 'hexa'))} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name FROM a",
+        "automaton_arcs": f"{_arcs_by_flags(EV)} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name FROM a",
+        "automaton_infix": f"{_arcs_by_flags(EV)} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name, line[j + 1:k] AS infix FROM a JOIN ev USING (line_id)",
+        "automaton_filtered": f"{_arcs_by_flags(EV, ('spaces', 'hexa'))} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name FROM a",
         "automaton_counts": f"{_arcs(EV)}, nv AS (SELECT line_id, count(*) AS n FROM v GROUP BY line_id), na AS (SELECT line_id, count(*) AS n FROM a GROUP BY line_id) SELECT line_id, CAST(nv.n AS INTEGER) AS n_vertices, CAST(na.n AS INTEGER) AS n_arcs FROM nv JOIN na USING (line_id)",
+        "automaton_slices": f"{_arcs(EV)}, {_paths()}, steps AS (SELECT line_id, line, best.names AS names FROM path JOIN ev USING (line_id) WHERE u = length(line)), "
+        "walk(line_id, place, name, j, k) AS (SELECT s.line_id, 0, names[1], 0, a.k FROM steps s JOIN a ON a.line_id = s.line_id AND a.j = 0 AND a.name = names[1] "
+        "UNION ALL SELECT w.line_id, w.place + 1, names[w.place + 2], w.k, a.k FROM walk w JOIN steps s ON s.line_id = w.line_id JOIN a ON a.line_id = w.line_id AND a.j = w.k AND a.name = names[w.place + 2]) "
+        "SELECT line_id, CAST(place AS INTEGER) AS place, name, CAST(j AS INTEGER) AS j, CAST(k AS INTEGER) AS k, line[j + 1:k] AS text FROM walk JOIN ev USING (line_id)",
+        "automaton_similar_groups": f"{_arcs(PARTS)}, nv AS (SELECT line_id, count(*) AS n FROM v GROUP BY line_id), na AS (SELECT line_id, count(*) AS n FROM a GROUP BY line_id), "
+        "c AS MATERIALIZED (SELECT line_id, p_brand AS brand, nv.n AS v, na.n AS e, row_number() OVER (PARTITION BY p_brand ORDER BY line_id) AS r FROM nv JOIN na USING (line_id) JOIN part ON p_partkey = line_id), "
+        "fold(brand, r, line_id, group_id, firsts) AS (SELECT brand, r, line_id, line_id, [{'i': line_id, 'v': v, 'e': e}] FROM c WHERE r = 1 UNION ALL "
+        "SELECT brand, r, line_id, coalesce(near, line_id), CASE WHEN near IS NULL THEN list_append(firsts, {'i': line_id, 'v': v, 'e': e}) ELSE firsts END FROM ("
+        "SELECT c.brand, c.r, c.line_id, c.v, c.e, f.firsts, list_filter(f.firsts, lambda x: abs(x.v - c.v) <= 1 AND abs(x.e - c.e) <= 2)[1].i AS near FROM fold f JOIN c ON c.brand = f.brand AND c.r = f.r + 1)) "
+        "SELECT line_id, group_id FROM fold",
         "automaton_signature_groups": f"{_arcs(EV)}, {SIGNED} SELECT line_id, min(line_id) OVER (PARTITION BY sig) AS group_id FROM signed",
         "cheapest_path": f"{_arcs(EV)}, {_paths()} SELECT line_id, round(best.cost, 9) AS cost, array_to_string(best.names, ' ') AS path FROM path JOIN ev USING (line_id) WHERE u = length(line)",
         "pattern_distance": f"{_arcs(SUPPLIERS)}, {_distances(NEXT)} SELECT x AS line_id, round(d, 9) AS d FROM dist",

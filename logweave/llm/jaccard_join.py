@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, batches_within, connected_components, cut, drop, rebalanced, spread, table, tidy
+from logweave.llm.shared import Sieve, batches_within, connected_components, cut, drop, if_small, rebalanced, spread, table, tidy
 from logweave.llm.simhash import merge
 from logweave.llm.words import in_groups, mixed, powers
 from logweave.sources.lines import dense
@@ -23,6 +23,8 @@ EXTRA = 2
 FAN = 8
 #: Most sets, and most shingles, that a task holds of one side of a unit.
 SETS, SHINGLES = 512, 1 << 21
+#: Names of sets that a task knows as sent already; it forgets them when they are more.
+SEEN = 1 << 18
 #: Sets of a part that go along to the next one, so that parts of one group are linked at once.
 BRIDGE = 32
 #: 64-bit words of the bitmaps of whole parts, and most of those in a task; bytes of bitmaps that are compared at a time.
@@ -129,18 +131,22 @@ def _members(df: DataFrame, text_col: str, width: int, groups: DataFrame) -> Dat
     bitmap = Sieve(groups, "node", hashed=True).bitmap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for b in batches:
             rows = []
+            if len(seen) > SEEN:
+                seen.clear()
             for own in shingle_sets(b.column(0).to_pylist(), width):
                 if len(own):
                     number = _number(name := _name(own))
-                    if Sieve.found(bitmap.value, np.array([number]))[0]:
+                    if name not in seen and Sieve.found(bitmap.value, np.array([number]))[0]:
+                        seen.add(name)
                         rows.append((number, name, len(own), int(own[0].view(np.int64)), bitmaps([own], WIDE)[0].view(np.int64).tolist(), own.tobytes()))
             kinds = [("node", pa.int64()), ("name", pa.binary()), ("n", pa.int64()), ("low", pa.int64()), ("bits", pa.list_(pa.int64())), ("shingles", pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     own = df.select(F.col(text_col).alias("__text")).mapInArrow(tidy(run), "node long, name binary, n long, low long, bits array<long>, shingles binary")
-    return own.dropDuplicates(["name"]).join(groups, "node").select(F.col("root").alias("group"), "name", "n", "low", "bits", "shingles")
+    return own.dropDuplicates(["name"]).join(if_small(groups), "node").select(F.col("root").alias("group"), "name", "n", "low", "bits", "shingles")
 
 
 def bitmaps(sets: list[np.ndarray], words: int) -> np.ndarray:
@@ -257,10 +263,9 @@ def _links_in_units(units: DataFrame, percent: int) -> DataFrame:
     return dealt.select("unit", "side", "name", "shingles", "known").mapInArrow(tidy(run), "src binary, dst binary")
 
 
-def _parts(members: DataFrame) -> DataFrame:
-    """``(name, group, n, bits, part, last)``: the sets of groups too large for a task, in parts by size and least shingle; ``last`` tells the ones that go along to the next part."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where((F.col("sets") > SETS) | (F.col("total") > SHINGLES)).select("group")
-    own = cut(members.select("group", "n", "low", "name", "bits").join(sizes, "group").orderBy("group", "n", "low", "name"))
+def _parts(members: DataFrame, large: DataFrame) -> DataFrame:
+    """``(name, group, n, bits, part, last)``: the sets of ``large`` groups, too large for a task, in parts by size and least shingle; ``last`` tells the ones that go along to the next part."""
+    own = cut(members.select("group", "n", "low", "name", "bits").join(large, "group").orderBy("group", "n", "low", "name"))
     kind = F.ceil(F.log2("n")).cast("int")
     most = F.greatest(F.lit(2), F.least(F.lit(SETS), F.floor(F.lit(SHINGLES) / F.pow(F.lit(2.0), kind)))).cast("long")
     numbered = dense(own, "at").withColumn("most", most)
@@ -280,26 +285,37 @@ def _node_pairs(parts: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "group").where((F.col("a_part") < F.col("b_part")) & fits & ~done).select("group", F.col("a_part").alias("a"), F.col("b_part").alias("b"))
 
 
-def _all_links(members: DataFrame, percent: int) -> DataFrame:
-    """``(src, dst)``: links between names that connect whatever links connect.
+def _components(members: DataFrame, percent: int) -> DataFrame:
+    """``(name, root)`` of the members that links connect with others, but for the roots themselves.
 
     First each group, or each part of a large one with the end of the part before, is
     traversed by itself. Then pairs of parts that are not connected throughout are.
     """
-    parts = cut(_parts(members))
-    unit: Column = F.xxhash64("group", F.coalesce("part", F.lit(-1)))
-    rows = members.join(parts.select("name", "part", "last"), "name", "left").withColumn("next", F.explode(F.when(F.col("last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    first = rows.withColumn("part", F.col("part") + F.col("next")).select(unit.alias("unit"), F.lit(0).alias("side"), F.col("name").alias("known"), "n", "low", "name", "shingles")
-    links = cut(_links_in_units(first, percent))
-    if not parts.limit(1).count():
-        return links
-    roots = connected_components(links).select(F.col("node").alias("name"), "root")
+    sizes = members.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("total")).where((F.col("sets") > SETS) | (F.col("total") > SHINGLES))
+    large = if_small(cut(sizes.select("group")))
+    columns = ["unit", F.lit(0).alias("side"), F.col("name").alias("known"), "n", "low", "name", "shingles"]
+    first = members.join(large, "group", "left_anti").withColumn("unit", F.xxhash64("group")).select(columns)
+    if there := bool(large.limit(1).count()):
+        parts = cut(_parts(members, large))
+        rows = members.join(if_small(parts.select("name", "part", "last")), "name")
+        rows = rows.withColumn("next", F.explode(F.when(F.col("last"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        first = first.unionByName(rows.withColumn("unit", F.xxhash64("group", F.col("part") + F.col("next"))).select(columns))
+    roots = connected_components(_links_in_units(first, percent)).select(F.col("node").alias("name"), "root")
+    if not there:
+        return roots
     known = cut(parts.join(roots, "name", "left").withColumn("known", F.coalesce("root", "name")).drop("root", "last"))
     pairs = cut(_node_pairs(known, percent))
+    if not pairs.limit(1).count():
+        return roots
     ends = pairs.select("group", F.col("a").alias("part"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select("group", F.col("b").alias("part"), "a", "b", F.lit(1).alias("side")))
-    met = known.select("name", "group", "part", "known").join(ends, ["group", "part"]).select("name", "known", "side", F.xxhash64("group", "a", "b").alias("unit"))
-    units = met.join(members.select("name", "n", "low", "shingles"), "name")
-    return links.unionByName(cut(_links_in_units(units, percent)))
+    met = cut(known.select("name", "group", "part", "known").join(ends, ["group", "part"]).select("name", "known", "side", F.xxhash64("group", "a", "b").alias("unit")))
+    units = if_small(met).join(members.select("name", "n", "low", "shingles"), "name")
+    # links of components, which are few; a component's own members come along by their root
+    of = known.select(F.col("name").alias("src"), F.col("known").alias("a"))
+    links = _links_in_units(units, percent).join(of, "src").join(of.withColumnsRenamed({"src": "dst", "a": "b"}), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    above = cut(connected_components(links))
+    moved = roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("name", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(above.select(F.col("node").alias("name"), "root"))
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90) -> DataFrame:
@@ -323,7 +339,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows, path = table(_named_sets(df, id_col, text_col, width, percent))
         groups = _candidates(rows)
         members, members_path = table(_members(df, text_col, width, groups))
-        roots = connected_components(_all_links(members, percent)).select(F.col("node").alias("name"), "root")
+        roots = _components(members, percent)
     drop(spark, members_path)
     least = rows.where("name IS NOT NULL").groupBy("name").agg(F.min(id_col).alias("least")).join(roots, "name", "left").select("name", "least", F.coalesce("root", "name").alias("root"))
     least, least_path = table(least)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.operators.storage import drop, keep_until_release, new_path, release, scratch_root, table  # noqa: F401
+from logweave.operators.storage import drop, keep_until_release, new_path, release, scope, scratch_root, table  # noqa: F401
 from logweave.operators.storage import settled as cut  # noqa: F401
 
 #: Rows of a narrow relation (some tens of bytes a row) that may be broadcast.
@@ -84,12 +84,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         star = least.select("v", F.col("m").alias("p")).unionByName(
             state.join(several, "v").where(F.col("p") != F.col("m")).select(F.col("p").alias("v"), F.col("m").alias("p"))
         )
-        middle, middle_path = table(star.distinct())
-        up, up_path = table(middle.groupBy("v").agg(F.min("p").alias("up")).select(F.col("v").alias("p"), "up"))
+        middle = star.distinct()
+        up = middle.groupBy("v").agg(F.min("p").alias("up")).select(F.col("v").alias("p"), "up")
         jumped = middle.join(up, "p", "left").select("v", F.coalesce("up", "p").alias("p"))
         state, new = table(jumped.distinct())
-        for old in (path, middle_path, up_path):
-            drop(spark, old)
+        drop(spark, path)
         path = new
     else:
         raise RuntimeError(f"components not settled in {rounds} rounds")
@@ -138,6 +137,14 @@ class Sieve:
         return look(self._bit(*columns))
 
 
+def keep_met(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
+    """Rows of ``df`` whose columns ``on`` may be among ``keys`` (already cut), so that the others need not move to a join: exactly these where keys are few, else what a ``Sieve`` passes."""
+    keys = keys.select(*on)
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(keys), list(on), "left_semi")
+    return df.where(Sieve(keys, *on).passes(*on))
+
+
 def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     """``df`` dealt out by a hash of ``keys`` over the session's shuffle partitions."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

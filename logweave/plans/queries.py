@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from logweave.functions.patterns import PatternSet, density_vector, language_density
 from logweave.operators import automaton, cluster, distance, evaluate, experiment, grouping, matching, render
 from logweave.operators.storage import new_path, settled, tasks
+from logweave.plans.table_functions import grep
 from logweave.sources import lines as sources
 from logweave.streaming.leaders import StreamingClusters, cluster_stream
 
@@ -119,6 +120,10 @@ def match_delimited(spark, d):
     return matching.delimited_matches(ev_lines(spark, d), PatternSet.default(), ["spaces"], strategy="all")
 
 
+def match_table_function(spark, d):
+    return grep(part_lines(spark, d), PatternSet.default())
+
+
 def match_dict(spark, d):
     own = ev_lines(spark, d)
     return matching.as_map(own, matching.matches(own, PatternSet.default())).select("line_id", "name", F.array_join("texts", "|").alias("texts"))
@@ -318,7 +323,7 @@ def stream_leader(spark, d):
 
 _ALL = (
     lines_scan, lines_strip, lines_dense, lines_head, log_names, template_parts, pattern_collection, mkconf, pattern_accepts, density_runs, density_all, density_order,
-    match_all, match_largest, match_reduced, match_greedy, match_delimited, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_counts,
+    match_all, match_largest, match_reduced, match_greedy, match_delimited, match_table_function, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_counts,
     automaton_signature_groups, automaton_similar_groups, automaton_slices, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, pattern_distance_cutoff, nearest_representative, nearest_supplier,
     cluster_leader, cluster_sizes, cluster_preprocessed, cluster_suppliers, cluster_suppliers_preprocessed,
     template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, evaluation_grid, best_param, metric_projection, log_order, html_colors,

@@ -182,6 +182,7 @@ def oracle_sql() -> dict[str, str]:
         "match_reduced": f"WITH {PARTS}, {_all()}, {REDUCE} SELECT line_id, name, j, k FROM r",
         "match_greedy": f"WITH {EV}, {_all().replace('m AS (', 'q AS (', 1)}, m AS (SELECT line_id, name, min(j) AS j, k FROM q GROUP BY line_id, name, k), {REDUCE} SELECT line_id, name, j, k FROM r",
         "match_delimited": f"WITH {EV}, {_largest()}, {allowed} {delimited}",
+        "match_table_function": f"WITH {PARTS}, {_largest()} SELECT * FROM m",
         "match_dict": f"WITH {EV}, {_largest()} SELECT line_id, name, {text.format('|')} AS texts FROM m JOIN ev USING (line_id) GROUP BY line_id, name",
         "match_string": f"WITH {EV}, {_largest(('float', 'spaces', 'word'))}, t AS (SELECT line_id, name, {text.replace('{}', chr(39) * 2 + ', ' + chr(39) * 2)} AS texts FROM m JOIN ev USING (line_id) GROUP BY line_id, name) "
         "SELECT line_id, string_agg(printf('%-5s', name) || ': [''' || texts || ''']', chr(10) ORDER BY name) AS report FROM t GROUP BY line_id",

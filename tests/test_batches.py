@@ -10,6 +10,7 @@ from logweave.functions.graphs import graphs
 from logweave.functions.paths import cheapest_paths, weights_by_name
 from logweave.functions.patterns import PatternSet
 from logweave.operators import automaton
+from logweave.plans.table_functions import register
 
 FULL = PatternSet.full()
 
@@ -66,3 +67,12 @@ def test_empty_batches():
     g = graphs([], FULL)
     assert len(cheapest_paths(g, np.zeros(0)).cost) == 0
     assert all(not len(x[0]) for x in scan.scan_delimited([], FULL.dfas(), {"spaces"}).values())
+
+
+def test_table_function(spark):
+    register(spark)
+    rows = spark.sql("SELECT v.id, m.* FROM VALUES (1, 'a1 22'), (2, NULL), (3, '') v(id, line), LATERAL multi_grep(v.line, 'int, spaces') m").collect()
+    assert sorted(map(tuple, rows)) == [(1, "int", 1, 2), (1, "int", 3, 5), (1, "spaces", 2, 3)]
+    rows = spark.sql("""SELECT m.* FROM multi_grep('ab', '{"x": "[a-b]+"}', 'all') m""").collect()
+    assert sorted(map(tuple, rows)) == [("x", 0, 1), ("x", 0, 2), ("x", 1, 2)]
+    assert spark.sql("SELECT * FROM multi_grep('ab', NULL)").count() == 0

@@ -12,9 +12,10 @@ from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
 from logweave.functions.text import automaton, normalised_distance, pattern_distance
 from logweave.operators.cluster import cluster, cluster_preprocessed
 from logweave.operators.distance import INFINITY
-from logweave.operators.render import clustered_html
+from logweave.operators.render import html_of
 from logweave.operators.storage import release, settled
-from logweave.sources.lines import from_strings, read_lines, result_json
+from logweave.sources.documents import json_of, stream_document
+from logweave.sources.lines import from_strings, read_lines
 
 log = logging.getLogger("logweave")
 
@@ -69,17 +70,18 @@ def main(args: list[str] | None = None) -> int:
     lines = read_lines(spark, got.input_file) if got.input_file else from_strings(spark, (x.strip() for x in sys.stdin))
     lines = settled(lines)
     found = settled((cluster_preprocessed if got.with_preprocessing else cluster)(lines, patterns, threshold))
-    texts = {}
+    documents = {}
     if got.html_file is not None:
-        texts[got.html_file or got.output_file] = "<html><body>" + clustered_html(lines, found).first()["html"] + "</body></html>"
+        documents[got.html_file or got.output_file] = html_of(lines, found, head="<html><body>", tail="</body></html>")
     if got.html_file != "":
-        texts[got.output_file] = result_json(found)
-    for path, text in texts.items():
+        documents[got.output_file] = json_of(found)
+    for path, sections in documents.items():
         if path:
             with open(path, "w", encoding="utf-8") as file:
-                file.write(text)
+                stream_document(sections, file)
         else:
-            print(text)
+            stream_document(sections, sys.stdout)
+            print()
     release(spark)
     return 0
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.operators.storage import settled
+from logweave.sources.documents import Section
+from logweave.sources.lines import dense
 
 #: Rows of a legend of colours that may be broadcast.
 COLOURS = 100_000
@@ -36,12 +38,11 @@ def html_colors(numbers: DataFrame, n: str = "n") -> DataFrame:
 def values_to_colors(rows: DataFrame, value: str) -> DataFrame:
     """``(value, i, color)``: a colour for each distinct value, in the order of the values.
 
-    Values are ranked in one task, since a legend of colours is short; the rows themselves
-    are aggregated first.
+    Distinct values are sorted by ranges; a value's rank is its place in its range plus the
+    sizes of the ranges before, so no task has all of them.
     """
-    distinct = rows.select(value).where(F.col(value).isNotNull()).distinct()
-    ranked = distinct.select(value, (F.row_number().over(Window.orderBy(value)) - 1).alias("i"))
-    return ranked.crossJoin(F.broadcast(distinct.agg(F.count("*").alias("n")))).select(value, "i", hue(F.col("i"), F.col("n")).alias("color"))
+    distinct = settled(rows.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value))
+    return dense(distinct, "i").select(value, F.col("i").cast("int").alias("i"), hue(F.col("i"), F.lit(distinct.count())).alias("color"))
 
 
 def font(color: Column, label: Column) -> Column:
@@ -77,14 +78,19 @@ def lines_html(lines: DataFrame, skip: Column | None = None, escape: bool = True
     return document(rows.select("line_id", show(F.col("line_id"), F.col("line")).alias("row")), "row")
 
 
-def caption(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """``(caption)``: the clusters' names in their colours, in the order of their ids; ``names(cluster_id, name)`` replaces the numbered ones."""
+def _legend(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``(i, label)``: the clusters' names in their colours."""
     colors = values_to_colors(clusters, "cluster_id")
     label = F.concat(F.lit("Cluster "), F.col("i"))
     if names is not None:
         colors = colors.join(names.select("cluster_id", "name"), "cluster_id", "left")
         label = F.coalesce("name", label)
-    rows = colors.select("i", font(F.col("color"), label).alias("label")).agg(F.array_sort(F.collect_list(F.struct("i", "label"))).alias("rows"))
+    return colors.select("i", font(F.col("color"), label).alias("label"))
+
+
+def caption(clusters: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """``(caption)``: the clusters' names in their colours, in the order of their ids; ``names(cluster_id, name)`` replaces the numbered ones."""
+    rows = _legend(clusters, names).agg(F.array_sort(F.collect_list(F.struct("i", "label"))).alias("rows"))
     return rows.select(F.array_join(F.transform("rows", lambda r: r["label"]), "&nbsp;").alias("caption"))
 
 
@@ -116,3 +122,11 @@ def clustered_html(
     if not show_caption:
         return body
     return caption(clusters, names).crossJoin(body).select(F.concat("caption", "html").alias("html"))
+
+
+def html_of(lines: DataFrame, clusters: DataFrame, show_caption: bool = True, head: str = "", tail: str = "", **hooks) -> list[Section]:
+    """``clustered_html`` as sections of a document of any size; ``hooks`` are those of ``clustered_rows``, and ``names``."""
+    names = hooks.pop("names", None)
+    body = clustered_rows(lines, clusters, **hooks).select(F.col("line_id").alias("place"), F.col("row").alias("piece"))
+    legend = [Section(_legend(clusters, names).select(F.col("i").alias("place"), F.col("label").alias("piece")), head, "&nbsp;")] if show_caption else []
+    return [*legend, Section(body, "<pre>" if show_caption else head + "<pre>", "<br/>", "</pre>" + tail)]

@@ -300,6 +300,10 @@ def row_html(spark, d):
     return render.row_html(settled(cluster_suppliers(spark, d)))
 
 
+def clustered_rows(spark, d):
+    return render.clustered_rows(supplier_lines(spark, d), settled(cluster_suppliers(spark, d)))
+
+
 def lines_html(spark, d):
     return render.lines_html(supplier_lines(spark, d), skip=F.col("line_id") == 3)
 
@@ -327,7 +331,7 @@ _ALL = (
     automaton_signature_groups, automaton_similar_groups, automaton_slices, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, pattern_distance_cutoff, nearest_representative, nearest_supplier,
     cluster_leader, cluster_sizes, cluster_preprocessed, cluster_suppliers, cluster_suppliers_preprocessed,
     template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, evaluation_grid, best_param, metric_projection, log_order, html_colors,
-    values_to_colors, row_html, lines_html, clustered_html, result_json, stream_leader,
+    values_to_colors, row_html, clustered_rows, lines_html, clustered_html, result_json, stream_leader,
 )
 
 

@@ -230,6 +230,7 @@ SELECT round((pairs - a * b / total) / ((a + b) / 2 - a * b / total), 9) AS adju
         "html_colors": f"WITH c AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey), e AS (SELECT s_nationkey, n, unnest(range(n)) AS i FROM c) SELECT s_nationkey, CAST(i AS INTEGER) AS i, {COLOR.format(i='i', n='n')} AS color FROM e",
         "values_to_colors": f"WITH c AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events)) SELECT user_id, CAST(i AS INTEGER) AS i, {COLOR.format(i='i', n='n')} AS color FROM c",
         "row_html": f"{SUPPLIER_CLUSTERS}, {COLOURED} SELECT line_id, row_html FROM coloured",
+        "clustered_rows": f"{SUPPLIER_CLUSTERS}, {COLOURED} SELECT line_id, row_html || ': ' || line AS row FROM coloured",
         "lines_html": f"WITH {SUPPLIERS} SELECT '<pre>' || string_agg(printf('%3d', line_id) || ': ' || line, '<br/>' ORDER BY line_id) || '</pre>' AS html FROM ev WHERE line_id <> 3",
         "clustered_html": f"{SUPPLIER_CLUSTERS}, {COLOURED} SELECT (SELECT string_agg('<font style=''color:' || color || '''>Cluster ' || i || '</font>', '&nbsp;' ORDER BY i) FROM colours) || '<pre>' || string_agg(row_html || ': ' || line, '<br/>' ORDER BY line_id) || '</pre>' AS html FROM coloured",
         "result_json": f"{SUPPLIER_CLUSTERS} SELECT '[' || string_agg(cluster_id::VARCHAR, ',' ORDER BY line_id) || ']' AS json FROM fold",

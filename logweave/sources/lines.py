@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logweave.operators.storage import new_path
+
+#: Lines of an iterable that the driver holds at a time.
+BLOCK = 100_000
 #: What is stripped off both ends of a line.
 STRIPPED = " \t\n\r\x0b\x0c"
 
@@ -55,9 +61,16 @@ def read_lines(spark: SparkSession, path: str, stripped: bool = True) -> DataFra
     return _numbered(spark, path).select("line_id", line.alias("line"))
 
 
-def from_strings(spark: SparkSession, lines) -> DataFrame:
-    """``(line_id, line)`` of an iterable, such as standard input."""
-    return spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+def from_strings(spark: SparkSession, lines: Iterable[str], block: int = BLOCK) -> DataFrame:
+    """``(line_id, line)`` of an iterable, such as standard input: the driver holds ``block`` lines, and what is longer goes block by block to a table."""
+    schema, rows, path = "line_id long, line string", enumerate(lines), None
+    while own := list(itertools.islice(rows, block)):
+        frame = spark.createDataFrame(own, schema)
+        if path is None and len(own) < block:
+            return frame
+        path = path or new_path(spark, "lines")
+        frame.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 def log_name(path: Column | str) -> Column:

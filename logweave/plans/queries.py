@@ -72,13 +72,23 @@ def template_parts(spark, d):
     return _read(spark, d, "pages").select("page_id", F.array_join(sources.template_parts("html"), "|").alias("parts"))
 
 
+def _event_types(spark, d) -> list[str]:
+    return sorted(r["event_type"] for r in _read(spark, d, "events").select("event_type").distinct().collect())
+
+
+def _with_event_types(spark, d, patterns: PatternSet) -> PatternSet:
+    """A collection for this table's lines: a word of its own for each type of event."""
+    return patterns.with_patterns({f"is_{t}": t for t in _event_types(spark, d)})
+
+
 def pattern_collection(spark, d):
-    merged = PatternSet.default().with_patterns({"small_letters": "[a-z]+", "uint": "[0-9]{1,9}"})
+    merged = _with_event_types(spark, d, PatternSet.default()).with_patterns({"small_letters": "[a-z]+", "uint": "[0-9]{1,9}"})
     return spark.createDataFrame(list(merged.regexes), "name string, regex string")
 
 
 def mkconf(spark, d):
-    return spark.createDataFrame([(PatternSet.full().to_json(),)], "config string").select(F.from_json("config", "threshold double, patterns map<string,string>").alias("c")).select("c.threshold", F.explode("c.patterns").alias("name", "regex"))
+    config = _with_event_types(spark, d, PatternSet.full()).to_json()
+    return spark.createDataFrame([(config,)], "config string").select(F.from_json("config", "threshold double, patterns map<string,string>").alias("c")).select("c.threshold", F.explode("c.patterns").alias("name", "regex"))
 
 
 def pattern_accepts(spark, d):
@@ -87,17 +97,19 @@ def pattern_accepts(spark, d):
 
 
 def density_runs(spark, d):
-    found = [(n, round(language_density(dfa), 9)) for n, dfa in PatternSet.full().dfas().items() if dfa.run_of]
+    letters = {f"letters_of_{t}": f"[{''.join(sorted(set(t)))}]+" for t in _event_types(spark, d)}
+    found = [(n, round(language_density(dfa), 9)) for n, dfa in PatternSet.full().with_patterns(letters).dfas().items() if dfa.run_of]
     return spark.createDataFrame(found, "name string, density double")
 
 
 def density_all(spark, d):
-    found = [(n, round(x, 9), round(math.log10(x), 9)) for n, x in sorted(PatternSet.full().densities().items())]
+    found = [(n, round(x, 9), round(math.log10(x), 9)) for n, x in sorted(_with_event_types(spark, d, PatternSet.full()).densities().items())]
     return spark.createDataFrame(found, "name string, density double, magnitude double")
 
 
 def density_order(spark, d):
-    return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(density_vector(PatternSet.default().densities()))], "place int, density double")
+    own = density_vector(_with_event_types(spark, d, PatternSet.default()).densities())
+    return spark.createDataFrame([(i, round(x, 9)) for i, x in enumerate(own)], "place int, density double")
 
 
 def match_all(spark, d):

@@ -157,6 +157,11 @@ colours AS (SELECT cluster_id, i, {COLOR.format(i='i', n='n')} AS color FROM ran
 coloured AS (SELECT line_id, line, '<font style=''color:' || color || '''>' || printf('%3d', line_id) || '</font>' AS row_html FROM ev JOIN fold USING (line_id) JOIN colours USING (cluster_id))"""
 
 
+#: The types of events, and the densities of all patterns and of a word for each type.
+TYPES = "types AS (SELECT DISTINCT event_type AS t FROM events)"
+TYPED = "SELECT name, density FROM density UNION ALL SELECT 'is_' || t, pow(200, -length(t)) FROM types"
+
+
 def oracle_sql() -> dict[str, str]:
     accept = " || ".join(f"CASE WHEN regexp_full_match(word, '{RE[n]}') THEN ',{n}' ELSE '' END" for n in sorted(RE))
     allowed = """s AS (SELECT line_id, j, k FROM m WHERE name = 'spaces'), x AS (SELECT line_id, k AS b FROM s UNION SELECT line_id, 0 FROM ev), y AS (SELECT line_id, j AS e FROM s UNION SELECT line_id, length(line) FROM ev)"""
@@ -172,11 +177,12 @@ def oracle_sql() -> dict[str, str]:
         "log_names": r"SELECT page_id, string_split(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.[^.]*$', ''), '_2k')[1] AS log FROM pages",
         "template_parts": f"""SELECT page_id, coalesce(array_to_string(list_filter(list_transform(string_split(replace(html, '"', '<*>'), '<*>'), lambda x: {STRIP.format('x')}), lambda x: regexp_matches(x, '[a-zA-Z]')), '|'), '') AS parts FROM pages""",
         "pattern_accepts": f"WITH {EV}, w AS (SELECT DISTINCT unnest(string_split(line, ' ')) AS word FROM ev) SELECT word, substr({accept}, 2) AS names FROM w",
-        "density_runs": f"WITH RECURSIVE {DENSITY} SELECT name, round(density, 9) AS density FROM density WHERE name IN ('alnum', 'any', 'hexa', 'letters', 'spaces', 'uint', 'word')",
-        "density_all": f"WITH RECURSIVE {DENSITY} SELECT name, round(density, 9) AS density, round(log10(density), 9) AS magnitude FROM density",
-        "density_order": f"WITH RECURSIVE {DENSITY} SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS place, round(density, 9) AS density FROM density WHERE name IN {EIGHT}",
-        "pattern_collection": f"SELECT * FROM (VALUES {named([(n, REGEXES[n]) for n in EIGHT if n != 'uint'] + [('small_letters', '[a-z]+'), ('uint', '[0-9]{1,9}')])}) p(name, regex)",
-        "mkconf": f"SELECT CAST(0.6 AS DOUBLE) AS threshold, name, regex FROM (VALUES {named(REGEXES.items())}) p(name, regex)",
+        "density_runs": f"WITH RECURSIVE {DENSITY}, {TYPES} SELECT name, round(density, 9) AS density FROM (SELECT name, density FROM density WHERE name IN ('alnum', 'any', 'hexa', 'letters', 'spaces', 'uint', 'word') "
+        "UNION ALL SELECT 'letters_of_' || t, (SELECT sum(pow(x, n)) FROM (SELECT unnest(range(1, 30)) AS n)) FROM (SELECT t, len(list_distinct(string_split(t, ''))) / 200 AS x FROM types))",
+        "density_all": f"WITH RECURSIVE {DENSITY}, {TYPES}, own AS ({TYPED}) SELECT name, round(density, 9) AS density, round(log10(density), 9) AS magnitude FROM own",
+        "density_order": f"WITH RECURSIVE {DENSITY}, {TYPES}, own AS ({TYPED}) SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS place, round(density, 9) AS density FROM own WHERE name IN {EIGHT} OR name LIKE 'is\\_%' ESCAPE '\\'",
+        "pattern_collection": f"WITH {TYPES} SELECT * FROM (VALUES {named([(n, REGEXES[n]) for n in EIGHT if n != 'uint'] + [('small_letters', '[a-z]+'), ('uint', '[0-9]{1,9}')])}) p(name, regex) UNION ALL SELECT 'is_' || t, t FROM types",
+        "mkconf": f"WITH {TYPES} SELECT CAST(0.6 AS DOUBLE) AS threshold, name, regex FROM (SELECT * FROM (VALUES {named(REGEXES.items())}) p(name, regex) UNION ALL SELECT 'is_' || t, t FROM types)",
         "match_all": f"WITH {PARTS}, {_all()} SELECT * FROM m",
         "match_largest": f"WITH {EV}, {_largest()} SELECT * FROM m",
         "match_reduced": f"WITH {PARTS}, {_all()}, {REDUCE} SELECT line_id, name, j, k FROM r",

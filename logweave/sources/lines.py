@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from logweave.operators.storage import new_path
 
+#: Blocks of files whose first numbers may be broadcast.
+BLOCKS = 200_000
 #: Lines of an iterable that the driver holds at a time.
 BLOCK = 100_000
 #: What is stripped off both ends of a line.
@@ -52,7 +54,9 @@ def _numbered(spark: SparkSession, paths: str) -> DataFrame:
         starts.append((r["path"], r["__block"], before - r["first"]))
         before += r["n"]
     offsets = spark.createDataFrame(starts, "path string, __block long, __add long")
-    return rows.join(F.broadcast(offsets), ["path", "__block"]).select("path", (F.col("__at") + F.col("__add")).alias("line_id"), "value")
+    if len(starts) <= BLOCKS:
+        offsets = F.broadcast(offsets)
+    return rows.join(offsets, ["path", "__block"]).select("path", (F.col("__at") + F.col("__add")).alias("line_id"), "value")
 
 
 def read_lines(spark: SparkSession, path: str, stripped: bool = True) -> DataFrame:

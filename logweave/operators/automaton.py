@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions.graphs import Graphs, graphs
@@ -42,6 +42,31 @@ def arcs(lines: DataFrame, patterns: PatternSet, strategy: str | Callable = "lar
     return lines.select("line_id", "line").mapInPandas(run, "line_id long, src int, dst int, name string, infix string")
 
 
+def delta(line: Column | str, src: Column | str, name: Column | str, patterns: PatternSet) -> Column:
+    """Where the arc of a name leads from a vertex of a line's automaton; null if there is none, and for nulls."""
+    dfas = patterns.dfas()
+
+    @F.pandas_udf("int")
+    def run(lines: pd.Series, places: pd.Series, names: pd.Series) -> pd.Series:
+        there = np.flatnonzero(lines.notna() & places.notna() & names.notna())
+        at, distinct = pd.factorize(lines.iloc[there])
+        g = graphs(distinct.tolist(), patterns, dfas)
+        wide, many = 1 + max((len(x) for x in g.lines), default=0), len(g.names) + 1
+        key = lambda i, u, n: (i * wide + u) * many + n
+        known = key(g.line, g.src, g.name)
+        order = np.argsort(known)
+        u = places.iloc[there].to_numpy(np.int64)
+        number = pd.Index(g.names).get_indexer(names.iloc[there])
+        asked = key(at, np.clip(u, 0, wide - 1), np.where(number < 0, many - 1, number))
+        found = order[np.minimum(np.searchsorted(known, asked, sorter=order), max(0, len(known) - 1))] if len(known) else np.zeros(len(asked), np.int64)
+        hit = (known[found] == asked) & (u >= 0) & (u < wide) if len(known) else np.zeros(len(asked), bool)
+        out = pd.Series(pd.NA, lines.index, "Int32")
+        out.iloc[there[hit]] = g.dst[found[hit]].astype(np.int32)
+        return out
+
+    return run(*(F.col(c) if isinstance(c, str) else c for c in (line, src, name)))
+
+
 def paths(lines: DataFrame, patterns: PatternSet, weights: Mapping[str, float] | None = None, weigh: Callable[[Graphs], np.ndarray] | None = None) -> DataFrame:
     """``(line_id, cost, path)``: the cheapest decomposition of a line, as names joined by spaces.
 

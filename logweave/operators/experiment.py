@@ -69,6 +69,16 @@ def grid(logs: DataFrame, templates: DataFrame, thresholds: Iterable[float], col
     return out
 
 
+def runtimes(lines: DataFrame, sizes: Iterable[int], patterns: PatternSet | None = None, threshold: float = DEFAULT_THRESHOLD, preprocessed: bool = False) -> DataFrame:
+    """``(lines, seconds, clusters)``: how long the clustering of the first so many lines takes, a job for each size."""
+    spark, own, rows = lines.sparkSession, settled(lines), []
+    for n in sizes:
+        began = time.time()
+        found = settled((cluster_preprocessed if preprocessed else cluster)(head(own, n), patterns, threshold))
+        rows.append((n, time.time() - began, found.select("cluster_id").distinct().count()))
+    return spark.createDataFrame(rows, "lines long, seconds double, clusters long")
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Results as JSON lines."""
     results.write.json(path)

@@ -158,6 +158,13 @@ def automaton_filtered(spark, d):
     return automaton.arcs(ev_lines(spark, d), PatternSet.default(), filtered=["spaces", "hexa"]).drop("infix")
 
 
+def automaton_delta(spark, d):
+    names = F.explode(F.array(*[F.lit(n) for n in PatternSet.default().names])).alias("name")
+    asked = ev_lines(spark, d).select("line_id", "line", names).withColumn("src", F.locate("user=", "line") - 1)
+    found = asked.select("line_id", "name", "src", automaton.delta("line", "src", "name", PatternSet.default()).alias("dst"))
+    return found.where("dst IS NOT NULL")
+
+
 def automaton_counts(spark, d):
     return automaton.automata(ev_lines(spark, d), PatternSet.default()).select("line_id", "n_vertices", "n_arcs")
 
@@ -339,7 +346,7 @@ def stream_leader(spark, d):
 
 _ALL = (
     lines_scan, lines_strip, lines_dense, lines_head, log_names, template_parts, pattern_collection, mkconf, pattern_accepts, density_runs, density_all, density_order,
-    match_all, match_largest, match_reduced, match_greedy, match_delimited, match_table_function, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_counts,
+    match_all, match_largest, match_reduced, match_greedy, match_delimited, match_table_function, match_dict, match_string, automaton_arcs, automaton_infix, automaton_filtered, automaton_delta, automaton_counts,
     automaton_signature_groups, automaton_similar_groups, automaton_slices, cheapest_path, lcs, pattern_distance, pattern_distance_normalized, pattern_distance_cutoff, nearest_representative, nearest_supplier,
     cluster_leader, cluster_sizes, cluster_preprocessed, cluster_suppliers, cluster_suppliers_preprocessed,
     template_match, template_groups, template_integrity, line_self_match, parsing_accuracy, adjusted_rand_index, evaluation_grid, best_param, metric_projection, log_order, html_colors,

@@ -195,6 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "automaton_arcs": f"{_arcs_by_flags(EV)} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name FROM a",
         "automaton_infix": f"{_arcs_by_flags(EV)} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name, line[j + 1:k] AS infix FROM a JOIN ev USING (line_id)",
         "automaton_filtered": f"{_arcs_by_flags(EV, ('spaces', 'hexa'))} SELECT line_id, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst, name FROM a",
+        "automaton_delta": f"{_arcs_by_flags(EV)} SELECT a.line_id, name, CAST(j AS INTEGER) AS src, CAST(k AS INTEGER) AS dst FROM a JOIN ev USING (line_id) WHERE j = instr(line, 'user=') - 1",
         "automaton_counts": f"{_arcs(EV)}, nv AS (SELECT line_id, count(*) AS n FROM v GROUP BY line_id), na AS (SELECT line_id, count(*) AS n FROM a GROUP BY line_id) SELECT line_id, CAST(nv.n AS INTEGER) AS n_vertices, CAST(na.n AS INTEGER) AS n_arcs FROM nv JOIN na USING (line_id)",
         "automaton_slices": f"{_arcs(EV)}, {_paths()}, steps AS (SELECT line_id, line, best.names AS names FROM path JOIN ev USING (line_id) WHERE u = length(line)), "
         "walk(line_id, place, name, j, k) AS (SELECT s.line_id, 0, names[1], 0, a.k FROM steps s JOIN a ON a.line_id = s.line_id AND a.j = 0 AND a.name = names[1] "

@@ -9,7 +9,7 @@ from logweave.functions import scan, text
 from logweave.functions.graphs import graphs
 from logweave.functions.paths import cheapest_paths, weights_by_name
 from logweave.functions.patterns import PatternSet
-from logweave.operators import automaton
+from logweave.operators import automaton, experiment
 from logweave.plans.table_functions import register
 
 FULL = PatternSet.full()
@@ -76,3 +76,19 @@ def test_table_function(spark):
     rows = spark.sql("""SELECT m.* FROM multi_grep('ab', '{"x": "[a-b]+"}', 'all') m""").collect()
     assert sorted(map(tuple, rows)) == [("x", 0, 1), ("x", 0, 2), ("x", 1, 2)]
     assert spark.sql("SELECT * FROM multi_grep('ab', NULL)").count() == 0
+
+
+def test_delta(spark):
+    rows = [("1.2.3.4 x", u, n) for u in (-1, 0, 7, 8, 99, None) for n in ("ipv4", "word", "spaces", "nothing", None)] + [(None, 0, "word"), ("", 0, "any"), ("é", 0, "any")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, line string, u int, name string").repartition(3)
+    default = PatternSet.default()
+    for r in frame.select("i", automaton.delta("line", "u", "name", default).alias("v")).collect():
+        line, u, name = rows[r["i"]]
+        want = None if None in (line, u, name) else text.automaton(line, default).moves.get(u, {}).get(name)
+        assert r["v"] == want, rows[r["i"]]
+
+
+def test_runtimes(spark):
+    frame = spark.createDataFrame([(i, f"line {i} {'x' * (i % 3)}") for i in range(40)], "line_id long, line string")
+    rows = experiment.runtimes(frame, [5, 40], threshold=0.05).orderBy("lines").collect()
+    assert [r["lines"] for r in rows] == [5, 40] and all(r["seconds"] > 0 and r["clusters"] > 0 for r in rows)

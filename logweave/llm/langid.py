@@ -162,6 +162,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """``df`` with ``held_out``, ``lang_pred`` and ``score``; learns from rows that are not held out and have a label."""
+    """``df`` with ``held_out``, ``lang_pred`` and ``score``; learns from rows that are not held out and have a label.
+
+    Without such rows every prediction is ``und``; an empty table stays empty; of repeated texts one row is learnt from.
+    """
     model = fit(df.where(~held_out(id_col)), text_col, lang_col, sample)
     return predict(df.withColumn("held_out", held_out(id_col)), model, text_col)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, connected_components, cut, drop, rebalanced, small_batches, spread, table, tidy
+from logweave.llm.shared import connected_components, cut, drop, keep_met, rebalanced, small_batches, spread, table, tidy
 
 #: Most distinct fingerprints in a tree; a shard with more is dealt out as pairs of such parts.
 TREE = 1024
@@ -279,7 +279,7 @@ def similar_texts(texts: DataFrame, df: DataFrame, text_col: str, radius: int, w
         F.concat_ws("/", F.hex("group"), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "mark", "fp", (F.col("own") > F.col("other")).cast("int").alias("side")
     )
     own = df.select(F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    own = own.where(Sieve(met, "mark").passes("mark")).dropDuplicates(["mark"])
+    own = keep_met(own, met, "mark").dropDuplicates(["mark"])
     units = spread(units.join(own, "mark"), "unit").sortWithinPartitions("unit", "mark")
     pairs = cut(units.mapInPandas(tidy(lambda batches: _similar_texts(batches, radius, width, similar)), "src long, dst long").distinct())
     drop(spark, sizes_path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, rebalanced, small_batches, spread, table, tidy
+from logweave.llm.shared import Sieve, connected_components, cut, drop, if_small, keep_met, rebalanced, small_batches, spread, table, tidy
 from logweave.llm.simhash import merge
 from logweave.llm.words import INVERSE, LINE_BREAK, Words, in_groups, mixed, powers, sliding
 
@@ -26,6 +26,8 @@ RECALL = 0.999
 BUCKET = 512
 #: Marks that may go to all tasks as a bitmap, an eighth of its bits; more are met by a join.
 MARKS = 1 << 25
+#: Values of removals that may go to all tasks.
+VALUES = 1 << 20
 #: Words between blanks, as ``bytes.split`` has them.
 WORD = re.compile("[^ \\t\\n\\r\\x0b\\x0c]+")
 
@@ -161,7 +163,7 @@ def similar_paragraphs(found: DataFrame, texts: DataFrame, width: int = WIDTH, s
     units = met.join(buckets, "key").withColumn("own", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("parts")).cast("int"))
     units = units.select("key", "digest", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     units = units.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "digest", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    own = texts.where(Sieve(units.select("digest"), "digest").passes("digest")).dropDuplicates(["digest"])
+    own = keep_met(texts, units, "digest").dropDuplicates(["digest"])
     units = units.join(own, "digest")
     units = spread(units, "unit").sortWithinPartitions("unit", "digest")
     pairs = cut(units.mapInPandas(tidy(lambda batches: _similar(batches, width, similar)), "src binary, dst binary").distinct())
@@ -320,7 +322,7 @@ def substring_dedup(
     documents in which they stay, both empty where nothing was removed; such texts are
     unchanged, null ones too. Rows with the same id and text count as one document and are
     treated alike. An empty table gives an empty result; columns named as a new column
-    are replaced.
+    are replaced; ``__id``, ``__mark``, ``__met``, ``__cut``, ``__starts`` and ``__kept`` are working columns that ``df`` must not have.
 
     A run is found by its mark (``marks``), of which a text has one in some 13 words: marks
     that occur more than once go to all tasks as a bitmap (over ``most_marks`` of them by a
@@ -350,10 +352,7 @@ def substring_dedup(
     gone = cut(rebalanced(gone.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "removed", "kept_in")))
     drop(spark, made_path)
     drop(spark, counted_path)
-    # most documents have nothing to remove, and do not move
-    full = df.select(*[df[c] for c in names], key.alias("__id"), F.xxhash64(text_col).alias("__mark")).withColumn("__met", Sieve(gone, "__id", "__mark").passes("__id", "__mark"))
-    rest = full.where(~F.col("__met")).withColumns({c: F.lit(None).cast(gone.schema[c].dataType) for c in ("removed", "kept_in")})
-    full = full.where("__met").join(gone, ["__id", "__mark"], "left").select(*rest.columns).unionByName(rest)
+    full = _beside(df.select(*[df[c] for c in names], key.alias("__id"), F.xxhash64(text_col).alias("__mark")), gone, F.size("removed") + F.size("kept_in"))
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains(F.col("removed"), i))
     text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     id_type = kind.simpleString()
@@ -387,14 +386,26 @@ def _without_repeated_runs(left: DataFrame, names: list[str], text_col: str, kin
 
     @F.pandas_udf("text string, removed array<int>")
     def cut_out(text: pd.Series, removed: pd.Series, starts: pd.Series) -> pd.DataFrame:
-        rows = [without_runs(t, [int(x) for x in r], [int(x) for x in s], least) for t, r, s in zip(text, removed, starts)]
+        rows = [(None, None) if s is None else without_runs(t, [int(x) for x in r], [int(x) for x in s], least) for t, r, s in zip(text, removed, starts)]
         return pd.DataFrame(rows, columns=["text", "removed"])
 
-    full = left.withColumn("__met", Sieve(gone, "__id", "__mark").passes("__id", "__mark"))
-    columns = [*names, "removed", "kept_in"]
-    met = full.where("__met").join(gone, ["__id", "__mark"], "left")
-    clean = met.where(F.col("__starts").isNull()).select(*columns)
-    met = met.where(F.col("__starts").isNotNull()).withColumn("__cut", cut_out(F.col(text_col), F.col("removed"), F.col("__starts")))
+    full = _beside(left, gone, F.size("__starts") + F.size("__kept"))
+    here = F.col("__starts").isNotNull()
+    # texts that lose nothing do not go to a Python worker
+    full = full.withColumn("__cut", cut_out(F.when(here, F.col(text_col)), F.when(here, F.col("removed")), F.col("__starts")))
     new = {text_col: F.col("__cut.text"), "removed": F.col("__cut.removed"), "kept_in": F.array_sort(F.array_union("kept_in", "__kept"))}
-    met = met.select(*[new[c].alias(c) if c in new else F.col(c) for c in columns])
-    return full.where(~F.col("__met")).select(*columns).unionByName(clean).unionByName(met)
+    return full.select(*[F.when(here, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in [*names, "removed", "kept_in"]])
+
+
+def _beside(docs: DataFrame, gone: DataFrame, size: Column) -> DataFrame:
+    """``docs`` with what ``gone`` (already cut) has for their ``__id`` and ``__mark``, or nulls.
+
+    Few rows of few values, as ``size`` counts them, go to the tasks. Else documents that surely
+    have none, which are most, do not move to the join.
+    """
+    on = ["__id", "__mark"]
+    if (gone.agg(F.sum(size + 4)).first()[0] or 0) <= VALUES:
+        return docs.join(F.broadcast(gone), on, "left")
+    met = docs.withColumn("__met", Sieve(gone, *on).passes(*on))
+    rest = met.where(~F.col("__met")).withColumns({c: F.lit(None).cast(gone.schema[c].dataType) for c in gone.columns if c not in on}).drop("__met")
+    return met.where("__met").drop("__met").join(gone, on, "left").select(*rest.columns).unionByName(rest)

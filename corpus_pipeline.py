@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logweave.llm.exact_dedup import exact_dedup
 from logweave.llm.langid import UNKNOWN, fit, held_out, predict
 from logweave.llm.packing import pack
-from logweave.llm.shared import Sieve, cut, drop, keep_until_release, release, scratch_root
+from logweave.llm.shared import BROADCAST_ROWS, Sieve, cut, drop, keep_until_release, scope, scratch_root
 from logweave.llm.simhash import simhash_dedup
 from logweave.llm.substring_dedup import substring_dedup
 
@@ -60,13 +60,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row goes by its id and text together: other texts under one id, and all documents
     without an id, stay. Texts without words, null ones too, are copies of each other;
     repeated rows stay or go together; an empty table stays empty; columns named as the
-    operator's own keep their values.
+    operator's own keep their values; ``__id``, ``__mark`` and ``__met`` are working columns that ``docs`` must not have.
     """
     found = simhash_dedup(docs.select("doc_id", "text"), width=WIDTH, seeds=SEEDS, radius=RADIUS, exact=False, similar=SIMILAR)
     others = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__mark")).distinct())
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark"))
+    if others.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(others), same, "left_anti")
     # documents that surely stay do not move
     marked = docs.withColumn("__met", Sieve(others, "__id", "__mark").passes("doc_id", F.xxhash64("text")))
-    met = marked.where("__met").join(others, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__mark")), "left_anti")
+    met = marked.where("__met").join(others, same, "left_anti")
     return marked.where(~F.col("__met")).unionByName(met).select(*docs.columns)
 
 
@@ -103,17 +106,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written as Parquet in the shared folder and read back.
 
-    A stage's input and what its operators left are deleted when its result is written; the
-    last result stays until its reader calls ``shared.release``. An empty table gives an
+    A stage's input and what its operators left are deleted when its result is written, and
+    nothing else is: results that the caller holds keep their tables. The last
+    result stays until its reader calls ``shared.release``. An empty table gives an
     empty result; nulls, ties and repeated rows are as the stages have them.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        made = stage(spark, docs, sf_dir)
         path = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
-        made.write.parquet(path)
+        with scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)
-        release(spark)
         if before:
             drop(spark, before)
         before = path

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import cut, drop, if_small, rebalanced, small_batches, table, tidy
+from logweave.llm.shared import cut, drop, if_small, kept_for_a_task, rebalanced, small_batches, table, tidy
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -28,7 +27,7 @@ SWEEPS, SETTLED = 25, 1e-3
 STEPS = 40
 
 
-@functools.lru_cache(maxsize=2)
+@kept_for_a_task(maxsize=2)
 def encoder(vocabulary: str):
     """The vocabulary file's byte-level BPE.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,11 +39,26 @@ def batches_within(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+_kept: list = []
+
+
+def kept_for_a_task(maxsize: int) -> Callable:
+    """``functools.lru_cache`` whose values a worker forgets at the end of a task (``tidy``), since workers live on from stage to stage."""
+
+    def keep(function: Callable) -> Callable:
+        _kept.append(functools.lru_cache(maxsize=maxsize)(function))
+        return _kept[-1]
+
+    return keep
+
+
 def tidy(run: Callable) -> Callable:
-    """A function for ``mapInPandas``, after which the worker gives freed memory back: workers live on from stage to stage, and keep it otherwise."""
+    """A function for ``mapInPandas``, after which the worker gives memory back: workers live on from stage to stage, and keep it otherwise."""
 
     def tidied(batches: Iterator) -> Iterator:
         yield from run(batches)
+        for cache in _kept:
+            cache.cache_clear()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(AttributeError, OSError):  # only glibc has it
             ctypes.CDLL(None).malloc_trim(0)

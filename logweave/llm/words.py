@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 
+from logweave.llm.shared import kept_for_a_task
+
 #: Bytes of text that are taken together; a longer text is taken alone.
 TOGETHER = 1 << 18
 #: Bytes between words: those that ``bytes.split`` splits at.
@@ -32,7 +33,7 @@ def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return out
 
 
-@functools.lru_cache(maxsize=4)
+@kept_for_a_task(maxsize=4)
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1

@@ -76,13 +76,14 @@ def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60, once: bool = False) -> DataFrame:
     """The smallest node that each node of ``edges`` reaches: ``(node, root)``, without the roots themselves.
 
     Edges are kept as (node, smaller node). A round links a node's smaller neighbours to the
     smallest of them, then replaces each target by its own smallest neighbour, so paths
     halve. It ends when a round changes nothing, which is when every component is a star.
-    Null ends, loops and repeated edges count for nothing. Tables go to the shared folder;
+    Null ends, loops and repeated edges count for nothing. ``once``: the first half of a round
+    is written before the second reads it twice, for many edges; else it is computed twice, in one job. Tables go to the shared folder;
     the driver sees one row of checksums a round.
     """
     spark = edges.sparkSession
@@ -100,10 +101,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
         star = least.select("v", F.col("m").alias("p")).unionByName(
             state.join(several, "v").where(F.col("p") != F.col("m")).select(F.col("p").alias("v"), F.col("m").alias("p"))
         )
-        middle = star.distinct()
+        middle, written = table(star.distinct()) if once else (star.distinct(), None)
         up = middle.groupBy("v").agg(F.min("p").alias("up")).select(F.col("v").alias("p"), "up")
         jumped = middle.join(up, "p", "left").select("v", F.coalesce("up", "p").alias("p"))
         state, new = table(jumped.distinct())
+        if written:
+            drop(spark, written)
         drop(spark, path)
         path = new
     else:

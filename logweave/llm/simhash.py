@@ -284,7 +284,7 @@ def similar_texts(texts: DataFrame, df: DataFrame, text_col: str, radius: int, w
     pairs = cut(units.mapInPandas(tidy(lambda batches: _similar_texts(batches, radius, width, similar)), "src long, dst long").distinct())
     drop(spark, sizes_path)
     drop(spark, met_path)
-    return connected_components(pairs)
+    return connected_components(pairs, once=True)
 
 
 def simhash_dedup(
@@ -320,7 +320,7 @@ def simhash_dedup(
     nodes, nodes_path = table(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
     bits = 64 * len(seeds)
     tables = exact_tables(bits, radius, nodes.count()) if exact else sampled_tables(bits, radius)
-    roots = connected_components(links(nodes, radius, tables)).select(F.col("node").alias("fp"), "root")
+    roots = connected_components(links(nodes, radius, tables), once=True).select(F.col("node").alias("fp"), "root")
     if similar is None:
         named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
         key = "fp"

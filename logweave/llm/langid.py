@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm.linear import Row, scores, softmax, temperature, train
-from logweave.llm.shared import cut, hash_bound, small_batches, tidy
+from logweave.llm.shared import cut, hash_bound, in_small_batches, small_batches, tidy
 
 #: Buckets of the hashed n-grams, and the longest n.
 BUCKETS, LONGEST = 1 << 15, 3
@@ -74,6 +74,7 @@ class Model:
         return self.languages[best], float(p[best])
 
 
+@in_small_batches
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the languages in ``lang_col``, from rows where text and label are not null.
 
@@ -83,7 +84,6 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: i
     weights are fitted on them in one task.
     Of these a fifth sets the temperature. Without labelled rows every prediction is ``und``.
     """
-    small_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

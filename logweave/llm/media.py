@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.shared import cut, drop, small_batches, table, tidy
+from logweave.llm.shared import cut, drop, in_small_batches, table, tidy
 from logweave.llm.webp import decode_bytes, encode
 
 
@@ -66,6 +66,7 @@ def read(stored: DataFrame, id_col: str = "doc_id", pixels: bool = False) -> Dat
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
+@in_small_batches
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored as WebP in a table of the shared folder, read back and described: see ``read``.
 
@@ -73,7 +74,6 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other; other columns are not read; an empty table gives an empty result. Texts of more
     than a million bytes are several images, so memory follows one text. There is no shuffle.
     """
-    small_batches(df.sparkSession)
     stored, path = table(store(df, id_col, text_col))
     out = cut(read(stored, id_col))
     drop(df.sparkSession, path)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweave.llm.shared import cut, drop, if_small, kept_for_a_task, rebalanced, small_batches, table, tidy
+from logweave.llm.shared import cut, drop, if_small, in_small_batches, kept_for_a_task, rebalanced, table, tidy
 
 #: Tokens of a sequence.
 SEQUENCE = 2048
@@ -194,6 +194,7 @@ def runs(packed: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {length: tuple(np.array(c, np.int64) for c in zip(*own)) for length, own in found.items()}
 
 
+@in_small_batches
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, vocabulary: str = VOCABULARY, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset, and ``ids`` if asked for.
 
@@ -211,7 +212,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     ``patterns`` and one or two a length from the best fit, whatever the number of documents.
     """
     spark = df.sparkSession
-    small_batches(spark)
     made, path = table(pieces(df, id_col, text_col, size, vocabulary, keep_ids))
     counts = cut(made.groupBy("length", "part").agg(F.count("*").alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -23,7 +23,11 @@ BATCH = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets few bytes go to a Python worker at a time, so that its memory does not follow the length of the texts."""
+    """Lets few bytes go to a Python worker at a time, so that its memory does not follow the length of the texts.
+
+    For operators whose result is computed by its reader, which the session's setting has to
+    outlive; operators that compute theirs themselves take ``in_small_batches``.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
@@ -39,6 +43,17 @@ def batches_within(spark: SparkSession, size: int = BATCH) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def in_small_batches(operator: Callable) -> Callable:
+    """An operator of a DataFrame, computed in ``batches_within``."""
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **options):
+        with batches_within(df.sparkSession):
+            return operator(df, *args, **options)
+
+    return run
+
+
 _kept: list = []
 
 

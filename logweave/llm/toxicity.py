@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm.langid import _letters
 from logweave.llm.linear import Row, probability, train
-from logweave.llm.shared import cut, hash_bound, small_batches, tidy
+from logweave.llm.shared import cut, hash_bound, in_small_batches, small_batches, tidy
 
 #: Buckets of the hashed features; letters of a word's beginning that are features beside the word.
 BUCKETS, BEGINNINGS = 1 << 18, (3, 4, 5, 6)
@@ -115,6 +115,7 @@ def fit_chain(rows: list[Row], targets: list[list[int]], categories: list[str],
     return Chain(categories, weights, thresholds)
 
 
+@in_small_batches
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """A chain over ``categories``, 0/1 columns of ``labels``, in their order.
 
@@ -125,7 +126,6 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
     the order of their hashes. Without labels
     every probability is 0.
     """
-    small_batches(docs.sparkSession)
     full = labels.where(F.col(id_col).isNotNull())
     for c in categories:
         full = full.where(F.col(c).isNotNull())

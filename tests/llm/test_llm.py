@@ -228,14 +228,35 @@ def test_similar_texts_in_parts(spark, most):
 
 def test_sampled_tables_recall_at_the_radius():
     draw = np.random.default_rng(4)
-    for bits, radius in ((256, 48), (256, 56)):
-        tables = np.array(simhash.sampled_tables(bits, radius))
+    for bits, radius, n in ((256, 48, 0), (256, 56, 0), (256, 56, 3_000_000)):
+        tables = np.array(simhash.sampled_tables(bits, radius, n))
         differs = np.zeros((3000, bits), bool)
         for row in differs:
             row[draw.choice(bits, radius, replace=False)] = True
         assert (~differs[:, tables].any(axis=2)).any(axis=1).mean() >= 0.98
 
 
+def test_sampled_tables_grow_with_the_fingerprints():
+    def compared(n):
+        tables = simhash.sampled_tables(256, 56, n)
+        return len(tables) * n * n / 2 ** len(tables[0])
+
+    assert simhash.sampled_tables(256, 56, 1000) == simhash.sampled_tables(256, 56)
+    for n in (10**6, 10**7, 10**8):
+        assert n / 2 ** len(simhash.sampled_tables(256, 56, n)[0]) <= simhash.SAMPLED_SHARD
+    assert np.log2(compared(1 << 30) / compared(1 << 20)) / 10 < 1.4
+
+
+def test_operators_put_the_batch_size_back(spark):
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(1, "one two", "en"), (2, None, None)], "doc_id long, text string, lang string")
+    before = spark.conf.get(key, None)
+    for operator in (simhash.simhash_dedup, media_columns, packing.pack, langid.fit):
+        spark.conf.set(key, "12345678")
+        operator(docs)
+        assert spark.conf.get(key) == "12345678"
+    spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (200, 201), (201, 200), (300, 299), (299, 298), (298, 500), (500, 41000)]
     found = {r["node"]: r["root"] for r in shared.connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from logweave.llm.exact_dedup import exact_dedup
 from logweave.llm.langid import UNKNOWN, fit, held_out, predict
 from logweave.llm.packing import pack
-from logweave.llm.shared import BROADCAST_ROWS, Sieve, cut, drop, keep_until_release, scope, scratch_root
+from logweave.llm.shared import BROADCAST_ROWS, Sieve, batches_within, cut, drop, keep_until_release, scope, scratch_root
 from logweave.llm.simhash import simhash_dedup
 from logweave.llm.substring_dedup import substring_dedup
 
@@ -107,14 +107,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written as Parquet in the shared folder and read back.
 
     A stage's input and what its operators left are deleted when its result is written, and
-    nothing else is: results that the caller holds keep their tables. The last
+    nothing else is: results that the caller holds keep their tables, and the session its settings. The last
     result stays until its reader calls ``shared.release``. An empty table gives an
     empty result; nulls, ties and repeated rows are as the stages have them.
     """
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         path = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}"
-        with scope(spark):
+        with scope(spark), batches_within(spark):
             made = stage(spark, docs, sf_dir)
             made.write.parquet(path)
         docs = spark.read.schema(made.schema).parquet(path)

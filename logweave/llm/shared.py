@@ -18,8 +18,8 @@ from logweave.operators.storage import settled as cut  # noqa: F401
 
 #: Rows of a narrow relation (some tens of bytes a row) that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Bytes of texts that go to a Python worker at a time; larger batches leave buffers beside the heap, which executors do not give back.
-BATCH = 1 << 20
+#: Bytes of texts that go to a Python worker at a time.
+BATCH = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -8,7 +8,8 @@ import numpy as np
 
 from logweave.functions.graphs import Graphs
 from logweave.functions.patterns import PatternSet
-from logweave.functions.scan import CODES
+from logweave.functions.regex_dfa import Dfa
+from logweave.functions.scan import CODES, scan
 
 #: Characters that are told apart: those of the alphabet, and 0 for all others.
 LETTERS = int(CODES.max()) + 1
@@ -53,6 +54,20 @@ class Bound:
         """``MASSES`` sums for each line; the differences of two lines' sums are together at most their distance."""
         return self.counts(lines) @ self.mass_of
 
+    def seen(self, lines: Sequence[str], dfas: dict[str, Dfa]) -> np.ndarray:
+        """The patterns that each line matches, as bits."""
+        at = self.names.index("any")
+        out = np.full(len(lines), 1 << at if at < LOOKED_AT else 0, np.int64)
+        for name, (line, _, _) in scan(lines, dfas, "largest").items():
+            if self.names.index(name) < LOOKED_AT:
+                out[line] |= 1 << self.names.index(name)
+        return out
+
+    def weights_of_seen(self, both: int) -> np.ndarray:
+        """What each character weighs for two lines that both match these patterns."""
+        kept = [i for i in range(len(self.names)) if i >= LOOKED_AT or both >> i & 1]
+        return self.weights_of[kept].min(axis=0, initial=1.0)
+
     def least(self, g: Graphs, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A lower bound of the cost for pairs of the lines of ``g``, by the patterns that both lines match."""
         number = np.array([self.names.index(x) for x in g.names])
@@ -63,8 +78,7 @@ class Bound:
         both = present[a] & present[b]
         for mask in np.unique(both).tolist():
             rows = np.flatnonzero(both == mask)
-            kept = [i for i in range(len(self.names)) if i >= LOOKED_AT or mask >> i & 1]
-            weights = self.weights_of[kept].min(axis=0, initial=1.0)
+            weights = self.weights_of_seen(mask)
             for part in np.array_split(rows, 1 + len(rows) * LETTERS // (1 << 20)):
                 out[part] = np.abs(counts[a[part]] - counts[b[part]]) @ weights
         # sums of many terms may round up

@@ -12,29 +12,33 @@ from pyspark.sql import functions as F
 from logweave.functions.bounds import MASSES, Bound
 from logweave.functions.distances import PairDistances
 from logweave.functions.graphs import graphs
+from logweave.functions.near import ALL, Near
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
 from logweave.functions.text import automaton, normalised_distance
 from logweave.operators.automaton import automata
 from logweave.operators.storage import drop, new_path, settled, table, tasks
 
-#: Undecided lines of a cell that a round settles at first; leaders that may be broadcast; bytes of their lines that may.
-BLOCK, FEW, FEW_BYTES = 16, 20_000, 16 << 20
+#: Undecided lines of a cell that a round settles at first; leaders that may go to every task; bytes of their lines that may.
+BLOCK, FEW, FEW_BYTES = 64, 50_000, 16 << 20
+#: Near pairs for each line of a round up to which the next one takes more lines, and times as many.
+DENSE, GROWTH = 16, 8
 #: Signs of the masses in the second coordinate of a cell.
 SIGNS = [1, -1, -1, 1, 1, -1, 1, -1]
 
 Leader = tuple[int, str]
 
-PREPARED = "line_id long, last long, line string, size long, kind int, " + ", ".join(f"m{k} double" for k in range(MASSES))
+NEAR = "line_id long, leader long, d double"
+PREPARED = "line_id long, last long, line string, size long, kind int, seen long, " + ", ".join(f"m{k} double" for k in range(MASSES))
 
 
 def prepared(lines: DataFrame, patterns: PatternSet) -> tuple[DataFrame, str]:
-    """Distinct lines, as a table and its path: first and last id, length, its number of bits, and the masses of ``Bound``."""
-    bound = Bound(patterns)
+    """Distinct lines, as a table and its path: first and last id, length, its number of bits, and the patterns and masses of ``Bound``."""
+    bound, dfas = Bound(patterns), patterns.dfas()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             size = b["line"].str.len()
-            own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()]}
+            own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()], "seen": bound.seen(b["line"].tolist(), dfas)}
             yield pd.DataFrame(own | {f"m{k}": m for k, m in enumerate(bound.masses(b["line"].tolist()).T)})
 
     distinct = lines.groupBy("line").agg(F.min("line_id").alias("line_id"), F.max("line_id").alias("last"))
@@ -105,7 +109,30 @@ def near_pairs(pairs: DataFrame, patterns: PatternSet, threshold: float) -> Data
             near = np.flatnonzero(d == d)
             yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[near], "leader": b["leader"].to_numpy()[near], "d": d[near]})
 
-    return pairs.mapInPandas(run, "line_id long, leader long, d double")
+    return pairs.mapInPandas(run, NEAR)
+
+
+def near(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float, until: str | None = None, free: str | None = None, kinds: list[int] | None = None) -> DataFrame:
+    """``(line_id, leader, d)``: prepared leaders closer to prepared lines than the threshold, those with an id below the column ``until`` of the lines.
+
+    Leaders below the column ``free`` are open to all rows of a line; of these, and those after
+    them, it is enough to have the closest. Few leaders go to the tasks, which hold the lines
+    against all of them where they are; of more each pair that meets in a cell is compared.
+    """
+    n, size, _ = _seen(leaders)
+    if n > FEW or size > FEW_BYTES:
+        return near_pairs(candidate_pairs(lines, leaders, threshold, None if until is None else F.col("leader") < F.col(until), kinds), patterns, threshold)
+    known = leaders.select("line_id", "line").orderBy("line_id").collect()
+    numbers, texts = [r["line_id"] for r in known], [r["line"] for r in known]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Near(numbers, texts, patterns, threshold)
+        for b in batches:
+            i, leader, d = of(b["line"].tolist(), b["seen"].to_numpy(), b["until"].to_numpy(), b["free"].to_numpy())
+            yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[i], "leader": leader, "d": d})
+
+    bounds = [(F.lit(other) if c is None else F.col(c)).cast("long").alias(to) for c, other, to in ((until, ALL, "until"), (free, -ALL, "free"))]
+    return lines.select("line_id", "line", "seen", *bounds).mapInPandas(run, NEAR)
 
 
 def independent(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, str]:
@@ -141,21 +168,27 @@ def _first_in_cells(left: DataFrame, threshold: float, most: int) -> tuple[int,
     return tuple(ranked.agg(F.count("*"), F.min(F.when(F.col("rank") == most, F.col("line_id")))).first())
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """Lines of a table for work that takes long on few of them."""
+    return df.repartition(tasks(df))
+
+
 def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The leaders among prepared ``lines``, as prepared lines; ``(line_id, leader, d)``, all leaders below the threshold of each line that are smaller than its last id; and paths to drop.
+    """The leaders among prepared ``lines``, as prepared lines; ``(line_id, leader, d)``, leaders below the threshold of each line that are smaller than its last id, without some that are further away than one smaller than its first; and paths to drop.
 
     A leader is a line that no leader with a smaller id is closer to than the threshold. A
     round takes the undecided lines up to the id at which some cell has ``block`` of them,
     so it holds a few of each dense cell and all of sparse ones; finds the pairs among
     them that are near, and of these lines the leaders as an independent set; and compares all
     lines with these leaders, each pair of line and leader once in all rounds. What they reach
-    is decided. Blocks grow while most of their lines are leaders, so rounds stay few. The
-    driver sees an id and a few counts a round.
+    is decided. Blocks grow while few of their lines are near each other, so rounds stay few
+    where leaders are many. The driver sees an id and a few counts a round, and leaders that
+    are few enough to go to the tasks.
     """
     spark = lines.sparkSession
     leaders_path, near_path = new_path(spark, "leaders"), new_path(spark, "near")
     spark.createDataFrame([], PREPARED).write.parquet(f"{leaders_path}/round-0")
-    spark.createDataFrame([], "line_id long, leader long, d double").write.parquet(near_path)
+    spark.createDataFrame([], NEAR).write.parquet(near_path)
     kinds = _seen(lines)[2]
     left, left_path, number = lines, None, 0
     while True:
@@ -164,35 +197,34 @@ def find_leaders(lines: DataFrame, patterns: PatternSet, threshold: float, block
             break
         number += 1
         own, own_path = table(left if last is None else left.where(F.col("line_id") <= last))
-        inner, inner_path = table(near_pairs(candidate_pairs(own, own, threshold, F.col("leader") < F.col("line_id"), kinds), patterns, threshold))
+        inner, inner_path = table(near(_dealt(own), own, patterns, threshold, until="line_id", kinds=kinds))
         chosen, chosen_path = independent(own, inner)
         own.join(chosen, "line_id", "left_semi").write.parquet(f"{leaders_path}/round-{number}")
         new = spark.read.schema(PREPARED).parquet(f"{leaders_path}/round-{number}")
-        near_pairs(candidate_pairs(lines, new, threshold, F.col("leader") < F.col("last"), kinds), patterns, threshold).write.mode("append").parquet(near_path)
-        if 2 * new.count() > own.count():
-            block *= 4
-        near = spark.read.schema("line_id long, leader long, d double").parquet(near_path)
+        near(lines, new, patterns, threshold, until="last", free="line_id", kinds=kinds).write.mode("append").parquet(near_path)
+        if inner.count() <= DENSE * own.count():
+            block = max(block, min(block * GROWTH, FEW // 2))
+        found = spark.read.schema(NEAR).parquet(near_path)
         for done in (own_path, inner_path, chosen_path):
             drop(spark, done)
         if last is None:
             break
-        covered = near.where(F.col("leader") < F.col("line_id")).select("line_id").distinct()
+        covered = found.where(F.col("leader") < F.col("line_id")).select("line_id").distinct()
         rest, rest_path = table(left.where(F.col("line_id") > last).join(covered, "line_id", "left_anti"))
         if left_path:
             drop(spark, left_path)
         left, left_path = rest, rest_path
     if left_path:
         drop(spark, left_path)
-    near = spark.read.schema("line_id long, leader long, d double").parquet(near_path)
     leaders = spark.read.schema(PREPARED).option("recursiveFileLookup", "true").parquet(leaders_path)
-    return leaders, near, [leaders_path, near_path]
+    return leaders, spark.read.schema(NEAR).parquet(near_path), [leaders_path, near_path]
 
 
-def nearest_leaders(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float) -> DataFrame:
-    """``(line, stairs)`` for distinct lines: (leader, distance) of ``leaders(leader, line)`` below the threshold, in the order of their numbers."""
+def nearest_leaders(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold: float, closest: bool = False) -> DataFrame:
+    """``(line, stairs)`` for distinct lines: (leader, distance) of ``leaders(leader, line)`` below the threshold, in the order of their numbers; if ``closest``, further ones may be missing."""
     own, own_path = prepared(lines, patterns)
     theirs, theirs_path = prepared(leaders.select(F.col("leader").alias("line_id"), "line"), patterns)
-    found, found_path = table(near_pairs(candidate_pairs(own, theirs, threshold), patterns, threshold))
+    found, found_path = table(near(own.withColumn("free", F.lit(ALL)), theirs, patterns, threshold, free="free" if closest else None))
     out = settled(own.select("line_id", "line").join(stairs_of(found), "line_id").select("line", "stairs"))
     for done in (own_path, theirs_path, found_path):
         drop(lines.sparkSession, done)
@@ -213,7 +245,7 @@ def nearest_representative(lines: DataFrame, leaders: DataFrame | list[Leader],
     """``(line_id, leader, d)``: the closest of ``leaders(line_id, line)`` below the threshold, of equals the first; null if there is none."""
     if isinstance(leaders, list):
         leaders = lines.sparkSession.createDataFrame(leaders, "line_id long, line string")
-    stairs = nearest_leaders(lines, leaders.select(F.col("line_id").alias("leader"), "line"), patterns or PatternSet.default(), threshold)
+    stairs = nearest_leaders(lines, leaders.select(F.col("line_id").alias("leader"), "line"), patterns or PatternSet.default(), threshold, closest=True)
     best = _closest("stairs")
     return lines.join(stairs, "line", "left").select("line_id", best["leader"].alias("leader"), best["d"].alias("d"))
 

@@ -16,6 +16,7 @@ from logweave.functions.near import ALL, Near
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
 from logweave.functions.text import automaton, normalised_distance
 from logweave.operators.automaton import automata
+from logweave.operators.matching import CHARACTERS, LINES, pieces
 from logweave.operators.storage import drop, new_path, settled, table, tasks
 
 #: Undecided lines of a cell that a round settles at first; leaders that may go to every task; bytes of their lines that may.
@@ -36,7 +37,7 @@ def prepared(lines: DataFrame, patterns: PatternSet) -> tuple[DataFrame, str]:
     bound, dfas = Bound(patterns), patterns.dfas()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in pieces(batches):
             size = b["line"].str.len()
             own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()], "seen": bound.seen(b["line"].tolist(), dfas)}
             yield pd.DataFrame(own | {f"m{k}": m for k, m in enumerate(bound.masses(b["line"].tolist()).T)})
@@ -127,7 +128,7 @@ def near(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Near(numbers, texts, patterns, threshold)
-        for b in batches:
+        for b in pieces(batches, 4 * LINES, 4 * CHARACTERS):
             i, leader, d = of(b["line"].tolist(), b["seen"].to_numpy(), b["until"].to_numpy(), b["free"].to_numpy())
             yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[i], "leader": leader, "d": d})
 

@@ -74,8 +74,12 @@ class Bound:
         low = number[g.name] < LOOKED_AT
         present = np.full(len(g.lines), 1 << self.names.index("any") if self.names.index("any") < LOOKED_AT else 0)
         np.bitwise_or.at(present, g.line[low], 1 << number[g.name[low]])
-        counts, out = self.counts(g.lines), np.zeros(len(a))
-        both = present[a] & present[b]
+        return self.least_of_seen(g.lines, present, a, b)
+
+    def least_of_seen(self, lines: Sequence[str], seen: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same for pairs of ``lines``, whose patterns are known as ``seen`` gives them."""
+        counts, out = self.counts(lines), np.zeros(len(a))
+        both = seen[a] & seen[b]
         for mask in np.unique(both).tolist():
             rows = np.flatnonzero(both == mask)
             weights = self.weights_of_seen(mask)

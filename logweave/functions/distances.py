@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 
 from logweave.functions.graphs import Graphs
+from logweave.functions.scan import CODES
 from logweave.functions.text import Automaton, pattern_distance
 
 #: Bytes of the tables of characters, pairs of vertices, and pairs of arcs that are taken together.
@@ -76,10 +77,12 @@ class PairDistances:
 
     The product of two graphs is passed in the order of the first one's vertices, all pairs
     of a group of lines at once: a row holds the least costs at a vertex of the first line
-    and all of the second.
+    and all of the second. ``weights`` of characters, where they are given, are what each costs
+    at least that only one of two lines has (``Bound``): steps between places whose
+    characters before and after differ by the limit are left out.
     """
 
-    def __init__(self, g: Graphs, densities: Mapping[str, float]):
+    def __init__(self, g: Graphs, densities: Mapping[str, float], weights: np.ndarray | None = None):
         self.g, self.known = g, dict(densities)
         self.size = np.array([len(x) for x in g.lines], np.int64)
         self.vertices, _ = g.counts()
@@ -106,6 +109,13 @@ class PairDistances:
         self.back[into, column] = out_of - self.first[g.vertex_line[into]]
         self.gap[into, column] = g.vertex[into] - g.vertex[out_of]
         self._automata: list[Automaton] | None = None
+        self.mass = None
+        if weights is not None:
+            points = np.frombuffer("".join(g.lines).encode("utf-32-le", "surrogatepass"), "<u4")
+            sums = np.concatenate([[0.0], np.cumsum(weights[np.where(points < 128, CODES[points & 127], 0)])])
+            offset = np.cumsum(self.size) - self.size
+            self.mass = sums[offset + self.size] - sums[offset]
+            self.before, self.after = sums[offset[line] + g.src[by]] - sums[offset[line]], sums[(offset + self.size)[line]] - sums[offset[line] + g.dst[by]]
 
     def __call__(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """The least cost of a common path through both automata of each pair; NaN if it is not below its limit."""
@@ -142,8 +152,13 @@ class PairDistances:
         y = self.start[b].ravel()[cell] + place % width
         pair, density = cell // names, np.tile(self.density, len(a))[cell]
         s, t = self.infix[x], self.infix[y]
-        near = np.abs(self.length[s] - self.length[t]) * density < limit[pair]
-        pair, x, y, s, t, density = (v[near] for v in (pair, x, y, s, t, density))
+        least, most = np.abs(self.length[s] - self.length[t]) * density, limit[pair]
+        if self.mass is not None and (limit < self.mass[a] + self.mass[b]).any():
+            least += np.abs(self.before[x] - self.before[y]) + np.abs(self.after[x] - self.after[y])
+            least -= 1e-6 + 1e-9 * least  # long sums are rounded
+        near = least < most
+        if not near.all():
+            pair, x, y, s, t, density = (v[near] for v in (pair, x, y, s, t, density))
         cost = np.zeros(len(pair))
         differ = np.flatnonzero(s != t)
         which, both = pd.factorize(s[differ] * len(self.strings) + t[differ])

@@ -114,7 +114,7 @@ class Near:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(i):
             mine, theirs = np.unique(i), np.unique(j)
-            of = PairDistances(graphs([*(lines[k] for k in mine), *(self.leaders[k] for k in theirs)], self.patterns, self.dfas), self.densities)
+            of = PairDistances(graphs([*(lines[k] for k in mine), *(self.leaders[k] for k in theirs)], self.patterns, self.dfas), self.densities, self.bound.weights)
             order = np.lexsort((low, i))
             i, j, low = i[order], j[order], low[order]
             best, turn = np.full(len(lines), np.inf), 1

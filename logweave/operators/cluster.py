@@ -106,7 +106,7 @@ def near_pairs(pairs: DataFrame, patterns: PatternSet, threshold: float) -> Data
             rows = np.flatnonzero(bound.least(g, x, y) < threshold * norm)
             d = np.full(len(b), np.nan)
             if len(rows):
-                d[rows] = PairDistances(g, densities)(x[rows], y[rows], threshold * norm[rows]) / norm[rows]
+                d[rows] = PairDistances(g, densities, bound.weights)(x[rows], y[rows], threshold * norm[rows]) / norm[rows]
             near = np.flatnonzero(d == d)
             yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[near], "leader": b["leader"].to_numpy()[near], "d": d[near]})
 

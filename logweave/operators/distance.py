@@ -10,12 +10,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logweave.functions.bounds import Bound
 from logweave.functions.distances import PairDistances, lcs_distances, lcs_lengths
 from logweave.functions.graphs import graphs
 from logweave.functions.patterns import PatternSet
 
 #: Costs from here on count as out of reach.
 INFINITY = 100_000.0
+#: Pairs whose automata are held at a time.
+TOGETHER = 4096
 
 
 def _of_pairs(a: pd.Series, b: pd.Series, measure: Callable[[list[str], np.ndarray, np.ndarray], np.ndarray]) -> tuple[pd.Series, np.ndarray]:
@@ -57,13 +60,23 @@ def lcs_distance(a: Column, b: Column) -> Column:
 def pattern_distance(a: Column, b: Column, patterns: PatternSet | None = None, normalized: bool = False, limit: float = INFINITY) -> Column:
     """Pattern distance of two lines; null if a side is, and where the cost reaches ``limit`` (times the summed lengths if normalised)."""
     patterns = patterns or PatternSet.default()
-    dfas, densities = patterns.dfas(), patterns.densities()
+    dfas, densities, bound = patterns.dfas(), patterns.densities(), Bound(patterns)
 
     def measure(lines: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        of = PairDistances(graphs(lines, patterns, dfas), densities)
-        norm = (of.size[i] + of.size[j]).astype(float) if normalized else np.ones(len(i))
+        size = np.array([len(x) for x in lines], np.int64)
+        norm = (size[i] + size[j]).astype(float) if normalized else np.ones(len(i))
         # two empty lines have no normalised distance: their limit is 0
-        return of(i, j, limit * norm) / np.where(norm > 0, norm, 1.0)
+        most, out = limit * norm, np.full(len(i), np.nan)
+        # whole lines cost their lengths at most, so only lower limits are worth a bound
+        low = most <= size[i] + size[j]
+        near = ~low
+        near[low] = bound.least_of_seen(lines, bound.seen(lines, dfas), i[low], j[low]) < most[low] if low.any() else False
+        for rows in np.split(np.flatnonzero(near), np.arange(TOGETHER, int(near.sum()), TOGETHER)):
+            if len(rows):
+                own, at = np.unique(np.concatenate([i[rows], j[rows]]), return_inverse=True)
+                of = PairDistances(graphs([lines[k] for k in own.tolist()], patterns, dfas), densities, bound.weights)
+                out[rows] = of(at[: len(rows)], at[len(rows) :], most[rows])
+        return out / np.where(norm > 0, norm, 1.0)
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

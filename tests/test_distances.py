@@ -71,3 +71,26 @@ def test_columns(spark):
         g, h = (text.automaton(w, default) for w in (x, y))
         assert (r["n"], r["d"]) == (text.lcs_length(x, y), text.lcs_distance(x, y))
         assert r["p"] == text.pattern_distance(g, h, default.densities()) and r["q"] == text.normalised_distance(g, h, default.densities(), 0.1)
+
+
+def test_limits_leave_out_pairs_before_their_automata_are_made(spark, monkeypatch):
+    """Only pairs whose characters allow a distance below the limit are computed; the others' lines get no automata."""
+    from pyspark.sql import functions as F
+
+    from logweave.operators import distance
+
+    rows = [(i, f"2024-01-01 00:00:{i:02d} user={i} {'view' if i % 2 else 'error'} {i}.50", f"2024-01-01 00:01:{i:02d} user={i + 1} view {i}.25") for i in range(20)] + [(20, "", ""), (21, None, "a"), (22, "1.2.3.4 a", "1.2.3.5 a")]
+    frame = spark.createDataFrame(rows, "i long, a string, b string")
+    whole = {r["i"]: r["d"] for r in frame.select("i", distance.pattern_distance(F.col("a"), F.col("b"), normalized=True).alias("d")).collect()}
+    below = {r["i"]: r["d"] for r in frame.select("i", distance.pattern_distance(F.col("a"), F.col("b"), normalized=True, limit=0.05).alias("d")).collect()}
+    assert below == {i: d if d is not None and d < 0.05 else None for i, d in whole.items()}
+    made = []
+    graphs = distance.graphs
+    monkeypatch.setattr(distance, "graphs", lambda lines, *a: made.extend(lines) or graphs(lines, *a))
+    import pandas as pd
+
+    own = {}
+    monkeypatch.setattr(distance.F, "pandas_udf", lambda kind: lambda f: lambda a, b: own.setdefault("run", f))
+    distance.pattern_distance(F.col("a"), F.col("b"), normalized=True, limit=0.05)
+    own["run"](pd.Series([r[1] for r in rows]), pd.Series([r[2] for r in rows]))
+    assert made and not any("error" in x for x in made)

@@ -94,6 +94,7 @@ class PairDistances:
         by = np.lexsort((dst, g.name, g.line))
         line, name = g.line[by], g.name[by]
         self.src, self.dst = (x[by] - self.first[line] for x in (src, dst))
+        self.name, self.place = name, g.src[by]
         self.count = np.bincount(line * names + name, minlength=len(g.lines) * names).reshape(-1, names)
         self.start = (np.cumsum(self.count) - self.count.ravel()).reshape(-1, names)
         seen: dict[str, int] = {}
@@ -102,12 +103,7 @@ class PairDistances:
         self.length = np.array([len(s) for s in self.strings], np.int64)
         self.density = np.array([self.known.get(x, 1.0) for x in g.names])
         # a column for each arc into a vertex, whatever its name: where it comes from and how long it is
-        into, out_of = np.divmod(np.unique(dst * len(keys) + src), max(1, len(keys)))
-        column = np.arange(len(into)) - np.searchsorted(into, into)
-        self.back = np.full((len(keys), 1 + int(column.max(initial=-1))), -1, np.int64)
-        self.gap = np.full(self.back.shape, np.inf)
-        self.back[into, column] = out_of - self.first[g.vertex_line[into]]
-        self.gap[into, column] = g.vertex[into] - g.vertex[out_of]
+        self.back, self.gap = self._into(src, dst)
         self._automata: list[Automaton] | None = None
         self.mass = None
         if weights is not None:
@@ -117,6 +113,31 @@ class PairDistances:
             self.mass = sums[offset + self.size] - sums[offset]
             self.before, self.after = sums[offset[line] + g.src[by]] - sums[offset[line]], sums[(offset + self.size)[line]] - sums[offset[line] + g.dst[by]]
 
+    def _into(self, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g, keys = self.g, len(self.g.vertex)
+        into, out_of = np.divmod(np.unique(dst * keys + src), max(1, keys))
+        column = np.arange(len(into)) - np.searchsorted(into, into)
+        back = np.full((keys, 1 + int(column.max(initial=-1))), -1, np.int64)
+        gap = np.full(back.shape, np.inf)
+        back[into, column] = out_of - self.first[g.vertex_line[into]]
+        gap[into, column] = g.vertex[into] - g.vertex[out_of]
+        return back, gap
+
+    def turned(self) -> tuple[np.ndarray, np.ndarray]:
+        """``back`` and ``gap`` of the same graphs from their ends, vertices counted from the last one of each line."""
+        line = np.repeat(np.arange(len(self.vertices)), self.vertices)
+        at = np.arange(len(line)) - self.first[line]
+        row, column = np.nonzero(self.back >= 0)
+        end = self.vertices[line[row]] - 1
+        into, out_of = self.first[line[row]] + end - self.back[row, column], end - at[row]
+        order = np.argsort(into, kind="stable")
+        into, out_of, length = into[order], out_of[order], self.gap[row, column][order]
+        place = np.arange(len(into)) - np.searchsorted(into, into)
+        back = np.full((len(line), 1 + int(place.max(initial=-1))), -1, np.int64)
+        gap = np.full(back.shape, np.inf)
+        back[into, place], gap[into, place] = out_of, length
+        return back, gap
+
     def __call__(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """The least cost of a common path through both automata of each pair; NaN if it is not below its limit."""
         out = np.full(len(a), np.nan)
@@ -141,7 +162,7 @@ class PairDistances:
             out[own] = self._group(a[own], b[own], limit[own])
         return np.where(out < limit, out, np.nan)
 
-    def _joint(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
+    def joint(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, ...]:
         """All pairs of arcs of one name that cost less than the limit: (pair, first arc, second arc, cost)."""
         names = self.count.shape[1]
         each = (self.count[a] * self.count[b]).ravel()
@@ -167,28 +188,32 @@ class PairDistances:
         return pair, x, y, cost
 
     def _group(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        pair, x, y, cost = self._joint(a, b, limit)
+        pair, x, y, cost = self.joint(a, b, limit)
+        best = self.passed(a, b, pair, self.src[x], self.src[y], self.dst[x], self.dst[y], cost, self.back, self.gap)
+        return best[self.vertices[a] - 1, self.vertices[b] - 1, np.arange(len(a))]
+
+    def passed(self, a: np.ndarray, b: np.ndarray, pair: np.ndarray, s1: np.ndarray, s2: np.ndarray, d1: np.ndarray, d2: np.ndarray, cost: np.ndarray, back_of: np.ndarray, gap_of: np.ndarray) -> np.ndarray:
+        """The least costs of paths to each pair of vertices: (vertex of the first line, vertex of the second, pair); common steps go from ``(s1, s2)`` to ``(d1, d2)``."""
         n, high, wide = len(a), int(self.vertices[a].max()), int(self.vertices[b].max())
-        to = self.dst[x]
-        order = np.argsort(to.astype(np.int16) if high < 1 << 15 else to, kind="stable")
-        bounds = np.searchsorted(to[order], np.arange(high + 1))
+        order = np.argsort(d1.astype(np.int16) if high < 1 << 15 else d1, kind="stable")
+        bounds = np.searchsorted(d1[order], np.arange(high + 1))
         # rows are (vertex of the first line, vertex of the second, pair): what one operation takes lies together
         best = np.full((high, wide, n), np.inf)
         best[0, 0] = 0.0
         every = np.arange(n)
-        source = ((self.src[x] * wide + self.src[y]) * n + pair)[order]
-        target = (self.dst[y] * n + pair)[order]
+        source = ((s1 * wide + s2) * n + pair)[order]
+        target = (d2 * n + pair)[order]
         cost = cost[order]
         columns = []
         for k in range(1, wide):
             at = self.first[b] + np.minimum(k, self.vertices[b] - 1)
-            columns.append([(back, gap) for back, gap in zip(self.back[at].T, np.where((k < self.vertices[b])[:, None], self.gap[at], np.inf).T) if np.isfinite(gap).any()])
+            columns.append([(back, gap) for back, gap in zip(back_of[at].T, np.where((k < self.vertices[b])[:, None], gap_of[at], np.inf).T) if np.isfinite(gap).any()])
         flat = best.reshape(-1)
         for i in range(high):
             row = best[i]
             if i:
                 at = self.first[a] + np.minimum(i, self.vertices[a] - 1)
-                for back, gap in zip(self.back[at].T, np.where((i < self.vertices[a])[:, None], self.gap[at], np.inf).T):
+                for back, gap in zip(back_of[at].T, np.where((i < self.vertices[a])[:, None], gap_of[at], np.inf).T):
                     if np.isfinite(gap).any():
                         np.minimum(row, best[back, :, every].T + gap, out=row)
                 here = slice(bounds[i], bounds[i + 1])
@@ -196,4 +221,4 @@ class PairDistances:
             for k, arcs in enumerate(columns, 1):
                 for back, gap in arcs:
                     np.minimum(row[k], row[back, every] + gap, out=row[k])
-        return best[self.vertices[a] - 1, self.vertices[b] - 1, every]
+        return best

@@ -12,9 +12,12 @@ from logweave.functions.distances import PairDistances, lcs_distances
 from logweave.functions.graphs import graphs
 from logweave.functions.patterns import PatternSet
 from logweave.functions.scan import CODES
+from logweave.functions.shapes import Lines, Shapes
 
 #: Lines and leaders whose characters are compared in one array; lines whose exact distances are taken together.
 ROWS, COLUMNS, TOGETHER = 512, 2048, 2048
+#: Leaders that lines may be held against by their shapes alone, lines that are taken together then, and pairs there are at least for each pair of shapes.
+FEW, MANY, EACH = 64, 8192, 16
 #: Beyond all numbers of leaders.
 ALL = np.iinfo(np.int64).max
 
@@ -22,7 +25,7 @@ ALL = np.iinfo(np.int64).max
 class Near:
     """The leaders ``(numbers, lines)`` that lines are held against.
 
-    A pair goes where its characters alone cost the limit, or else where what their common
+    Few leaders and lines of few shapes are compared by these. Else a pair goes where its characters alone cost the limit, or else where what their common
     subsequences leave does; the distances of the rest are computed, a line's most
     promising leaders first.
     """
@@ -32,6 +35,8 @@ class Near:
         self.bound = Bound(patterns)
         self.numbers, self.leaders = np.array(numbers, np.int64), leaders
         self.counts, self.seen = self.bound.counts(leaders).astype(np.int32), self.bound.seen(leaders, self.dfas)
+        self.shapes = Shapes.of(patterns)
+        self._theirs = self.shapes.lines(leaders)
         self.size = np.array([len(x) for x in leaders], np.int64)
         self._kept: dict[tuple, tuple[np.ndarray, list[str]]] = {}
 
@@ -103,34 +108,70 @@ class Near:
         further on, none has to be there that is further away than one below ``free``.
         """
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(lines), TOGETHER):
-            own = slice(at, at + TOGETHER)
+        together = MANY if len(self.leaders) <= FEW else TOGETHER
+        for at in range(0, len(lines), together):
+            own = slice(at, at + together)
             i, j, d = self._some(lines[own], seen[own], until[own], free[own])
             out.append((i + at, self.numbers[j], d))
         return tuple(np.concatenate(c) for c in zip(*out))
 
+    def _by_shape(self, own: Lines, size: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``pairs`` of the lines that have a shape, and which lines these are; none where leaders or shapes are too many."""
+        theirs = self._theirs
+        plain = np.flatnonzero(own.shape >= 0)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(len(size), bool)
+        if len(self.leaders) > FEW or (theirs.shape < 0).any() or not len(plain):
+            return none
+        shapes, at = np.unique(own.shape[plain], return_inverse=True)
+        others, to = np.unique(theirs.shape, return_inverse=True)
+        if len(shapes) * len(others) * EACH > len(plain) * len(self.leaders):
+            return none
+        place = self.shapes.known(np.repeat(shapes, len(others)), np.tile(others, len(shapes)), find=True).reshape(len(shapes), len(others))
+        low = self.shapes.least(place)[:, to] * (1 - 1e-9)
+        # the lines of a shape have one length
+        lengths = np.array([len(self.shapes.shapes[k]) for k in shapes.tolist()], np.int64)
+        near = low < self.threshold * (lengths[:, None] + self.size[None, :])
+        i, j = np.nonzero(near[at] & (self.numbers[None, :] < until[plain][:, None]))
+        return plain[i], j, low[at[i], j], own.shape >= 0
+
     def _some(self, lines: list[str], seen: np.ndarray, until: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        i, j, low = self.pairs(lines, seen, until)
+        own = self.shapes.lines(lines)
+        if self._theirs.generation != own.generation:
+            self._theirs = self.shapes.lines(self.leaders)
+        size = np.array([len(x) for x in lines], np.int64)
+        i, j, low, done = self._by_shape(own, size, until)
+        rest = np.flatnonzero(~done)
+        if len(rest):
+            x, y, least = self.pairs([lines[k] for k in rest.tolist()], seen[rest], until[rest])
+            i, j, low = (np.concatenate(c) for c in ((i, rest[x]), (j, y), (low, least)))
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        place = self.shapes.known(own.shape[i], self._theirs.shape[j])
+        known = place >= 0
+        low[known] = np.maximum(low[known], self.shapes.least(place[known]) * (1 - 1e-9))
         if len(i):
-            mine, theirs = np.unique(i), np.unique(j)
-            of = PairDistances(graphs([*(lines[k] for k in mine), *(self.leaders[k] for k in theirs)], self.patterns, self.dfas), self.densities, self.bound.weights)
+            mine, theirs = np.unique(i[~known]), np.unique(j[~known])
+            of = PairDistances(graphs([*(lines[k] for k in mine), *(self.leaders[k] for k in theirs)], self.patterns, self.dfas), self.densities, self.bound.weights) if len(mine) else None
             order = np.lexsort((low, i))
-            i, j, low = i[order], j[order], low[order]
+            i, j, low, place = i[order], j[order], low[order], place[order]
             best, turn = np.full(len(lines), np.inf), 1
             while len(i):
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                now = place < turn
-                x, y = np.searchsorted(mine, i[now]), len(mine) + np.searchsorted(theirs, j[now])
-                norm = (of.size[x] + of.size[y]).astype(float)
-                d = of(x, y, self.threshold * norm) / norm
+                now = np.arange(len(i)) - np.searchsorted(i, i) < turn
+                x, y, at = i[now], j[now], place[now]
+                norm = (size[x] + self.size[y]).astype(float)
+                limit, d = self.threshold * norm, np.full(len(x), np.nan)
+                one, other = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                # what is further away than the best so far need not be there
+                d[one] = self.shapes.distances(own, self._theirs, x[one], y[one], at[one], np.minimum(limit, best[x] * norm * (1 + 1e-9) + 1e-9)[one])
+                if len(other):
+                    d[other] = of(np.searchsorted(mine, x[other]), len(mine) + np.searchsorted(theirs, y[other]), limit[other])
+                d /= norm
                 near = d == d
-                out.append((i[now][near], j[now][near], d[near]))
-                open_ = near & (self.numbers[j[now]] < free[i[now]])
-                np.minimum.at(best, i[now][open_], d[open_])
-                i, j, low = (v[~now] for v in (i, j, low))
-                left = low <= best[i] * (self.size[j] + np.array([len(lines[k]) for k in i], np.int64))
-                i, j, low, turn = i[left], j[left], low[left], 2 * turn
+                out.append((x[near], y[near], d[near]))
+                open_ = near & (self.numbers[y] < free[x])
+                np.minimum.at(best, x[open_], d[open_])
+                i, j, low, place = (v[~now] for v in (i, j, low, place))
+                left = low <= best[i] * (size[i] + self.size[j])
+                i, j, low, place, turn = i[left], j[left], low[left], place[left], 2 * turn
         return tuple(np.concatenate(c) for c in zip(*out))
 
 

@@ -14,6 +14,7 @@ from logweave.functions.distances import PairDistances
 from logweave.functions.graphs import graphs
 from logweave.functions.near import ALL, Near
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
+from logweave.functions.shapes import Shapes
 from logweave.functions.text import automaton, normalised_distance
 from logweave.operators.automaton import automata
 from logweave.operators.matching import CHARACTERS, LINES, pieces
@@ -34,12 +35,13 @@ PREPARED = "line_id long, last long, line string, size long, kind int, seen long
 
 def prepared(lines: DataFrame, patterns: PatternSet) -> tuple[DataFrame, str]:
     """Distinct lines, as a table and its path: first and last id, length, its number of bits, and the patterns and masses of ``Bound``."""
-    bound, dfas = Bound(patterns), patterns.dfas()
+    bound = Bound(patterns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = Shapes.of(patterns)
         for b in pieces(batches):
             size = b["line"].str.len()
-            own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()], "seen": bound.seen(b["line"].tolist(), dfas)}
+            own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()], "seen": shapes.seen(b["line"].tolist())}
             yield pd.DataFrame(own | {f"m{k}": m for k, m in enumerate(bound.masses(b["line"].tolist()).T)})
 
     distinct = lines.groupBy("line").agg(F.min("line_id").alias("line_id"), F.max("line_id").alias("last"))
@@ -128,7 +130,7 @@ def near(lines: DataFrame, leaders: DataFrame, patterns: PatternSet, threshold:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Near(numbers, texts, patterns, threshold)
-        for b in pieces(batches, 4 * LINES, 4 * CHARACTERS):
+        for b in pieces(batches, 10 * LINES, 16 * CHARACTERS):
             i, leader, d = of(b["line"].tolist(), b["seen"].to_numpy(), b["until"].to_numpy(), b["free"].to_numpy())
             yield pd.DataFrame({"line_id": b["line_id"].to_numpy()[i], "leader": leader, "d": d})
 

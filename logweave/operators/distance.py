@@ -14,6 +14,7 @@ from logweave.functions.bounds import Bound
 from logweave.functions.distances import PairDistances, lcs_distances, lcs_lengths
 from logweave.functions.graphs import graphs
 from logweave.functions.patterns import PatternSet
+from logweave.functions.shapes import Shapes
 
 #: Costs from here on count as out of reach.
 INFINITY = 100_000.0
@@ -71,7 +72,12 @@ def pattern_distance(a: Column, b: Column, patterns: PatternSet | None = None, n
         low = most <= size[i] + size[j]
         near = ~low
         near[low] = bound.least_of_seen(lines, bound.seen(lines, dfas), i[low], j[low]) < most[low] if low.any() else False
-        for rows in np.split(np.flatnonzero(near), np.arange(TOGETHER, int(near.sum()), TOGETHER)):
+        shapes, rows = Shapes.of(patterns), np.flatnonzero(near)
+        own = shapes.lines(lines)
+        place = shapes.known(own.shape[i[rows]], own.shape[j[rows]])
+        rest, rows, place = rows[place < 0], rows[place >= 0], place[place >= 0]
+        out[rows] = shapes.distances(own, own, i[rows], j[rows], place, most[rows])
+        for rows in np.split(rest, np.arange(TOGETHER, len(rest), TOGETHER)):
             if len(rows):
                 own, at = np.unique(np.concatenate([i[rows], j[rows]]), return_inverse=True)
                 of = PairDistances(graphs([lines[k] for k in own.tolist()], patterns, dfas), densities, bound.weights)

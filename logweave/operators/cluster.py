@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logweave.functions.bounds import MASSES, Bound
 from logweave.functions.distances import PairDistances
 from logweave.functions.graphs import graphs
-from logweave.functions.near import ALL, Near
+from logweave.functions.near import ALL, FEW as ALONE, Near
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
 from logweave.functions.shapes import Shapes
 from logweave.functions.text import automaton, normalised_distance
@@ -34,17 +34,17 @@ PREPARED = "line_id long, last long, line string, size long, kind int, seen long
 
 
 def prepared(lines: DataFrame, patterns: PatternSet) -> tuple[DataFrame, str]:
-    """Distinct lines, as a table and its path: first and last id, length, its number of bits, and the patterns and masses of ``Bound``."""
+    """Distinct lines that are not null, as a table and its path: first and last id, length, its number of bits, and the patterns and masses of ``Bound``."""
     bound = Bound(patterns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes = Shapes.of(patterns)
-        for b in pieces(batches):
+        for b in pieces(batches, 4 * LINES, 4 * CHARACTERS):
             size = b["line"].str.len()
             own = {"line_id": b["line_id"], "last": b["last"], "line": b["line"], "size": size, "kind": [n.bit_length() for n in size.tolist()], "seen": shapes.seen(b["line"].tolist())}
             yield pd.DataFrame(own | {f"m{k}": m for k, m in enumerate(bound.masses(b["line"].tolist()).T)})
 
-    distinct = lines.groupBy("line").agg(F.min("line_id").alias("line_id"), F.max("line_id").alias("last"))
+    distinct = lines.where("line IS NOT NULL").groupBy("line").agg(F.min("line_id").alias("line_id"), F.max("line_id").alias("last"))
     return table(distinct.repartition(tasks(lines)).mapInPandas(run, PREPARED))
 
 
@@ -244,11 +244,47 @@ def _closest(stairs: Column | str) -> Column:
     return F.try_element_at(F.array_sort(F.transform(stairs, lambda s: F.struct(s["d"].alias("d"), s["leader"].alias("leader")))), F.lit(1))
 
 
+def few(leaders: DataFrame) -> list[Leader] | None:
+    """The first numbers of the distinct lines of ``leaders(leader, line)``, in their order; None if they are more than each line may be held against where it is read."""
+    rows = leaders.where("line IS NOT NULL").groupBy("line").agg(F.min("leader").alias("leader")).limit(ALONE + 1).collect()
+    return None if len(rows) > ALONE or sum(len(r["line"]) for r in rows) > FEW_BYTES else sorted((r["leader"], r["line"]) for r in rows)
+
+
+def closest(lines: DataFrame, leaders: list[Leader], patterns: PatternSet, threshold: float, until: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """``(line_id, leader, d)`` for each row of ``lines(line_id, line)``, null where no leader is near; of leaders numbered below what ``until`` gives for a line's id.
+
+    Lines are held against all leaders where they are read; nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Near([n for n, _ in leaders], [x for _, x in leaders], patterns, threshold)
+        for b in pieces(batches, 10 * LINES, 16 * CHARACTERS):
+            ids = b["line_id"].to_numpy(np.int64)
+            codes, own = pd.factorize(b["line"].to_numpy(object))
+            limit = np.full(len(own), ALL)
+            if until is not None:  # equal lines have limits of their own
+                there = np.flatnonzero(codes >= 0)
+                limit, own = until(ids[there]), own[codes[there]]
+                codes = np.full(len(b), -1)
+                codes[there] = np.arange(len(there))
+            i, leader, d = of(own.tolist(), of.shapes.seen(own.tolist()), limit, limit)
+            order = np.lexsort((leader, d, i))
+            first = order[np.diff(i[order], prepend=-1) != 0]
+            found = pd.DataFrame({"leader": pd.Series(leader[first], i[first], "Int64"), "d": pd.Series(d[first], i[first])}).reindex(codes)
+            yield pd.DataFrame({"line_id": ids, "leader": found["leader"].array, "d": found["d"].array})
+
+    found = lines.select(F.col("line_id").cast("long").alias("line_id"), "line").mapInPandas(run, NEAR)
+    return found.withColumn("line_id", F.col("line_id").cast(lines.schema["line_id"].dataType))
+
+
 def nearest_representative(lines: DataFrame, leaders: DataFrame | list[Leader], patterns: PatternSet | None = None, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``(line_id, leader, d)``: the closest of ``leaders(line_id, line)`` below the threshold, of equals the first; null if there is none."""
     if isinstance(leaders, list):
         leaders = lines.sparkSession.createDataFrame(leaders, "line_id long, line string")
-    stairs = nearest_leaders(lines, leaders.select(F.col("line_id").alias("leader"), "line"), patterns or PatternSet.default(), threshold, closest=True)
+    patterns, leaders = patterns or PatternSet.default(), leaders.select(F.col("line_id").alias("leader"), "line")
+    if (known := few(leaders)) is not None:
+        return closest(lines, known, patterns, threshold)
+    stairs = nearest_leaders(lines, leaders, patterns, threshold, closest=True)
     best = _closest("stairs")
     return lines.join(stairs, "line", "left").select("line_id", best["leader"].alias("leader"), best["d"].alias("d"))
 
@@ -265,7 +301,12 @@ def cluster(lines: DataFrame, patterns: PatternSet | None = None, threshold: flo
     spark = lines.sparkSession
     lines = lines.select("line_id", F.coalesce("line", F.lit("")).alias("line"))
     own, path = prepared(lines, patterns)
-    _, near, paths = find_leaders(own, patterns, threshold, block)
+    leaders, near, paths = find_leaders(own, patterns, threshold, block)
+    if (known := few(leaders.select(F.col("line_id").alias("leader"), "line"))) is not None:
+        for done in (path, *paths):
+            drop(spark, done)
+        found = closest(lines, known, patterns, threshold, until=lambda ids: ids)
+        return found.select("line_id", F.coalesce("leader", "line_id").alias("cluster_id"))
     stairs = settled(own.select("line_id", "line").join(stairs_of(near), "line_id").select("line", "stairs"))
     for done in (path, *paths):
         drop(spark, done)

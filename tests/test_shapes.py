@@ -10,6 +10,9 @@ from logweave.functions.distances import PairDistances
 from logweave.functions.graphs import graphs
 from logweave.functions.near import ALL, Near
 from logweave.functions.patterns import PatternSet
+from logweave.operators import cluster
+from logweave.streaming import leaders as streaming
+from logweave.streaming.leaders import StreamingClusters
 
 ALPHABETS = ["ab1.2 ", "0123456789.:/-+ \tabcdefXYZ{}\"", "0123456789", "01 a-."]
 
@@ -84,3 +87,43 @@ def test_few_leaders_are_compared_by_shapes_alone(monkeypatch, threshold):
     best = lambda rows: {i: min((d, j) for k, d, j in rows if k == i) for i in {r[0] for r in rows}}
     few = lambda rows: [r for r in rows if r[0] % 20 == 0 or r[0] > 2990]
     assert best(few(closest)) == best(few([(i, d, j) for (i, j), d in found.items()]))
+
+
+def test_few_leaders_meet_lines_where_these_are_read(spark):
+    """Nothing is shuffled or joined, and the rows are those of the form for many leaders."""
+    own = [*events(150), None, "", "é 1.2.3.4", "zz top"]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(own + own[:40])], "line_id int, line string")
+    leaders = [(7, own[7]), (3, own[3]), (9, own[7]), (11, "é 1.2.3.9")]
+    found = cluster.nearest_representative(lines, leaders, threshold=0.05)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = {tuple(r) for r in found.collect()}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cluster, "few", lambda leaders: None)
+        other = cluster.nearest_representative(lines, leaders, threshold=0.05)
+        assert rows == {tuple(r) for r in other.collect()} and found.schema == other.schema
+    assert len(rows) == len(own) + 40 and any(r[1] == 11 for r in rows)
+    assert cluster.nearest_representative(lines, [], threshold=0.05).where("leader IS NOT NULL").count() == 0
+
+
+def test_clusters_and_batches_of_few_leaders_are_those_of_many(spark, tmp_path):
+    own = [*events(120), "", "", None, "é 1.2.3.4", "é 1.2.3.5", *events(30)]
+    lines = spark.createDataFrame(list(enumerate(own)), "line_id long, line string")
+    batches = [lines.where(c) for c in ("line_id % 2 = 1", "line_id < 0", "line_id % 2 = 0")]
+
+    def both(name):
+        stream = StreamingClusters(str(tmp_path / name), threshold=0.05)
+        for number, batch in enumerate(batches):
+            stream(batch, number)
+        return sorted(map(tuple, stream.clusters(spark).collect())), sorted(map(tuple, cluster.cluster(lines, threshold=0.05).collect()))
+
+    few = both("few")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(cluster, "few", lambda leaders: None)
+        m.setattr(streaming, "few", lambda leaders: None)
+        assert few == both("many")
+    want = cluster.sequential([x or "" for x in own], PatternSet.default(), 0.05)
+    assert [c for _, c in few[1]] == want and len(set(want)) > 5
+    order = [i for k in (1, 0) for i in range(len(own)) if i % 2 == k]
+    want = cluster.sequential([own[i] or "" for i in order], PatternSet.default(), 0.05)
+    assert few[0] == sorted((i, order[c]) for i, c in zip(order, want))

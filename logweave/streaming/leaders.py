@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.patterns import DEFAULT_THRESHOLD, PatternSet
-from logweave.operators.cluster import find_leaders, nearest_leaders, prepared
+from logweave.operators.cluster import closest, few, find_leaders, nearest_leaders, prepared
 from logweave.operators.storage import drop, table
 from logweave.sources.lines import dense
 
@@ -33,8 +34,12 @@ class StreamingClusters:
         lines, lines_path = table(batch.select("line_id", F.coalesce("line", F.lit("")).alias("line")))
         left = lines
         if number:
-            known = nearest_leaders(lines, self.leaders(spark, number - 1).select("leader", "line"), self.patterns, self.threshold)
-            left = lines.join(known.select("line"), "line", "left_anti")
+            before = self.leaders(spark, number - 1).select("leader", "line")
+            if (some := few(before)) is not None:
+                left = lines.join(closest(lines, some, self.patterns, self.threshold).where("leader IS NULL").select("line_id"), "line_id", "left_semi")
+            else:
+                known = nearest_leaders(lines, before, self.patterns, self.threshold)
+                left = lines.join(known.select("line"), "line", "left_anti")
         own, own_path = prepared(left, self.patterns)
         new, _, paths = find_leaders(own, self.patterns, self.threshold)
         # a batch's leaders have the numbers from batch * 2**40 on, in the order of their ids
@@ -43,9 +48,18 @@ class StreamingClusters:
         for done in (own_path, *paths):
             drop(spark, done)
         leaders = self.leaders(spark, number)
+        names = leaders.select("leader", F.col("line_id").alias("cluster_id"))
+        if (some := few(leaders.select("leader", "line"))) is not None:
+            numbered = sorted((r["leader"], r["cluster_id"]) for r in names.where(F.col("leader") >= number << 40).join(spark.createDataFrame(some, "leader long, line string"), "leader", "left_semi").collect())
+            ids, numbers = np.array([i for _, i in numbered], np.int64), np.array([*(n for n, _ in numbered), np.iinfo(np.int64).max])
+            # the leaders of this batch are open to lines with larger ids, and are numbered in the order of theirs
+            best = closest(lines, some, self.patterns, self.threshold, until=lambda own: numbers[np.searchsorted(ids, own)])
+            out = best.join(F.broadcast(names), "leader", "left").select("line_id", F.coalesce("cluster_id", "line_id").alias("cluster_id"))
+            out.write.mode("overwrite").parquet(f"{self.path}/clusters/part-batch-{number}")
+            drop(spark, lines_path)
+            return
         found = nearest_leaders(lines, leaders.select("leader", "line"), self.patterns, self.threshold)
         steps = lines.join(found.select("line", F.explode("stairs").alias("s")), "line").select("line_id", F.col("s.leader").alias("leader"), F.col("s.d").alias("d"))
-        names = leaders.select("leader", F.col("line_id").alias("cluster_id"))
         steps = steps.join(names, "leader").where((F.col("leader") < number << 40) | (F.col("cluster_id") < F.col("line_id")))
         best = steps.groupBy("line_id").agg(F.min_by("cluster_id", F.struct("d", "leader")).alias("cluster_id"))
         out = lines.join(best, "line_id", "left").select("line_id", F.coalesce("cluster_id", "line_id").alias("cluster_id"))
